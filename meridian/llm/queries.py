@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.llm._io import read
+from meridian.llm.jaccard_join import near_duplicates
 from meridian.llm.substring_dedup import remove_repeats
 
 
@@ -14,5 +15,9 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup}
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), width=5, percent=75)
+
+
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
 ORACLE_SQL: dict[str, str] = {}

@@ -51,6 +51,9 @@ class _Chunk:
         self.ids = docs["id"]
         self.rank = np.asarray(pc.fill_null(docs["id"].combine_chunks(), -(2**63)))
         self.buf, self.off = T.string_buffers(docs["text"])
+        self._hash()
+
+    def _hash(self):
         self.words = T.words_of(self.buf, self.off)
         self.n = len(self.words.start)
         self.hashes = T.span_hashes(self.buf, self.words.start, self.words.end)
