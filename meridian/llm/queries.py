@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.llm._io import read
+from meridian.llm.byte_bpe import encode_decode
 from meridian.llm.jaccard_join import near_duplicates
 from meridian.llm.substring_dedup import remove_repeats
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False, keep_text=False)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(read(spark, sf_dir, "documents"), min_words=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -19,5 +27,5 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), width=5, percent=75)
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_substring_dedup": op2_substring_dedup, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
 ORACLE_SQL: dict[str, str] = {}
