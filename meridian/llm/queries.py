@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from meridian.llm._io import read
 from meridian.llm.byte_bpe import encode_decode
 from meridian.llm.jaccard_join import near_duplicates
+from meridian.llm import quality_rules
 from meridian.llm.substring_dedup import remove_repeats
 
 
@@ -23,9 +24,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.with_quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), width=5, percent=75)
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_substring_dedup": op2_substring_dedup, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_substring_dedup": op2_substring_dedup, "op6_quality_rules": op6_quality_rules, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality_rules.SQL}
