@@ -42,7 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def chunked(docs: DataFrame, id_col: str, text_col: str, n: int | None = None) -> DataFrame:
     """(chunk, id, text): documents dealt evenly by a hash of their id; rows of one id share a chunk."""
     p = partitions(docs.sparkSession)
-    n = n or p
+    n = n or 2 * p
     return docs.select(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
     ).repartition(p, "chunk")

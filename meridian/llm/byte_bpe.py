@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from meridian.llm import _text as T
+from meridian.llm._cache import IdCache
 from meridian.llm._pretoken import pretokens
 
 SLICE = 2 << 20  # bytes of text in work at a time
@@ -54,7 +55,7 @@ class Ranks:
         self.length = np.array([len(x) for x in tokens], np.int64)
         self.at = np.r_[0, np.cumsum(self.length)]
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.forget()
+        self.cache = IdCache(CACHED, np.uint16 if top <= 1 << 16 else np.uint32)
 
     def _index(self, keys: np.ndarray, values: np.ndarray) -> None:
         """A hash table with open addressing, built and read by whole arrays."""
@@ -88,11 +89,6 @@ class Ranks:
             left, slot = left[go], (slot[go] + 1) & (len(self.slots) - 1)
         return out
 
-    def forget(self) -> None:
-        self.cache: dict[int, int] = {}
-        self.c_start, self.c_len = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.c_ids, self.used = np.zeros(1 << 18, np.uint16 if len(self.length) <= 1 << 16 else np.uint32), 0
-
     def merge(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the given slices of bytes, all merged together: flat ids, and the number for each slice."""
         n = end - start
@@ -132,39 +128,15 @@ class Ranks:
         order = np.argsort(own, kind="stable")
         return ids[order], np.bincount(own, minlength=len(n))
 
-    def slots_of(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Cache slots of distinct pre-tokens; new ones are merged first."""
-        if len(self.cache) > CACHED:
-            self.forget()
-        keys = hashes.tolist()
-        slot = np.fromiter(map(self.cache.get, keys, [-1] * len(keys)), np.int64, len(keys))
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            ids, n = self.merge(buf, start[new], end[new])
-            had = len(self.cache)
-            while self.used + len(ids) > len(self.c_ids):
-                self.c_ids = np.r_[self.c_ids, np.zeros_like(self.c_ids)]
-            while had + len(new) > len(self.c_start):
-                self.c_start, self.c_len = np.r_[self.c_start, np.zeros_like(self.c_start)], np.r_[self.c_len, np.zeros_like(self.c_len)]
-            self.c_ids[self.used : self.used + len(ids)] = ids
-            self.c_start[had : had + len(new)] = self.used + np.cumsum(n) - n
-            self.c_len[had : had + len(new)] = n
-            self.used += len(ids)
-            slot[new] = np.arange(had, had + len(new))
-            self.cache.update(zip([keys[i] for i in new], slot[new].tolist(), strict=True))
-        return slot
-
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents in buf, one after another, and the offsets of each."""
         start, end, first = pretokens(buf, off)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         _, one, back = np.unique(h := T.span_hashes(buf, start, end), return_index=True, return_inverse=True)
-        slot = self.slots_of(buf, start[one], end[one], h[one])[back]
-        n = self.c_len[slot]
-        to = np.r_[0, np.cumsum(n)]
-        ids = self.c_ids[np.arange(to[-1]) + np.repeat(self.c_start[slot] - to[:-1], n)].astype(np.uint32)
-        return ids, to[first]
+        slot = self.cache.slots(h[one], lambda new: self.merge(buf, start[one[new]], end[one[new]]))
+        ids, to = self.cache.join(slot[back])
+        return ids.astype(np.uint32), to[first]
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the ids, and each document's offsets among them."""

@@ -195,7 +195,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
     A window goes if its words also start earlier, in a smaller id or earlier in the
     same document. Windows are judged on the input.
     """
-    buckets = partitions(docs.sparkSession)
+    buckets = (partitions(docs.sparkSession) + 1) // 2  # with twice as many chunks as partitions, messages number partitions**2 a level
     sizes = levels(min_words)
     parts = chunked(docs, id_col, text_col)
 
