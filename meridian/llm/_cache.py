@@ -1,4 +1,4 @@
-"""A bounded cache of token-id lists in flat arrays, one in each Python worker."""
+"""Hash tables over whole arrays: a fixed lookup, and a bounded cache of token-id lists, one in each Python worker."""
 
 from __future__ import annotations
 
@@ -6,6 +6,41 @@ from collections.abc import Callable
 
 import numpy as np
 
+from meridian.llm import _text as T
+
+_FREE = 0xFFFFFFFFFFFFFFFF
+
+
+class Lookup:
+    """Values by 64-bit key with open addressing, built and read by whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing):
+        bits = max(4, int(np.ceil(np.log2(4 * max(1, len(keys))))))
+        self.shift, self.missing = T.U64(64 - bits), values.dtype.type(missing)
+        self.slots = np.full(1 << bits, _FREE, np.uint64)
+        self.values = np.full(1 << bits, missing, values.dtype)
+        left, v, slot = keys, values, self._slot(keys)
+        while len(left):
+            free = self.slots[slot] == T.U64(_FREE)
+            self.slots[slot[free]] = left[free]
+            won = self.slots[slot] == left
+            self.values[slot[won]] = v[won]
+            left, v, slot = left[~won], v[~won], (slot[~won] + 1) & (len(self.slots) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (T.mix(keys) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), self.missing)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            seen = self.slots[slot]
+            hit = seen == keys[left]
+            out[left[hit]] = self.values[slot[hit]]
+            go = ~hit & (seen != T.U64(_FREE))
+            left, slot = left[go], (slot[go] + 1) & (len(self.slots) - 1)
+        return out
+
 
 class IdCache:
     """Token ids by a 64-bit key. When it is full it starts anew, so its memory is bounded."""

@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x2545F4914F6CDD1D))
+BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x2545F4914F6CDD1D))
 
 
 def powers(n: int, kind: int = 0, inverse: bool = False) -> np.ndarray:
@@ -93,7 +93,7 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int =
         lo, hi = int(start[i]), int(end[j - 1])
         c = np.empty(hi - lo + 1, U64)
         c[0] = 0
-        np.cumsum(_BYTE[buf[lo:hi]] * powers(hi - lo, kind), out=c[1:])
+        np.cumsum(BYTE[buf[lo:hi]] * powers(hi - lo, kind), out=c[1:])
         s, e = start[i:j] - lo, end[i:j] - lo
         out[i:j] = mix((c[e] - c[s]) * powers(hi - lo + 1, kind, True)[s] + (e - s).astype(U64) * U64(0x632BE59BD9B4E019))
         i = j

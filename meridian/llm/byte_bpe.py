@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from meridian.llm import _text as T
-from meridian.llm._cache import IdCache
+from meridian.llm._cache import IdCache, Lookup
 from meridian.llm._pretoken import pretokens
 
+NONE = np.uint32(0xFFFFFFFF)
 SLICE = 2 << 20  # bytes of text in work at a time
 CACHED = 1 << 20  # pre-tokens kept per worker
 
@@ -47,8 +48,7 @@ class Ranks:
             for k in range(1, len(token)):
                 if (a := self.rank.get(token[:k])) is not None and (b := self.rank.get(token[k:])) is not None:
                     pairs[a << 32 | b] = r
-        keys = np.fromiter(pairs, np.uint64, len(pairs))
-        self._index(keys, np.fromiter(pairs.values(), np.uint32, len(pairs)))
+        self.pairs = Lookup(np.fromiter(pairs, np.uint64, len(pairs)), np.fromiter(pairs.values(), np.uint32, len(pairs)), NONE)
         tokens: list[bytes] = [b""] * top
         for token, r in self.rank.items():
             tokens[r] = token
@@ -57,37 +57,9 @@ class Ranks:
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.cache = IdCache(CACHED, np.uint16 if top <= 1 << 16 else np.uint32)
 
-    def _index(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """A hash table with open addressing, built and read by whole arrays."""
-        bits = max(4, int(np.ceil(np.log2(4 * max(1, len(keys))))))
-        self.shift = T.U64(64 - bits)
-        self.slots = np.full(1 << bits, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.values = np.zeros(1 << bits, np.uint32)
-        self.probes = 0
-        left, v, slot = keys, values, self._slot(keys)
-        while len(left):
-            free = self.slots[slot] == T.U64(0xFFFFFFFFFFFFFFFF)
-            self.slots[slot[free]] = left[free]
-            won = self.slots[slot] == left
-            self.values[slot[won]] = v[won]
-            left, v, slot = left[~won], v[~won], (slot[~won] + 1) & (len(self.slots) - 1)
-            self.probes += 1
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (T.mix(keys) >> self.shift).astype(np.int64)
-
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The id of each pair's union; NONE where the pair doesn't merge."""
-        keys = a.astype(np.uint64) << T.U64(32) | b.astype(np.uint64)
-        out = np.full(len(keys), NONE, np.uint32)
-        slot, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            seen = self.slots[slot]
-            hit = seen == keys[left]
-            out[left[hit]] = self.values[slot[hit]]
-            go = ~hit & (seen != T.U64(0xFFFFFFFFFFFFFFFF))
-            left, slot = left[go], (slot[go] + 1) & (len(self.slots) - 1)
-        return out
+        return self.pairs.get(a.astype(np.uint64) << T.U64(32) | b.astype(np.uint64))
 
     def merge(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the given slices of bytes, all merged together: flat ids, and the number for each slice."""
@@ -158,7 +130,6 @@ class Ranks:
             yield own, text
 
 
-NONE = np.uint32(0xFFFFFFFF)
 _loaded: dict[str, Ranks] = {}
 
 
