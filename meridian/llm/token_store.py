@@ -169,7 +169,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
 def _part_roots(recipes: DataFrame) -> DataFrame:
     """Documents, ids and the Merkle root of each part; a part is one run of the range partitioning."""
 
-    def root(rows: pa.Table) -> pa.Table:
+    def root(rows):
         rows = rows.sort_by("start")
         return pa.table({"part": rows["part"][:1], "documents": [len(rows)], "tokens": [sum(rows["n_tokens"].to_pylist())], "root": pa.array([merkle(rows["root"].to_pylist())], pa.binary())})
 
