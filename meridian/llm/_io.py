@@ -39,10 +39,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, n: int | None = None) -> DataFrame:
-    """(chunk, id, text): documents dealt evenly by a hash of their id; rows of one id share a chunk."""
+def chunked(docs: DataFrame, id_col: str, text_col: str, n: int | None = None, rest: bool = False) -> DataFrame:
+    """(chunk, id, text): documents dealt evenly by a hash of their id; rows of one id share a chunk. rest: all other columns too, as a struct."""
     p = partitions(docs.sparkSession)
     n = n or 2 * p
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
     return docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
+        F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*others).alias("rest")] if rest and others else [])
     ).repartition(p, "chunk")

@@ -15,6 +15,7 @@ existing ones take their place; other columns stay as they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -60,55 +61,80 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def _window_hashes(words: Column, width: int) -> Column:
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once, wherever the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _repeated_words(words: Column, width: int) -> Column:
+    """The number of words that lie in a window of the given width which occurs twice or more."""
     at = F.sequence(F.lit(0), F.size(words) - width)
-    return F.when(F.size(words) >= width, F.transform(at, lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(width)]).alias("h"), i.alias("i"))))
-
-
-def with_features(docs: DataFrame, text_col: str = "text", width: int = 5) -> DataFrame:
-    """docs with the counts that rules use."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.trim(F.translate(x, SPACES, " "))) > 0)
-    out = docs.withColumns({
-        "__words": F.filter(F.split(F.translate(text, SPACES, " " * len(SPACES)), " ", -1), lambda x: x != ""),
-        "__lines": lines,
-        "word_chars": (F.length(text) - _without(text, SPACES)).cast("long"),
-        "n_symbols": _without(text, SYMBOLS).cast("long"),
-    })
-    out = out.withColumn("__windows", F.sort_array(_window_hashes(F.col("__words"), width)))
-    # Neighbours of equal hash in the sorted array are occurrences of one window.
-    same = F.zip_with("__windows", F.slice("__windows", 2, F.greatest(F.size("__windows"), F.lit(1))), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)))
-    out = out.withColumn("__again", F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull())))))
+    hashes = F.transform(at, lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(width)]).alias("h"), i.alias("i")))
     start = F.struct(F.lit(-width).alias("at"), F.lit(0).alias("n"))
     step = lambda acc, i: F.struct(i.alias("at"), (acc.n + F.least(F.lit(width), i - acc.at)).alias("n"))
-    out = out.withColumn("n_repeat_words", F.coalesce(F.aggregate("__again", start, step, lambda acc: acc.n), F.lit(0)).cast("long"))
-    return out.withColumns({
-        "n_words": F.size("__words").cast("long"),
-        "n_lines": F.size("__lines").cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_stop_words": F.size(F.filter("__words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
-        "n_letter_words": F.size(F.filter("__words", lambda w: w.rlike(r"\p{L}"))).cast("long"),
-    }).drop("__words", "__lines", "__windows", "__again")
-
-
-def failed(rules: tuple[Rule, ...]) -> Column:
-    """The names of the rules that a document fails, as one expression."""
+
+    def again(w: Column) -> Column:
+        # Neighbours of equal hash in the sorted array are occurrences of one window.
+        same = F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)))
+        return F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
+
+    found = _let(F.sort_array(hashes), lambda w: F.aggregate(again(w), start, step, lambda acc: acc.n))
+    return F.when(F.size(words) >= width, found).otherwise(0)
+
+
+def features(text: Column, width: int = 5) -> Column:
+    """A struct of the counts that rules use."""
+    text = F.coalesce(text, F.lit(""))
+
+    def counted(t: Column, words: Column, lines: Column) -> Column:
+        made = {
+            "n_words": F.size(words),
+            "word_chars": F.length(t) - _without(t, SPACES),
+            "n_symbols": _without(t, SYMBOLS),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": _repeated_words(words, width),
+            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))),
+            "n_letter_words": F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))),
+        }
+        return F.struct(*(x.cast("long").alias(name) for name, x in made.items()))
+
+    words = F.filter(F.split(F.translate(text, SPACES, " " * len(SPACES)), " ", -1), lambda x: x != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.trim(F.translate(x, SPACES, " " * len(SPACES)))) > 0)
+    return _let(F.struct(text.alias("t"), words.alias("w"), lines.alias("l")), lambda x: counted(x.t, x.w, x.l))
+
+
+def failed(counts: Column, rules: tuple[Rule, ...]) -> Column:
+    """The names of the rules that a document's counts fail, as one expression."""
     tests = []
     for r in rules:
-        base = F.lit(1) if r.base == "one" else F.col(r.base)
+        base = F.lit(1) if r.base == "one" else counts[r.base]
         bad = F.lit(False)
         if r.over is not None:
-            bad = bad | (100 * F.col(r.count) > r.over * base)
+            bad = bad | (100 * counts[r.count] > r.over * base)
         if r.under is not None:
-            bad = bad | (100 * F.col(r.count) < r.under * base)
-        tests.append(F.when(bad & (F.col("n_words") >= r.from_words), F.lit(r.name)))
+            bad = bad | (100 * counts[r.count] < r.under * base)
+        tests.append(F.when(bad & (counts.n_words >= r.from_words), F.lit(r.name)))
     return F.array_compact(F.array(*tests))
 
 
+def verdict(text: Column, rules: tuple[Rule, ...] = THRESHOLDS) -> Column:
+    """A struct of counts (a struct), base_failed, failed_rules (names) and kept."""
+
+    def judged(c: Column) -> Column:
+        bad, names = F.size(failed(c, BASE)) > 0, failed(c, rules)
+        return F.struct(c.alias("counts"), bad.alias("base_failed"), names.alias("failed_rules"), (~bad & (F.size(names) == 0)).alias("kept"))
+
+    return _let(features(text), judged)
+
+
 def with_quality(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS, text_col: str = "text") -> DataFrame:
-    """docs with the features, base_failed, the failed rules' names, and kept."""
-    out = with_features(docs, text_col).withColumns({"base_failed": F.size(failed(BASE)) > 0, "failed_rules": failed(rules)})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    """docs with the counts, base_failed, the failed rules' names, and kept."""
+    out = docs.withColumn("__q", verdict(F.col(text_col), rules))
+    return out.withColumns({c: F.col(f"__q.counts.{c}") for c in COUNTS} | {c: F.col(f"__q.{c}") for c in ("base_failed", "failed_rules", "kept")}).drop("__q")
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_letter_words")
 
 
 SQL = f"""

@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm._io import read
+from meridian.llm import graph_index, language_id, mixing, quality_rules, token_counts, token_store, warc
+from meridian.llm._io import read, scratch_path
 from meridian.llm.byte_bpe import encode_decode
 from meridian.llm.jaccard_join import near_duplicates
-from meridian.llm import quality_rules
 from meridian.llm.substring_dedup import remove_repeats
 
 
@@ -20,8 +20,28 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(read(spark, sf_dir, "documents"), min_words=20)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, min_words=20).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    levels = {"domain": mixing.domain(), "lang": F.col("lang"), "source": F.col("source")}
+    out = mixing.mix(docs, levels, mixing.WEIGHTS, mixing.PERCENT, mixing.MAX_EPOCHS, mixing.SEED)
+    return out.select("doc_id", "domain", *(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), "epoch", "n_tokens", "n_used")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    out = language_id.predict(docs.select("doc_id", "text", language_id.held_out().alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-store")
+    token_store.write_store(read(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_store.verify_store(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +49,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.with_quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_graph_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = graph_index.build(vectors)
+    return graph_index.search(index, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"), width=5, percent=75)
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), width=5, percent=75)
+
+
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.derive(warc.responses(read(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return out.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "content_type", "source_digest", "block", "block_digest", "content_length", F.sha2("record", 256).alias("record_sha256"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).select("doc_id", "n_tokens", "n_pretokens")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_substring_dedup": op2_substring_dedup, "op6_quality_rules": op6_quality_rules, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality_rules.SQL}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_substring_dedup, op3_source_mixing, op4_language_id, op5_token_store, op6_quality_rules, op7_graph_index, op8_ngram_jaccard_join, op9_warc_derivatives, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.SQL, "op6_quality_rules": quality_rules.SQL, "op9_warc_derivatives": warc.SQL}

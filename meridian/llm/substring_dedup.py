@@ -13,8 +13,8 @@ first occurrence; hashes have 128 bits there.
 Cases: null or blank texts have no words and stay blank; a null id sorts first;
 rows that share an id are separate documents in the order of their texts;
 identical rows are ordered arbitrarily among themselves, so that one of them
-keeps the passage. Every input row gives one output row. Extra columns don't
-take part.
+keeps the passage. Every input row gives one output row. Other columns pass
+unchanged; added columns take the place of existing ones with their names.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from meridian.llm import _text as T
 from meridian.llm._io import chunked, partitions
 
 ASK, KEEP = 0, 1
+ADDED = ("n_words", "n_removed", "kept_text")
 MAIL = "chunk int, bucket int, kind int, data binary"
 _SCHEMA = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 
@@ -49,8 +50,10 @@ class _Chunk:
         order = pc.sort_indices(docs.select(["id", "text"]), sort_keys=[("id", "ascending"), ("text", "ascending")], null_placement="at_start") if pc.count_distinct(ids, mode="all").as_py() < len(ids) else pc.sort_indices(ids, null_placement="at_start")
         docs = docs.take(order)
         self.ids = docs["id"]
+        self.rest = docs["rest"] if "rest" in docs.column_names else None
         self.rank = np.asarray(pc.fill_null(docs["id"].combine_chunks(), -(2**63)))
-        self.buf, self.off = T.string_buffers(docs["text"])
+        self.texts = docs["text"]
+        self.buf, self.off = T.string_buffers(self.texts)
         self._hash()
 
     def _hash(self):
@@ -189,15 +192,17 @@ def _first(asked: list[bytes]) -> list[bytes]:
     return [x.tobytes() for x in np.split(first, np.cumsum([p.shape[1] for p in parts])[:-1])]
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_words, n_removed, kept_text): every document without the words of repeated windows of min_words words.
+def remove_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """docs (id_col as a long; without text_col unless with_text) with n_words, n_removed and kept_text: every document without the words of repeated windows of min_words words.
 
     A window goes if its words also start earlier, in a smaller id or earlier in the
     same document. Windows are judged on the input.
     """
     buckets = (partitions(docs.sparkSession) + 1) // 2  # with twice as many chunks as partitions, messages number partitions**2 a level
     sizes = levels(min_words)
-    parts = chunked(docs, id_col, text_col)
+    docs = docs.drop(*(c for c in ADDED if c not in (id_col, text_col)))
+    parts = chunked(docs, id_col, text_col, rest=True)
+    rest = parts.schema["rest"].dataType if "rest" in parts.columns else None
 
     def start(key, docs):
         chunk = _Chunk(docs)
@@ -226,7 +231,14 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
         w = chunk.words
         total = np.r_[0, np.cumsum(gone)]
         kept, off = T.kept_text(chunk.buf, chunk.off, w, ~gone)
-        return pa.table({"id": chunk.ids, "n_words": np.diff(w.first), "n_removed": np.diff(total[w.first]), "kept_text": T.to_strings(kept, off).cast(pa.string())})
-
-    out = parts.groupBy("chunk").cogroup(mail.groupBy("chunk")).applyInArrow(finish, "id long, n_words long, n_removed long, kept_text string")
-    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text")
+        out = {"id": chunk.ids, "n_words": np.diff(w.first), "n_removed": np.diff(total[w.first]), "kept_text": T.to_strings(kept, off).cast(pa.string())}
+        if with_text:
+            out["text"] = chunk.texts
+        if chunk.rest is not None:
+            out["rest"] = chunk.rest
+        return pa.table(out)
+
+    schema = "id long, n_words long, n_removed long, kept_text string" + ", text string" * with_text + (f", rest {rest.simpleString()}" if rest else "")
+    out = parts.groupBy("chunk").cogroup(mail.groupBy("chunk")).applyInArrow(finish, schema)
+    others = [F.col(f"rest.`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    return out.select(F.col("id").alias(id_col), *([F.col("text").alias(text_col)] if with_text else []), *others, *ADDED)
