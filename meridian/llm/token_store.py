@@ -259,7 +259,7 @@ def verify_store(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     steps = recipes.select("start", "root", F.posexplode("chunks").alias("seq", "digest"))
     known = steps.join(facts, "digest").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "size", "crc"))).alias("found"))
     whole = recipes.select("doc_id", "start", "n_tokens", "root").join(known, "start", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<seq:int,digest:binary,size:int,crc:bigint>>")))
-    return whole.mapInArrow(_verified, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return whole.select("doc_id", "start", "n_tokens", "root", "found").mapInArrow(_verified, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
