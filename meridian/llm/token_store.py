@@ -37,9 +37,14 @@ from meridian.llm._cache import IdCache
 from meridian.llm._io import partitions
 from meridian.llm.byte_bpe import slices
 
-SPAN, MEAN, SHORTEST, LONGEST = 16, 256, 32, 4096
+SPAN, MEAN, SHORTEST, LONGEST = 16, 512, 32, 4096
 OBJECTS = "key int, kind string, digest binary, data binary, doc_id long, n_tokens long, chunks array<binary>, sizes array<int>, root binary"
 _GEAR = T.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * T.U64(0x9E3779B97F4A7C15))
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(x) for x in '!"#$%&()*+,-./:;=?@[]^_`{}~']] = True
+_TOGETHER = 4096
 _open: dict[str, tuple] = {}
 
 
@@ -54,10 +59,64 @@ def _tokenizer(path: str):
     return _open[path]
 
 
+def _letters(buf: np.ndarray) -> np.ndarray:
+    """Bytes that end an ASCII letter or digit, or one of the letters U+00C0 to U+024F (those of two bytes led by C3 to C9)."""
+    out = _ALNUM[buf]
+    lead = buf[:-1]
+    # Not the signs U+00D7 and U+00F7, nor U+0130, whose lower case ends in a combining mark.
+    pair = (lead >= 0xC3) & (lead <= 0xC9) & ~((lead == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7))) & ~((lead == 0xC4) & (buf[1:] == 0xB0))
+    out[1:] |= pair
+    return out
+
+
+def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, T.Words]:
+    """Bytes with ASCII in lower case, and the pieces of the texts in them that can be encoded apart.
+
+    The tokenizer ignores case, ends a pre-token at white space, and begins a new one
+    where a mark follows a letter or digit. Words with "<" stay whole and as they are:
+    a special token may be in them.
+    """
+    w = T.words_of(buf, off)
+    low = T.LOWER[buf]
+    cut = np.zeros(len(buf), bool)
+    cut[1:] = _letters(buf)[:-1] & _MARK[buf[1:]]
+    for a in np.unique(np.searchsorted(w.start, np.flatnonzero(buf == 0x3C), "right") - 1):
+        low[w.start[a] : w.end[a]] = buf[w.start[a] : w.end[a]]
+        cut[w.start[a] : w.end[a]] = False
+    at = np.flatnonzero(cut)
+    start, end = np.sort(np.r_[w.start, at]), np.sort(np.r_[w.end, at])
+    return low, T.Words(start, end, np.searchsorted(start, off))
+
+
+def _encoded_words(tok, words: list[bytes], dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids of the words, and the number for each. Many go through the library as one text, with a special token between them; words with "<" go alone."""
+    gap = next((t for t in tok.get_added_tokens_decoder().items() if t[1].special and not t[1].normalized), None)
+    alone = np.array([gap is None or b"<" in x for x in words], bool)
+    n = np.zeros(len(words), np.int64)
+    parts: dict[int, np.ndarray] = {}
+    together = np.flatnonzero(~alone)
+    for lo in range(0, len(together), _TOGETHER):
+        part = together[lo : lo + _TOGETHER]
+        text = gap[1].content.encode().join([words[i] for i in part]).decode()
+        ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        at = np.flatnonzero(ids == gap[0])
+        n[part] = np.diff(np.r_[-1, at, len(ids)]) - 1
+        parts[int(part[0])] = ids[ids != gap[0]].astype(dtype)
+    single = {int(i): np.array(e.ids, dtype) for i, e in zip(np.flatnonzero(alone), tok.encode_batch_fast([words[i].decode() for i in np.flatnonzero(alone)], add_special_tokens=False), strict=True)}
+    for i, x in single.items():
+        n[i] = len(x)
+    to = np.r_[0, np.cumsum(n)]
+    out = np.zeros(to[-1], dtype)
+    own = np.repeat(alone, n)
+    out[~own] = np.concatenate([np.zeros(0, dtype), *parts.values()])
+    out[own] = np.concatenate([np.zeros(0, dtype), *single.values()])
+    return out, n
+
+
 def encode(path: str, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the documents in buf and their offsets. White space ends every pre-token of this tokenizer, so words are encoded once each."""
+    """Ids of the documents in buf and their offsets; a distinct piece is encoded once."""
     tok, cache = _tokenizer(path)
-    w = T.words_of(buf, off)
+    buf, w = pieces(buf, off) if len(buf) else (buf, T.words_of(buf, off))
     if not len(w.start):
         return np.zeros(0, cache.dtype), np.zeros(len(off), np.int64)
     h = T.span_hashes(buf, w.start, w.end)
@@ -65,15 +124,15 @@ def encode(path: str, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.
 
     def make(new: np.ndarray):
         k = one[new]
-        words = [buf[a:b].tobytes().decode() for a, b in zip(w.start[k], w.end[k], strict=True)]
-        ids = [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
-        return np.fromiter((i for x in ids for i in x), cache.dtype), np.array([len(x) for x in ids], np.int64)
+        data = buf.tobytes()
+        words = [data[a:b] for a, b in zip(w.start[k].tolist(), w.end[k].tolist(), strict=True)]
+        return _encoded_words(tok, words, cache.dtype)
 
     ids, to = cache.join(cache.slots(h[one], make)[back])
     return ids, to[w.first]
 
 
-def cuts(ids: np.ndarray) -> np.ndarray:
+def cuts(ids: np.ndarray) -> list[int]:
     """The ends of the chunks of one document's stream."""
     h = _GEAR[ids & 0xFFFF]
     k = 1
@@ -89,7 +148,7 @@ def cuts(ids: np.ndarray) -> np.ndarray:
         if m - last >= SHORTEST or m == len(ids) and m > last:
             out.append(m)
             last = m
-    return np.array(out, np.int64)
+    return out
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -116,18 +175,19 @@ def _encoded(it, path: str, end_id: int, keys: int):
 
             ids, to = encode(path, buf[off[i] : off[j]], off[i : j + 1] - off[i])
             for d in range(j - i):
-                own = np.r_[ids[to[d] : to[d + 1]], ids.dtype.type(end_id)]
+                own = np.append(ids[to[d] : to[d + 1]], ids.dtype.type(end_id))
                 ends = cuts(own)
                 digests = []
-                for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True):
-                    data = own[a:b].astype(own.dtype.newbyteorder("<")).tobytes()
+                stream, wide = own.astype(own.dtype.newbyteorder("<")).tobytes(), own.itemsize
+                for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                    data = stream[wide * a : wide * b]
                     digests.append(digest := hashlib.sha256(data).digest())
                     if digest not in sent:
                         if len(sent) >= 1 << 18:  # what is sent twice is dropped after the shuffle
                             sent.clear()
                         sent.add(digest)
                         add(key=int.from_bytes(digest[:4], "little") % keys, kind="chunk", digest=digest, data=data)
-                add(key=zlib.crc32(digests[0]) % keys, kind="recipe", doc_id=doc_ids[i + d], n_tokens=len(own), chunks=digests, sizes=np.diff(np.r_[0, ends]).tolist(), root=merkle(digests))
+                add(key=zlib.crc32(digests[0]) % keys, kind="recipe", doc_id=doc_ids[i + d], n_tokens=len(own), chunks=digests, sizes=[b - a for a, b in zip([0, *ends[:-1]], ends, strict=True)], root=merkle(digests))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()), strict=True)], list(rows))
 
 
@@ -148,7 +208,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     p = partitions(spark)
     made = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda it: _encoded(it, tokenizer_path, end_id, 1 << 20), OBJECTS)
     made = made.repartition(p, "key").sortWithinPartitions("kind", "digest").mapInArrow(_once, OBJECTS)
-    made.drop("key").write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/objects")
+    made.drop("key").write.option("compression", "snappy").partitionBy("kind").parquet(f"{folder}/objects")
 
     objects = spark.read.schema("digest binary, data binary, doc_id long, n_tokens long, chunks array<binary>, sizes array<int>, root binary, kind string").parquet(f"{folder}/objects")
     found = objects.filter("kind = 'recipe'").select("doc_id", "n_tokens", "chunks", "sizes", "root")
