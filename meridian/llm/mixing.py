@@ -59,13 +59,15 @@ def _shared(children: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 def budgets(sizes: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], percent: int, max_epochs: int) -> DataFrame:
     """sizes (levels..., tokens) with the budget of each leaf; the total is percent of all tokens."""
-    spent = sizes.agg((F.coalesce(F.sum("tokens"), F.lit(0)) * percent).alias("total"), F.coalesce(F.sum("tokens") * max_epochs, F.lit(0)).alias("most"))
-    parents = spent.select(F.least(F.expr("total div 100"), "most").alias("budget"))
+    parents = None
     for depth in range(1, len(levels) + 1):
         above, here = levels[: depth - 1], levels[:depth]
         nodes = sizes.filter("tokens > 0").groupBy(*here).agg((F.sum("tokens") * max_epochs).alias("capacity")).withColumn("weight", _weight(here[-1], weights.get(here[-1], {})))
-        known = parents.select(*above, F.col("budget").alias("parent_budget"))
-        nodes = nodes.join(known, above) if above else nodes.crossJoin(F.broadcast(known))  # the root is one row
+        if parents is None:  # the root's capacity is that of the nodes of the first level
+            every = F.sum("capacity").over(Window.partitionBy(F.lit(0)))
+            nodes = nodes.withColumn("most", every).withColumn("parent_budget", F.least(F.expr(f"most div {max_epochs} * {percent} div 100"), "most")).drop("most")
+        else:
+            nodes = nodes.join(parents.select(*above, F.col("budget").alias("parent_budget")), above)
         parents = _shared(nodes, above or [F.lit(0)], here[-1])
     return sizes.join(parents.select(*levels, "budget"), levels)
 
