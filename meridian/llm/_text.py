@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _R = {0: 0x9E3779B97F4A7C15, 1: 0xD6E8FEB86659FD93, 2: 0xA0761D6478BD642F}
 _pow: dict[tuple[int, bool], np.ndarray] = {}
 
@@ -85,7 +85,7 @@ def words_of(buf: np.ndarray, off: np.ndarray) -> Words:
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
-    """A hash of buf[start:end] for each span; spans ascend and don't overlap. Works in blocks of about 1 MB."""
+    """A hash of buf[start:end] for each span; spans ascend and don't overlap. Works in blocks of BLOCK bytes."""
     out = np.empty(len(start), U64)
     i = 0
     while i < len(start):

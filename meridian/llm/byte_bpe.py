@@ -31,8 +31,8 @@ from meridian.llm._cache import IdCache, Lookup
 from meridian.llm._pretoken import pretokens
 
 NONE = np.uint32(0xFFFFFFFF)
-SLICE = 2 << 20  # bytes of text in work at a time
-CACHED = 1 << 20  # pre-tokens kept per worker
+SLICE = 1 << 20  # bytes of text in work at a time
+CACHED = 1 << 17  # pre-tokens kept per worker
 
 
 class Ranks:
@@ -40,17 +40,17 @@ class Ranks:
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.byte = np.array([self.rank[bytes([i])] for i in range(256)], np.uint32)
-        top = max(self.rank.values()) + 1
+            rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.byte = np.array([rank[bytes([i])] for i in range(256)], np.uint32)
+        top = max(rank.values()) + 1
         pairs = {}
-        for token, r in self.rank.items():
+        for token, r in rank.items():
             for k in range(1, len(token)):
-                if (a := self.rank.get(token[:k])) is not None and (b := self.rank.get(token[k:])) is not None:
+                if (a := rank.get(token[:k])) is not None and (b := rank.get(token[k:])) is not None:
                     pairs[a << 32 | b] = r
         self.pairs = Lookup(np.fromiter(pairs, np.uint64, len(pairs)), np.fromiter(pairs.values(), np.uint32, len(pairs)), NONE)
         tokens: list[bytes] = [b""] * top
-        for token, r in self.rank.items():
+        for token, r in rank.items():
             tokens[r] = token
         self.length = np.array([len(x) for x in tokens], np.int64)
         self.at = np.r_[0, np.cumsum(self.length)]

@@ -57,6 +57,7 @@ class _Chunk:
         self._hash()
 
     def _hash(self):
+        pa.default_memory_pool().release_unused()  # what the groups before have left
         self.words = T.words_of(self.buf, self.off)
         self.n = len(self.words.start)
         self.hashes = T.span_hashes(self.buf, self.words.start, self.words.end)

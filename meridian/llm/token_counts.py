@@ -33,7 +33,7 @@ from meridian.llm._pretoken import pretokens
 from meridian.llm.byte_bpe import slices
 
 DEEP = 64
-CACHED = 1 << 20  # pre-tokens kept per worker
+CACHED = 1 << 18  # pre-tokens kept per worker
 UNIT = 10_000  # parts of a cost's unit
 _COUNT = 24  # low bits of a sum that hold the number of pieces
 _FAR = np.int64(1) << np.int64(61)

@@ -166,7 +166,7 @@ def _encoded(it, path: str, end_id: int, keys: int):
     for batch in it:
         buf, off = T.string_buffers(batch.column(1))
         doc_ids = batch.column(0).to_pylist()
-        for i, j in slices(off):
+        for i, j in slices(off, 2 << 20):
             rows = {n: [] for n in ("key", "kind", "digest", "data", "doc_id", "n_tokens", "chunks", "sizes", "root")}
 
             def add(rows=rows, **x):
