@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ def elo(games: DataFrame, start: float = 1200.0) -> DataFrame:
             expected = 1 / (1 + 10 ** ((rb - ra) / 400))
             for p, old, gain in ((a, ra, s - expected), (b, rb, expected - s)):
                 k = 32 if played.get(p, 0) < 30 else 16
-                rating[p] = float(int(old + k * gain + 0.5))
+                rating[p] = float(math.floor(old + k * gain + 0.5))
                 played[p] = played.get(p, 0) + 1
         return pd.DataFrame({"pool": rows["pool"].iloc[0], "player": list(rating), "rating": list(rating.values()), "games": [played[p] for p in rating]})
 
