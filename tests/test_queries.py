@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables, and worked examples of the rest."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(df):
     cols = sorted(df.columns)
-    value = lambda v: None if v is None or v != v else round(float(v), 5) if isinstance(v, float) else v
+    value = lambda v: None if pd.isna(v) else round(float(v), 5) if isinstance(v, float) else v
     return sorted((tuple(value(v) for v in r) for r in df[cols].astype(object).itertuples(index=False)), key=str)
 
 
