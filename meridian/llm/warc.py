@@ -28,9 +28,10 @@ CRLF = "\r\n"
 #: Tags that end a line, and named entities.
 BLOCKS = "address article aside blockquote body br dd div dl dt footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td th thead title tr ul".split()
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "laquo": "«", "raquo": "»", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "euro": "€", "amp": "&"}
-GONE = r"(?is)<!--.*?(-->|\z)|<script\b.*?(</script\s*>|\z)|<style\b.*?(</style\s*>|\z)"
-BREAKS = rf"(?i)</?({'|'.join(BLOCKS)})\b[^>]*(>|\z)"
-TAGS = r"<[a-zA-Z/!?][^>]*(>|\z)"
+GONE = r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z))"
+BREAKS = rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*(?:>|\z)"
+TAGS = r"<[a-zA-Z/!?][^>]*(?:>|\z)"
+WHITE = r"[ \t\r\f\x0B\xA0]{2,}|[\t\r\f\x0B\xA0]"  # a single space stays as it is
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -53,9 +54,14 @@ def _numeric(text: Column) -> Column:
 
 def text_of(html: Column) -> Column:
     """The text of an HTML page, lines between blocks."""
-    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, GONE, " "), BREAKS, "\n"), TAGS, "")
+    return _text(F.regexp_replace(html, GONE, " "))
+
+
+def _text(clean: Column) -> Column:
+    """The text of a page without comments, scripts and styles."""
+    out = F.regexp_replace(F.regexp_replace(clean, BREAKS, "\n"), TAGS, "")
     out = reduce(lambda t, e: F.replace(t, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES.items(), _numeric(out))
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t\r\f\x0B\xA0]+", " "), r" ?\n[ \n]*", "\n")
+    out = F.regexp_replace(F.regexp_replace(out, WHITE, " "), r" ?\n[ \n]*", "\n")
     return F.trim(F.regexp_replace(out, r"^\n|\n\z", ""))
 
 
@@ -85,8 +91,8 @@ def derive(found: DataFrame) -> DataFrame:
     rest = [F.col(f"`{c}`") for c in found.columns if c not in own and c not in ADDED]
     html = F.make_valid_utf8(F.coalesce(F.col("payload"), F.lit(b"")).cast("string"))
     rows = found.select(*rest, F.col("record_id").alias("refers_to"), "target_uri", "date", F.coalesce("http_header", F.lit("")).alias("__head"), html.alias("__html"), _digest(F.coalesce(F.col("payload"), F.lit(b""))).alias("source_digest"))
-    rows = rows.withColumn("__text", text_of(F.col("__html")))
-    links = F.transform(F.regexp_extract_all(F.regexp_replace("__html", GONE, " "), F.lit(r'(?i)<a\b[^>]*?href="([^"\r\n]*)"'), 1), lambda x: F.concat(F.lit("outlink: "), x, F.lit(CRLF)))
+    rows = rows.withColumn("__clean", F.regexp_replace("__html", GONE, " "))
+    links = F.transform(F.regexp_extract_all(F.col("__clean"), F.lit(r'(?i)<a\b[^>]*?href="([^"\r\n]*)"'), 1), lambda x: F.concat(F.lit("outlink: "), x, F.lit(CRLF)))
     title = F.trim(F.regexp_replace(F.regexp_extract("__html", r"(?is)<title\b[^>]*>(.*?)</title", 1), r"[ \t\r\n]+", " "))
     lang = F.regexp_extract("__html", r'(?i)<html\b[^>]*?lang="([^"\r\n]*)"', 1)
     fields = F.concat(
@@ -98,7 +104,7 @@ def derive(found: DataFrame) -> DataFrame:
     def record(kind: str, content: str, block: Column) -> Column:
         return F.struct(F.lit(kind).alias("warc_type"), F.lit(content).alias("content_type"), block.alias("block"))
 
-    both = F.array(record("metadata", "application/warc-fields", fields), record("conversion", "text/plain; charset=UTF-8", F.col("__text")))
+    both = F.array(record("metadata", "application/warc-fields", fields), record("conversion", "text/plain; charset=UTF-8", _text(F.col("__clean"))))
     rows = rows.withColumn("__r", F.explode(both)).select(*rest, "refers_to", "target_uri", "date", "source_digest", "__r.*")
     rows = rows.withColumns({"record_id": _uuid(F.col("warc_type"), F.coalesce("refers_to", F.lit(""))), "block_digest": _digest(F.col("block")), "content_length": F.octet_length("block").cast("long")})
     return rows.withColumn("record", serialised()).select(*rest, *ADDED)
