@@ -62,7 +62,7 @@ def _text(clean: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(clean, BREAKS, "\n"), TAGS, "")
     out = reduce(lambda t, e: F.replace(t, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES.items(), _numeric(out))
     out = F.regexp_replace(F.regexp_replace(out, WHITE, " "), r" ?\n[ \n]*", "\n")
-    return F.trim(F.regexp_replace(out, r"^\n|\n\z", ""))
+    return F.btrim(out, F.lit(" \n"))
 
 
 def _uuid(*parts: Column) -> Column:
