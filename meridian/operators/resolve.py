@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,3 +23,19 @@ def account(names: DataFrame, users: DataFrame) -> DataFrame:
     """names (name) with the id of the first user (id, username, display) whose username or display name it equals, case and outer space aside."""
     keys = users.select("id", F.explode(F.array("username", "display")).alias("key")).select("id", F.lower(F.trim("key")).alias("key")).groupBy("key").agg(F.min("id").alias("user"))
     return names.withColumn("key", F.lower(F.trim("name"))).join(keys, "key", "left").drop("key")
+
+
+def cascade(left: DataFrame, right: DataFrame, steps: list[tuple[Callable[[Column], Column], float]], order: Column) -> DataFrame:
+    """left (id, name, ...) with other and score of the first step that makes the names equal; of equal names in right (other, name) the last by order counts.
+
+    Steps change left's name only; both columns are null without a match. Each step's rows are joined once, on one shuffled key.
+    """
+    known = right.groupBy("name").agg(F.max_by("other", order).alias("other"))
+    tries = F.explode(F.array(*(F.struct(step(F.col("name")).alias("key"), F.lit(score).alias("score")) for step, score in steps))).alias("t")
+    found = left.select("id", tries).select("id", "t.*").join(known, F.col("key") == F.col("name")).groupBy("id").agg(F.max(F.struct("score", "other")).alias("m")).select("id", "m.other", "m.score")
+    return left.join(found, "id", "left")
+
+
+def rekey(rows: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
+    """column's values by mapping (old, new); a value that it lacks stays."""
+    return rows.join(mapping, F.col(column) == F.col("old"), "left").withColumn(column, F.coalesce("new", column)).select(*rows.columns)
