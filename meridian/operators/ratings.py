@@ -39,3 +39,69 @@ def elo(games: DataFrame, start: float = 1200.0) -> DataFrame:
         return pd.DataFrame({"pool": rows["pool"].iloc[0], "player": list(rating), "rating": list(rating.values()), "games": [played[p] for p in rating]})
 
     return games.groupBy("pool").applyInPandas(fold, "pool string, player long, rating double, games long")
+
+
+#: Fixed values of the Glicko-2 scale: where it is centred, its unit, how much volatility may change, where its search ends; a new player's state and the opponent that stands for unknown ones.
+CENTRE, UNIT, TAU, CLOSE = 1500.0, 173.7178, 0.5, 1e-6
+NEW_PLAYER, UNKNOWN = (1500.0, 350.0, 0.06), (1500.0, 200.0)
+
+
+def glicko_period(state: tuple[float, float, float], games: list[tuple[float, float, float, int]]) -> tuple[float, float, float]:
+    """A rating (rating, deviation, volatility) after a period's games (opponent's rating and deviation, score, how many alike)."""
+    rating, deviation, volatility = state
+    mu, phi = (rating - CENTRE) / UNIT, deviation / UNIT
+    information = gain = 0.0
+    for other, spread, score, times in games:
+        p = spread / UNIT
+        g = 1 / math.sqrt(1 + 3 * p * p / math.pi**2)
+        e = 1 / (1 + math.exp(-g * (mu - (other - CENTRE) / UNIT)))
+        information += times * g * g * e * (1 - e)
+        gain += times * g * (score - e)
+    if information == 0:
+        return rating, UNIT * math.hypot(phi, volatility), volatility
+    v = 1 / information
+    centre, excess = math.log(volatility**2), (v * gain) ** 2 - phi * phi - v
+
+    def slope(x: float) -> float:
+        s = math.exp(x)
+        return s * (excess - s) / (2 * (phi * phi + v + s) ** 2) - (x - centre) / TAU**2
+
+    low = centre
+    if excess > 0:
+        high = math.log(excess)
+    else:
+        k = 1
+        while slope(centre - k * TAU) < 0:
+            k += 1
+        high = centre - k * TAU
+    f_low, f_high = slope(low), slope(high)
+    while abs(high - low) > CLOSE:
+        x = low + (low - high) * f_low / (f_high - f_low)
+        f = slope(x)
+        low, f_low = (high, f_high) if f * f_high <= 0 else (low, f_low / 2)
+        high, f_high = x, f
+    volatility = math.exp(low / 2)
+    phi = 1 / math.sqrt(1 / (phi * phi + volatility**2) + 1 / v)
+    return CENTRE + UNIT * (mu + phi * phi * gain), UNIT * phi, volatility
+
+
+def glicko(results: DataFrame) -> DataFrame:
+    """results (player, period, wins, losses, draws): each player's rating before and after every period, against opponents of unknown strength.
+
+    Counts are summed by player and period before the shuffle, so a player's group holds one row a period. Null counts are 0; a
+    period without games makes the deviation grow; rows without a player or a period are left out.
+    """
+    counts = ("wins", "losses", "draws")
+    per = results.filter("player is not null and period is not null").groupBy("player", "period").agg(*(F.sum(F.coalesce(F.col(c), F.lit(0))).cast("int").alias(c) for c in counts))
+    scores = (1.0, 0.0, 0.5)
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        state, out = NEW_PLAYER, []
+        for r in rows.sort_values("period").itertuples(index=False):
+            after = glicko_period(state, [(*UNKNOWN, s, n) for s, n in zip(scores, (r.wins, r.losses, r.draws)) if n])
+            out.append((r.player, r.period, state[0], *after, after[0] - state[0]))
+            state = after
+        return pd.DataFrame(out, columns=["player", "period", "before", "rating", "deviation", "volatility", "delta"])
+
+    kinds = {c: per.schema[c].dataType.simpleString() for c in ("player", "period")}
+    return per.groupBy("player").applyInPandas(fold, f"player {kinds['player']}, period {kinds['period']}, before double, rating double, deviation double, volatility double, delta double")
