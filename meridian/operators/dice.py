@@ -27,3 +27,10 @@ def running(rolls: DataFrame) -> DataFrame:
     out = rolls.withColumns({"n": F.count("*").over(so_far), **{f"f{f}": F.count_if(F.col("face") == f).over(so_far) for f in range(1, 7)}})
     squares = sum((F.col(f"f{f}") * F.col(f"f{f}") for f in range(1, 7)), F.lit(0))
     return out.select("session", "event_id", "n", F.round(squares * 6 / F.col("n") - F.col("n"), 6).alias("chi"))
+
+
+def undone(rolls: DataFrame) -> DataFrame:
+    """Counts by session and face, the latest roll of a session taken back: a change of -1 for it, summed with the rolls' +1."""
+    latest = rolls.groupBy("session").agg(F.max_by("face", F.struct("ts", "event_id")).alias("face"))
+    changes = rolls.select("session", "face", F.lit(1).alias("change")).unionByName(latest.withColumn("change", F.lit(-1)))
+    return changes.groupBy("session", "face").agg(F.sum("change").alias("n"))

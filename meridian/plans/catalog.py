@@ -137,13 +137,13 @@ def unit_ratings(spark: SparkSession, d: str) -> DataFrame:
     return ratings.unit_ratings(rows.select(F.col("l_partkey").alias("unit"), (F.col("o_orderstatus") == "F").alias("won"), F.col("p_size").alias("points")))
 
 
-_DICE = f"""WITH {ROLLS_SQL}, c AS (SELECT session, count(*) AS n, {", ".join(f"count(*) FILTER (face = {f}) AS f{f}" for f in range(1, 7))} FROM rolls GROUP BY 1),
+DICE_SQL = f"""WITH {ROLLS_SQL}, c AS (SELECT session, count(*) AS n, {", ".join(f"count(*) FILTER (face = {f}) AS f{f}" for f in range(1, 7))} FROM rolls GROUP BY 1),
 z AS (SELECT *, [{", ".join(f"round(abs((f{f} / n - 1.0 / 6) / sqrt(1.0 / 6 * (5.0 / 6) / n)), 6)" for f in range(1, 7))}] AS z, {" + ".join(f"(f{f} - n / 6) * (f{f} - n / 6) / (n / 6)" for f in range(1, 7))} AS chi FROM c)
 SELECT session, n, CASE WHEN n < 30 THEN 'low' WHEN n < 60 THEN 'medium' ELSE 'high' END AS confidence, CASE WHEN n >= 30 THEN round(list_max(z), 2) ELSE 0.0 END AS max_z,
   CAST(CASE WHEN n >= 30 THEN list_position(z, list_max(z)) ELSE 0 END AS BIGINT) AS face, CASE WHEN n >= 30 THEN round(chi, 6) ELSE 0.0 END AS chi, n >= 30 AND (list_max(z) >= 2.5 OR round(chi, 6) > 11.07) AS loaded FROM z"""
 
 
-@query("dice_analysis", _DICE)
+@query("dice_analysis", DICE_SQL)
 def dice_analysis(spark: SparkSession, d: str) -> DataFrame:
     return dice.analysis(rolls(spark, d))
 

@@ -49,11 +49,15 @@ pairings AS (SELECT a.event, a.game, a.player AS p1, a.vp AS vp1, b.player AS p2
   FROM (SELECT * FROM halves WHERE side = 1) a LEFT JOIN (SELECT * FROM halves WHERE side = 0) b USING (event, game))"""
 
 
-def rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def roll_columns(events: DataFrame) -> DataFrame:
     """Dice: a session is a user's half of a month, a face comes from the event's properties."""
     k = F.get_json_object("props", "$.k").cast("int")
     half = F.when(F.dayofmonth("ts") <= 15, "a").otherwise("b")
-    return table(spark, sf_dir, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), half).alias("session"), "ts", "event_id", (k % 6 + 1).alias("face"))
+    return events.select(F.concat_ws("-", F.col("user_id").cast("string"), half).alias("session"), "ts", "event_id", (k % 6 + 1).alias("face"))
+
+
+def rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roll_columns(table(spark, sf_dir, "events"))
 
 
 ROLLS_SQL = """rolls AS (SELECT concat_ws('-', CAST(user_id AS VARCHAR), CASE WHEN day(ts) <= 15 THEN 'a' ELSE 'b' END) AS session, ts, event_id, CAST(json_extract_string(props, '$.k') AS INT) % 6 + 1 AS face FROM events)"""
