@@ -37,3 +37,25 @@ def orphans(checks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFra
     """Rows without a parent, counted by check (name, child, child key, parent, parent key)."""
     found = [c.filter(F.col(ck).isNotNull()).join(p, F.col(ck) == F.col(pk), "left_anti").select(F.lit(name).alias("check")) for name, c, ck, p, pk in checks]
     return reduce(DataFrame.unionByName, found).groupBy("check").agg(F.count("*").alias("violations"))
+
+
+def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that occur more than once, with their number of rows; keys with a null are no duplicates."""
+    return rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def patched(base: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:
+    """base with the patch's columns where it gives a value; one patch row a key, unknown keys change nothing."""
+    given = [c for c in patch.columns if c not in keys]
+    new = patch.select(*keys, *(F.col(c).alias(f"__{c}") for c in given))
+    return base.join(new, keys, "left").select(*(F.coalesce(f"__{c}", c).alias(c) if c in given else F.col(c) for c in base.columns))
+
+
+def cascade_delete(rows: DataFrame, chosen: Column, key: str, children: list[tuple[DataFrame, str, str | None]]) -> list[DataFrame]:
+    """What is left of rows and of each level of children (table, its parent's key, its own key) below them."""
+    gone, left = rows.filter(chosen).select(F.col(key).alias("__gone")).distinct(), [rows.filter(~F.coalesce(chosen, F.lit(False)))]
+    for child, parent, own in children:
+        left.append(child.join(gone, F.col(parent) == F.col("__gone"), "left_anti"))
+        if own:
+            gone = child.join(gone, F.col(parent) == F.col("__gone"), "left_semi").select(F.col(own).alias("__gone")).distinct()
+    return left

@@ -34,3 +34,9 @@ def matchups(entries: DataFrame) -> DataFrame:
     pairs = rows.filter(2 * F.col("placement") <= F.col("n")).join(low, ["event", "placement"]).filter("faction <> other")
     pairs = pairs.select(F.least("faction", "other").alias("a"), F.greatest("faction", "other").alias("b"), (F.col("faction") < F.col("other")).alias("a_won"))
     return pairs.groupBy("a", "b").agg(F.count_if("a_won").alias("a_wins"), F.count("*").alias("games")).withColumn("a_win_rate", F.round(F.col("a_wins") / F.col("games"), 6))
+
+
+def top_lists(entries: DataFrame, n: int | None = None) -> DataFrame:
+    """Best places first, then most wins, then by event; the first n (all without n)."""
+    rows = entries.orderBy("placement", F.desc("wins"), "event")
+    return rows.limit(n) if n else rows
