@@ -32,14 +32,19 @@ def wound_target(strength: Column, toughness: Column) -> Column:
     return F.when(strength >= 2 * toughness, 2).when(strength > toughness, 3).when(strength == toughness, 4).when(2 * strength > toughness, 5).otherwise(6)
 
 
+def weapons(rows: DataFrame) -> DataFrame:
+    """Adds to weapons (attacks and damage as dice text, skill, strength, ap, abilities of parse.abilities) their dice and the sums and flags of their abilities; null abilities are none."""
+    rows = rows.withColumn("abilities", F.coalesce("abilities", F.array().cast(f"array<{parse.ABILITY_TYPE}>")))
+    return rows.withColumns({k.lower(): _total(k) for k in SUMS} | {k.lower(): _has(k) for k in FLAGS} | {"attack_dice": parse.dice(parse.dice_text(F.col("attacks"))), "damage_dice": parse.dice(parse.dice_text(F.col("damage")))})
+
+
 def odds(rows: DataFrame) -> DataFrame:
-    """Adds the chances of every roll to rows of a weapon and its target.
+    """Adds the chances of every roll to rows of a weapon (as weapons() gives it) and its target.
 
-    Weapon: attacks and damage (dice text), skill, strength, ap, abilities (parse.abilities). Target: toughness, save, invuln and
-    fnp (null: none), wounds, models, keywords. A null list of abilities or keywords is an empty one.
+    Target: toughness, save, invuln and fnp (null: none), wounds, models, keywords (null: none). Call weapons() before a join with
+    targets, so that texts are read once a weapon.
     """
-    rows = rows.withColumns({"abilities": F.coalesce("abilities", F.array().cast(f"array<{parse.ABILITY_TYPE}>")), "keywords": F.transform(F.coalesce("keywords", F.array().cast("array<string>")), F.lower)})
-    rows = rows.withColumns({k.lower(): _total(k) for k in SUMS} | {k.lower(): _has(k) for k in FLAGS} | {"attack_dice": parse.dice(parse.dice_text(F.col("attacks"))), "damage_dice": parse.dice(parse.dice_text(F.col("damage")))})
+    rows = rows.withColumn("keywords", F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda x: F.lower(x)))
     against = F.filter("abilities", lambda a: (a["type"] == "ANTI") & F.array_contains(F.col("keywords"), F.lower(a["keyword"])))
     target = _clamp(wound_target(F.col("strength") + F.col("strength_mod"), F.greatest(F.lit(1), F.col("toughness") + F.col("toughness_mod"))) - F.col("wound_mod"))
     save = F.least(F.lit(7), F.col("save") - F.col("ap"), F.col("invuln"))

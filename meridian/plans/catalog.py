@@ -98,7 +98,7 @@ _SIDES = f"""WITH {PAIRINGS_SQL}, sides AS (
 _STANDINGS = f"""{_SIDES}, record AS (SELECT event, player, sum(won) AS wins, sum(1 - won - drew) AS losses, sum(drew) AS draws, sum(vp) AS vp, sum(vp - against) AS margin, count(*) AS games FROM sides GROUP BY 1, 2),
 strength AS (SELECT s.event, s.player, avg(r.wins / r.games) AS sos FROM sides s JOIN record r ON r.event = s.event AND r.player = s.opponent GROUP BY 1, 2)
 SELECT event, player, CAST(wins AS BIGINT) AS wins, CAST(losses AS BIGINT) AS losses, CAST(draws AS BIGINT) AS draws, CAST(vp AS BIGINT) AS vp, CAST(margin AS BIGINT) AS margin, games, round(coalesce(sos, 0), 6) AS sos,
-  row_number() OVER (PARTITION BY event ORDER BY wins DESC, margin DESC, round(coalesce(sos, 0), 6) DESC, vp DESC, player) AS place FROM record LEFT JOIN strength USING (event, player)"""
+  CAST(row_number() OVER (PARTITION BY event ORDER BY wins DESC, margin DESC, round(coalesce(sos, 0), 6) DESC, vp DESC, player) AS INT) AS place FROM record LEFT JOIN strength USING (event, player)"""
 
 
 @query("standings", _STANDINGS)
@@ -264,7 +264,7 @@ def haversine_sort(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", F.round(2 * 6371 * F.asin(F.least(F.lit(1.0), F.sqrt(h))), 3).alias("km"))
 
 
-@query("suggestions_better_cheaper", """SELECT unit, better, rank FROM (SELECT a.p_partkey AS unit, b.p_partkey AS better, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_size DESC, b.p_partkey) AS rank
+@query("suggestions_better_cheaper", """SELECT unit, better, CAST(rank AS INT) AS rank FROM (SELECT a.p_partkey AS unit, b.p_partkey AS better, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_size DESC, b.p_partkey) AS rank
 FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND b.p_size > a.p_size AND b.p_retailprice <= a.p_retailprice) WHERE rank <= 3""")
 def suggestions_better_cheaper(spark: SparkSession, d: str) -> DataFrame:
     """Up to three larger units of the same kind that cost no more."""

@@ -17,16 +17,19 @@ _EVERY = {"Lethal Hits": 2, "Sustained Hits (2)": 3, "[DEVASTATING WOUNDS].": 5,
 def attacks(spark: SparkSession, d: str) -> DataFrame:
     """A row for each part and each of its suppliers: weapon, target and their numbers."""
     pairs = table(spark, d, "lineitem").select(F.col("l_partkey").alias("weapon"), F.col("l_suppkey").alias("target")).distinct()
-    k, t = F.col("weapon"), F.col("target")
+    k, t = F.col("p_partkey"), F.col("target")
     shots = F.when(k % 4 == 0, "D6").when(k % 4 == 1, " 2d3 + 1").when(k % 4 == 2, "3").otherwise("D6-1")
     text = F.concat_ws(", ", *(F.when(k % n == 0, name) for name, n in _EVERY.items()))
-    rows = pairs.join(table(spark, d, "part").select(F.col("p_partkey").alias("weapon"), "p_size"), "weapon").select(
-        "weapon", "target", shots.alias("attacks"), (2 + k % 5).alias("skill"), (F.col("p_size") % 12 + 1).alias("strength"), (-(k % 4)).alias("ap"),
+    # Texts are read once a weapon, before the join multiplies them.
+    weapons = table(spark, d, "part").select(
+        k.alias("weapon"), shots.alias("attacks"), (2 + k % 5).alias("skill"), (F.col("p_size") % 12 + 1).alias("strength"), (-(k % 4)).alias("ap"),
         F.when(k % 3 == 0, "1").when(k % 3 == 1, "D3").otherwise("2").alias("damage"), parse.abilities(text).alias("abilities"),
-        (t % 10 + 2).alias("toughness"), (t % 5 + 2).alias("save"), F.when(t % 3 == 0, 4).alias("invuln"), F.when(t % 4 == 0, 5).alias("fnp"), (t % 4 + 1).alias("wounds"), (t % 10 + 1).alias("models"),
-        F.when(t % 2 == 0, F.array(F.lit("INFANTRY"))).alias("keywords"),
     )
-    return rows
+    target = {
+        "toughness": t % 10 + 2, "save": t % 5 + 2, "invuln": F.when(t % 3 == 0, 4), "fnp": F.when(t % 4 == 0, 5), "wounds": t % 4 + 1, "models": t % 10 + 1,
+        "keywords": F.when(t % 2 == 0, F.array(F.lit("INFANTRY"))),
+    }
+    return combat.weapons(weapons).join(pairs, "weapon").withColumns(target)
 
 
 ATTACKS_SQL = """a AS (SELECT DISTINCT l_partkey AS weapon, l_suppkey AS target FROM lineitem),
@@ -68,4 +71,4 @@ def combat_simulate(spark: SparkSession, d: str) -> DataFrame:
 @query("monte_carlo_summary")
 def monte_carlo_summary(spark: SparkSession, d: str) -> DataFrame:
     """Damage of all weapons on each target, over 200 rounds. Random, so there is no SQL; tested against the expected values."""
-    return combat.summary(combat.simulate(attacks(spark, d), ["target"], "weapon", iterations=200, seed=7, slice_size=100), ["target"])
+    return combat.summary(combat.simulate(attacks(spark, d), ["target"], "weapon", iterations=200, seed=7, slice_size=200), ["target"])

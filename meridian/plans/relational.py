@@ -10,14 +10,14 @@ from meridian.plans.registry import query
 from meridian.sources.views import ENTRIES_SQL, PAIRINGS_SQL, entries, pairings, table
 
 
-@query("meta_top_lists", f"WITH {ENTRIES_SQL} SELECT event, placement, faction, wins, losses, draws FROM entries WHERE faction = 'FRANCE' ORDER BY placement, wins DESC, event LIMIT 20")
+@query("meta_top_lists", f"WITH {ENTRIES_SQL} SELECT event, CAST(placement AS INT) AS placement, faction, CAST(wins AS BIGINT) AS wins, CAST(losses AS BIGINT) AS losses, CAST(draws AS BIGINT) AS draws FROM entries WHERE faction = 'NATION_11' ORDER BY placement, wins DESC, event LIMIT 20")
 def meta_top_lists(spark: SparkSession, d: str) -> DataFrame:
-    return meta.top_lists(entries(spark, d).filter("faction = 'FRANCE'"), 20).select("event", "placement", "faction", "wins", "losses", "draws")
+    return meta.top_lists(entries(spark, d).filter("faction = 'NATION_11'"), 20).select("event", "placement", "faction", "wins", "losses", "draws")
 
 
-@query("meta_timeline_one_faction", f"WITH {ENTRIES_SQL} SELECT strftime(date_trunc('week', event_date), '%Y-%m-%d') AS week, CAST(sum(wins) AS BIGINT) AS wins, CAST(sum(wins + losses + draws) AS BIGINT) AS games FROM entries WHERE faction = 'FRANCE' GROUP BY 1")
+@query("meta_timeline_one_faction", f"WITH {ENTRIES_SQL} SELECT strftime(date_trunc('week', event_date), '%Y-%m-%d') AS week, CAST(sum(wins) AS BIGINT) AS wins, CAST(sum(wins + losses + draws) AS BIGINT) AS games FROM entries WHERE faction = 'NATION_11' GROUP BY 1")
 def meta_timeline_one_faction(spark: SparkSession, d: str) -> DataFrame:
-    return meta.timeline(entries(spark, d).filter("faction = 'FRANCE'")).select("week", "wins", "games")
+    return meta.timeline(entries(spark, d).filter("faction = 'NATION_11'")).select("week", "wins", "games")
 
 
 @query("matchup_matrix", f"""WITH {ENTRIES_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY event) AS n FROM entries),

@@ -88,7 +88,7 @@ def model_count_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("cascade_match", """WITH a AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 3 WHEN 1 THEN ' (old)' WHEN 2 THEN ' - x' ELSE '' END AS name FROM part), b AS (SELECT p_name AS name, max(p_partkey) AS other FROM part WHERE p_size > 5 GROUP BY 1)
-SELECT a.id, coalesce(x.other, y.other) AS other, CASE WHEN x.other IS NOT NULL THEN 1.0 WHEN y.other IS NOT NULL THEN 0.9 END AS score FROM a LEFT JOIN b x ON x.name = a.name LEFT JOIN b y ON y.name = regexp_replace(a.name, ' \\(old\\)$', '')""")
+SELECT a.id, coalesce(x.other, y.other) AS other, CAST(CASE WHEN x.other IS NOT NULL THEN 1.0 WHEN y.other IS NOT NULL THEN 0.9 END AS DOUBLE) AS score FROM a LEFT JOIN b x ON x.name = a.name LEFT JOIN b y ON y.name = regexp_replace(a.name, ' \\(old\\)$', '')""")
 def cascade_match(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     suffix = F.when(F.col("p_partkey") % 3 == 1, " (old)").when(F.col("p_partkey") % 3 == 2, " - x").otherwise("")
@@ -124,7 +124,7 @@ def latest_by_unit(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("l_partkey").agg(F.max_by("l_quantity", F.struct("o_orderdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")).alias("latest"))
 
 
-@query("first_by_faction", "SELECT s_nationkey, s_suppkey, place FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier) WHERE place <= 3")
+@query("first_by_faction", "SELECT s_nationkey, s_suppkey, CAST(place AS INT) AS place FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier) WHERE place <= 3")
 def first_by_faction(spark: SparkSession, d: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey"))
     return table(spark, d, "supplier").select("s_nationkey", "s_suppkey", place.alias("place")).filter("place <= 3")
