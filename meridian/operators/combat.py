@@ -84,6 +84,8 @@ def expected(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"best_removed": F.floor(F.col("best") / F.col("wounds")), "worst_removed": F.floor(F.col("worst") / F.col("wounds")), "best": tidy(F.col("best")), "worst": tidy(F.col("worst"))})
 
 
+#: Tasks among which the weapons of a key and slice are dealt.
+_SPREAD = 4
 _NUMBERS = ("hit", "hit_six", "wound", "wound_six", "through", "unhurt", "sustained_hits", "melta", "attacks_mod", "models", "wounds", "blast", "torrent", "lethal_hits", "devastating_wounds")
 
 
@@ -101,14 +103,16 @@ def _damage(r, rng: np.random.Generator, size: int) -> np.ndarray:
     n = np.maximum(n, 3) if r.blast and r.models >= 6 else n
     n = np.maximum(1, n + int(r.attacks_mod)) if r.attacks_mod else np.maximum(n, 0)
 
-    def split(k, p, six):
+    def split(k, p, six, apart):
+        if not apart:
+            return np.zeros_like(k), rng.binomial(k, min(1.0, p))
         found = rng.multinomial(k, [min(six, p), max(0.0, p - six), max(0.0, 1 - max(p, six))])
         return found[:, 0], found[:, 1]
 
-    sixes, others = (np.zeros_like(n), n) if r.torrent else split(n, r.hit, r.hit_six)
+    sixes, others = (np.zeros_like(n), n) if r.torrent else split(n, r.hit, r.hit_six, r.lethal_hits or r.sustained_hits)
     lethal = sixes if r.lethal_hits else np.zeros_like(n)
     hits = others + sixes - lethal + sixes * int(r.sustained_hits)
-    sixes, others = split(hits, r.wound, r.wound_six)
+    sixes, others = split(hits, r.wound, r.wound_six, r.devastating_wounds)
     mortal = sixes if r.devastating_wounds else np.zeros_like(n)
     unsaved = rng.binomial(others + sixes - mortal + lethal, r.through)
     width = int(unsaved.max(initial=0))
@@ -120,21 +124,28 @@ def _damage(r, rng: np.random.Generator, size: int) -> np.ndarray:
 def simulate(rows: DataFrame, keys: list[str], weapon: str, iterations: int = 5000, seed: int = 0, slice_size: int = 1000) -> DataFrame:
     """keys, damage, n: how often the weapons of a key (told apart by weapon) deal a total of damage.
 
-    Slices of the rounds are spread over tasks; the weapons of a slice are summed round by round after a shuffle by key and slice.
-    Every weapon's slice has a seed of its own, so that a task run again gives the same throws. Mortal wounds deal one damage each.
+    Slices of the rounds are spread over tasks, _SPREAD for each key and slice; a task sums its weapons of a slice round by round, and
+    these sums are added after a shuffle by key and slice. Every weapon's slice has a seed of its own, so that a task run again gives
+    the same throws. Mortal wounds deal one damage each.
     """
-    dice = [F.col(f"{d}_dice")[p].alias(f"{d[0]}_{p}") for d in ("attack", "damage") for p in ("count", "sides", "plus")]
+    p = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dice = [F.col(f"{d}_dice")[i].alias(f"{d[0]}_{i}") for d in ("attack", "damage") for i in ("count", "sides", "plus")]
     starts = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(slice_size))).alias("__start")
     seeds = odds(rows).select(*keys, *_NUMBERS, *dice, F.xxhash64(*keys, weapon).alias("__weapon"), starts).withColumn("__seed", F.pmod(F.xxhash64("__weapon", "__start", F.lit(seed)), F.lit(2**31)))
+    seeds = seeds.repartition(p, *keys, "__start", F.pmod("__weapon", F.lit(_SPREAD))).drop("__weapon").sortWithinPartitions(*keys, "__start")
 
     def rounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            size = [min(slice_size, iterations - s) for s in batch["__start"]]
-            dealt = [_damage(r, np.random.default_rng(int(s)), k).tolist() for r, s, k in zip(batch.drop(columns=["__start", "__weapon", "__seed"]).itertuples(index=False), batch["__seed"], size)]
-            yield batch[[*keys, "__start"]].assign(dealt=dealt)
+            slices = batch.groupby([*keys, "__start"], sort=False, dropna=False).ngroup().to_numpy()
+            first = np.unique(slices, return_index=True)[1]
+            size = [min(slice_size, iterations - s) for s in batch["__start"].iloc[first]]
+            dealt = [np.zeros(k, np.int64) for k in size]
+            for r, s, k in zip(batch.drop(columns=["__start", "__seed"]).itertuples(index=False), batch["__seed"], slices):
+                dealt[k] += _damage(r, np.random.default_rng(int(s)), size[k])
+            yield batch[[*keys, "__start"]].iloc[first].assign(dealt=dealt)
 
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    dealt = seeds.mapInPandas(rounds, f"{schema}, __start int, dealt array<long>").select(*keys, "__start", F.posexplode("dealt").alias("round", "damage"))
+    dealt = seeds.mapInPandas(rounds, f"{schema}, __start int, dealt array<long>").repartition(p, *keys, "__start").select(*keys, "__start", F.posexplode("dealt").alias("round", "damage"))
     per_round = dealt.groupBy(*keys, "__start", "round").agg(F.sum("damage").alias("damage"))
     return per_round.groupBy(*keys, "damage").agg(F.count("*").alias("n"))
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridian.operators import combat, ratings, swiss
-from meridian.plans.combat import attacks
+from meridian.plans.combat import attacks, monte_carlo_summary
 from meridian.streaming import dice as streams
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +48,20 @@ def test_simulation_agrees_with_expectation(spark):
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in again.collect()}
 
 
+def test_registered_simulation_has_the_whole_sample(spark, tmp_path):
+    for t, n in (("part", 3), ("lineitem", 40)):
+        spark.read.parquet(f"{SF}/{t}.parquet").orderBy(*(["p_partkey"] if t == "part" else ["l_partkey", "l_suppkey"])).limit(n).write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = monte_carlo_summary(spark, str(tmp_path)).collect()
+    assert got and {r["iterations"] for r in got} == {5000}
+
+
+def test_simulation_does_not_depend_on_partitions(spark):
+    rows = attacks(spark, SF).filter("target = 1 or target = 2").orderBy("weapon", "target").limit(12)
+    found = lambda df: {tuple(r) for r in combat.simulate(df, ["target"], "weapon", iterations=250, seed=3, slice_size=100).collect()}
+    one = found(rows.coalesce(1))
+    assert one == found(rows.repartition(5)) and sum(n for t, _, n in one if t == 1) == 250
+
+
 def test_percentiles_by_position(spark):
     (r,) = combat.summary(spark.createDataFrame([(1, i, 1) for i in range(100)], "k int, damage long, n long"), ["k"]).collect()
     assert (r["p10"], r["median"], r["p90"], r["mean"]) == (10, 50, 90, 49.5)
