@@ -54,3 +54,28 @@ def test_units(spark, tmp_path):
     (w,) = boyz["weapons"]
     assert (w["name"], w["range"], w["attacks"], w["skill"], w["ap"], [tuple(a) for a in w["abilities"]]) == ("Choppa", "melee", "2D6", 3, -1, [("LETHAL_HITS", 0, None), ("ANTI", 4, "Infantry")])
     assert grot["warnings"] == ["no toughness", "no save", "no weapons"]
+
+
+def nested(name: str, depth: int, inner: str) -> str:
+    for i in range(depth):
+        inner = f'<selectionEntryGroups><selectionEntryGroup id="g{i}" name="{name}"><selectionEntries><selectionEntry id="n{i}" name="{name}" type="model">{inner}</selectionEntry></selectionEntries></selectionEntryGroup></selectionEntryGroups>'
+    return inner
+
+
+def profile(name: str, kind: str, **traits: str) -> str:
+    return f"<profiles><profile name='{name}' typeName=\"{kind}\"><characteristics>" + "".join(f'<characteristic name="{k}">{v}</characteristic>' for k, v in traits.items()) + "</characteristics></profile><profile name='none' typeName='Unit' hidden='true'/></profiles>".replace("Unit", "Other")
+
+
+def test_profiles_in_groups_at_any_depth(spark, tmp_path):
+    deep = profile("Deep", "Unit", M="7&quot;", T="6", SV="3+") + nested("w", 2, profile('A &quot;B&quot; &gt; C', "Ranged Weapons", Range="24&quot;", A="3", S="5") + profile("Hidden", "Abilities", Description="A 2+ invulnerable save, Feel No Pain 2+"))
+    group = f'<selectionEntryGroups><selectionEntryGroup id="s" name="s">{profile("In a group", "Melee Weapons", A="2", S="4")}</selectionEntryGroup></selectionEntryGroups>'
+    entry = lambda i, inner: f'<selectionEntry id="{i}" name="{i}" type="unit">{inner}</selectionEntry>'
+    text = "".join([
+        entry("a", nested("m", 5, deep) + group), entry("b", profile("Save", "Invulnerable Save", none="-", value="4+") + profile("x", "Abilities", Description="5+ invulnerable save")),
+        entry("c", "<rules><rule name='r'><description>Has a 3+ invulnerable save and a Feel No Pain 6+</description></rule></rules>" + profile("y", "Abilities", Description="Feel No Pain (5+)")),
+    ])
+    got = {r["id"]: r for r in catalogues.units(spark, files(tmp_path, a_cat=f"<catalogue><sharedSelectionEntries>{text}</sharedSelectionEntries></catalogue>")).collect()}
+    a = got["a"]
+    assert set(got) == {"a", "b", "c"} and (a["move"], a["toughness"], a["save"], a["warnings"], a["abilities"], a["invuln"], a["fnp"]) == (7, 6, 3, [], [], None, None)
+    assert [(w["name"], w["range"], w["strength"]) for w in a["weapons"]] == [('A "B" > C', "24", 5), ("In a group", "melee", 4)]
+    assert (got["b"]["invuln"], got["c"]["invuln"], got["c"]["fnp"], [x["name"] for x in got["c"]["abilities"]]) == (4, 3, 5, ["y"])
