@@ -34,9 +34,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by the target weights; a row for each epoch."""
+    """Documents by the target weights; a row for each epoch. The document at which a leaf's budget ends is cut there."""
     levels = {"domain": mixing.domain(), "lang": F.col("lang"), "source": F.col("source")}
-    return mixing.mix(docs, levels, mixing.WEIGHTS, mixing.PERCENT, mixing.MAX_EPOCHS, mixing.SEED).select(*docs.columns)
+    out = mixing.mix(docs, levels, mixing.WEIGHTS, mixing.PERCENT, mixing.MAX_EPOCHS, mixing.SEED)
+    cut = F.col("n_used") < F.col("n_tokens")
+    out = out.withColumn("text", F.when(cut, mixing.first_words(F.col("text"), F.col("n_used"))).otherwise(F.col("text")))
+    made = {"n_chars": F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    return out.withColumns(made).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

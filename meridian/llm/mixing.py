@@ -122,6 +122,13 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     return rows.drop(*(f"mix_{i}" for i in range(len(names))), "mix_id", "mix_full", "mix_rest", "mix_cut", "mix_start", "mix_key", "mix_epochs")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word, for n from 1 to less than its number of words; white space between words stays."""
+    spaces = F.lit(" \t\n\x0b\x0c\r")
+    behind = F.get(F.split(F.ltrim(text, spaces), r"[\x20\x09-\x0D]+", (n + 1).cast("int")), n.cast("int"))
+    return F.rtrim(F.substring(text, F.lit(1), F.length(text) - F.length(behind)), spaces)
+
+
 def domain(source: str = "source") -> Column:
     """The domain of a source of the test tables: its number modulo 4; none without a number."""
     return F.expr(f"concat('d', try_cast(regexp_extract({source}, '([0-9]+)$', 1) as bigint) % 4)")

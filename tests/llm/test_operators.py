@@ -320,6 +320,29 @@ def test_pipeline(spark, sf_dir):
     assert P.run(spark, sf_dir).count() == four.count()
 
 
+def test_pipeline_keeps_to_the_budgets_of_leaves(spark, sf_dir):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    leaves = ["domain", "lang", "source"]
+    words = F.coalesce(F.regexp_count("text", F.lit(SPLIT.pattern)), F.lit(0)).cast("long")
+    held = lambda df: df.select(*(F.coalesce(x, F.lit("")).alias(c) for c, x in zip(leaves, (mixing.domain(), F.col("lang"), F.col("source")))), words.alias("n")).groupBy(*leaves).agg(F.sum("n").alias("tokens"))
+    want = {tuple(r[c] for c in leaves): r["budget"] for r in mixing.budgets(held(docs), leaves, mixing.WEIGHTS, mixing.PERCENT, mixing.MAX_EPOCHS).collect() if r["budget"]}
+    out = P.mixture(spark, docs, sf_dir)
+    assert {tuple(r[c] for c in leaves): r["tokens"] for r in held(out).collect() if r["tokens"]} == want
+    before = {d["doc_id"]: d for d in documents(sf_dir)}
+    rows = [r.asDict() for r in out.collect()]
+    cut = [r for r in rows if r["text"] != before[r["doc_id"]]["text"]]
+    assert cut and all(before[r["doc_id"]]["text"].startswith(r["text"]) and r["text"] and not r["text"][-1].isspace() and r["n_chars"] == len(r["text"]) for r in cut)
+    assert all(r["n_chars"] == before[r["doc_id"]]["n_chars"] for r in rows if r not in cut)
+
+
+def test_first_words(spark):
+    cases = [(" \t a  b\n c ", 1, " \t a"), (" \t a  b\n c ", 2, " \t a  b"), ("é\u00a0x 😀\x0by", 1, "é\u00a0x"), ("é\u00a0x 😀\x0by", 2, "é\u00a0x 😀"), ("w " * 50_000, 49_999, ("w " * 49_999)[:-1])]
+    df = spark.createDataFrame([(t, n, w) for t, n, w in cases], "text string, n long, want string")
+    assert [r["got"] for r in df.select(mixing.first_words(F.col("text"), F.col("n")).alias("got")).collect()] == [w for _, _, w in cases]
+
+
 def test_empty_tables(spark, tmp_path):
     for t, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("pages", "page_id long, url string, html string"), ("embeddings", "vec_id long, embedding array<float>, label int")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{t}.parquet")
