@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 from itertools import repeat
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ DEEP = 64
 CACHED = 1 << 18  # pre-tokens kept per worker
 UNIT = 10_000  # parts of a cost's unit
 _COUNT = 24  # low bits of a sum that hold the number of pieces
+_DEEP_COUNT = 48  # the same in a long pre-token
 _FAR = np.int64(1) << np.int64(61)
 
 
@@ -70,10 +72,12 @@ class Unigram:
             sizes.append(np.full(len(hit), k))
         ends = np.concatenate(ends)
         order = np.argsort(ends, kind="stable")
-        best = [0] + [int(_FAR)] * n
-        for e, k, w in zip(ends[order].tolist(), np.concatenate(sizes)[order].tolist(), np.concatenate(costs)[order].tolist(), strict=True):
-            best[e] = min(best[e], best[e - k] + w)
-        return best[n] & ((1 << _COUNT) - 1)
+        # Sums of many pieces go beyond 64 bits, so these are Python's whole numbers, with more bits for the count.
+        costs = np.concatenate(costs)[order] >> _COUNT
+        best = [0] + [inf] * n
+        for e, k, w in zip(ends[order].tolist(), np.concatenate(sizes)[order].tolist(), costs.tolist(), strict=True):
+            best[e] = min(best[e], best[e - k] + (w << _DEEP_COUNT) + 1)
+        return best[n] & ((1 << _DEEP_COUNT) - 1)
 
     def measure(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The number of pieces of each of the given distinct pre-tokens."""

@@ -302,6 +302,20 @@ def test_token_counts(spark, sf_dir):
         assert (got[d["doc_id"]]["n_pretokens"], got[d["doc_id"]]["n_tokens"]) == (len(words), sum(brute(w.encode()) for w in words))
 
 
+def test_token_counts_of_a_very_long_pretoken():
+    model = token_counts.Unigram(RANKS)
+    byte = 0xF5  # in no piece but its own
+    assert sum(byte in piece for piece in model.cost) == 1
+    assert model._deep(np.full(3_000_000, byte, np.uint8)) == 3_000_000
+    rng = np.random.default_rng(4)
+    for n in (65, 200, 700):  # as by the sums of 64 bits, where these suffice
+        word = rng.choice(np.frombuffer(b"aetnos", np.uint8), n)
+        best = [0] + [1 << 62] * n
+        for e in range(1, n + 1):
+            best[e] = min(best[s] + c for s in range(max(0, e - model.lengths[-1]), e) if (c := model.cost.get(word[s:e].tobytes())) is not None)
+        assert model._deep(word) == best[n] & 0xFFFFFF
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as P
 
