@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 
@@ -43,23 +44,23 @@ class Lookup:
 
 
 class IdCache:
-    """Token ids by a 64-bit key. When it is full it starts anew, so its memory is bounded."""
+    """Token ids by the bytes of a word. When it is full it starts anew, so its memory is bounded."""
 
-    def __init__(self, most: int = 1 << 20, dtype=np.uint16):
-        self.most, self.dtype = most, dtype
+    def __init__(self, most: int = 1 << 20, dtype=np.uint16, most_bytes: int = 1 << 25):
+        self.most, self.dtype, self.most_bytes = most, dtype, most_bytes
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
+        self.bytes = 0
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.used = np.zeros(1 << 18, self.dtype), 0
 
-    def slots(self, keys: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The slots of distinct keys. make(indexes of new keys) gives their flat ids and the number for each."""
-        if len(self.slot) > self.most:
+    def slots(self, words: list[bytes], make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The slots of distinct words. make(indexes of new words) gives their flat ids and the number for each."""
+        if len(self.slot) > self.most or self.bytes > self.most_bytes:
             self.forget()
-        names = keys.tolist()
-        slot = np.fromiter(map(self.slot.get, names, [-1] * len(names)), np.int64, len(names))
+        slot = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(slot < 0)
         if len(new):
             ids, n = make(new)
@@ -73,7 +74,9 @@ class IdCache:
             self.size[had : had + len(new)] = n
             self.used += len(ids)
             slot[new] = np.arange(had, had + len(new))
-            self.slot.update(zip([names[i] for i in new], slot[new].tolist(), strict=True))
+            fresh = [words[i] for i in new]
+            self.bytes += sum(map(len, fresh))
+            self.slot.update(zip(fresh, slot[new].tolist(), strict=True))
         return slot
 
     def join(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

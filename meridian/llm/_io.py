@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,13 +18,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.conf.get("spark.meridian.scratch", None)
-    if not where:
+    """The folder that all executors share: spark.checkpoint.dir, else one in the warehouse; a local one only in a local session without either, as in tests."""
+    if where := spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.meridian.scratch", None):
+        return where
+    if spark.sparkContext.master.startswith("local"):
         where = tempfile.mkdtemp(prefix="meridian-")
-        spark.conf.set("spark.meridian.scratch", where)
+    else:
+        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/meridian-scratch"
+    spark.conf.set("spark.meridian.scratch", where)
     return where
 
 
@@ -39,11 +40,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, n: int | None = None, rest: bool = False) -> DataFrame:
-    """(chunk, id, text): documents dealt evenly by a hash of their id; rows of one id share a chunk. rest: all other columns too, as a struct."""
+def dropped(table: DataFrame) -> None:
+    """Deletes the files of a written table that no later plan reads."""
+    spark = table.sparkSession
+    for folder in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str, by: list[str | Column], n: int | None = None, rest: bool = False) -> DataFrame:
+    """(chunk, id, text, tie): documents dealt evenly by a hash of the columns by (of id and text). tie: a hash of the text. rest: all other columns too, as a struct."""
     p = partitions(docs.sparkSession)
-    n = n or 2 * p
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
-    return docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*others).alias("rest")] if rest and others else [])
-    ).repartition(p, "chunk")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*others).alias("rest")] if rest and others else []))
+    return rows.select(chunk_of(n or 2 * p, *by).alias("chunk"), "*", F.xxhash64("text").alias("tie")).repartition(p, "chunk")
+
+
+def chunk_of(n: int, *by: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+
+
+HOT_ROWS, HOT_KEYS = 512, 100_000
+
+
+def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame:
+    """The keys in counts (key, rows) with more than HOT_ROWS rows and more than one in HOT_KEYS of all; so there are fewer than HOT_KEYS of them."""
+    return counts.filter(F.col("rows") > max(HOT_ROWS, -(-total // HOT_KEYS))).select(key)
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame, hot_facts: DataFrame | None = None) -> DataFrame:
+    """rows joined to facts, which has a key once. Rows of hot keys (fewer than HOT_KEYS) meet a broadcast of their facts where they are; no task gathers a hot key's rows."""
+    cold = rows.join(F.broadcast(hot), key, "left_anti").join(facts, key)
+    found = facts.join(F.broadcast(hot), key) if hot_facts is None else hot_facts
+    return cold.unionByName(rows.join(F.broadcast(found), key))

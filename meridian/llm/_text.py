@@ -1,8 +1,9 @@
 """Vectorised helpers over UTF-8 bytes of Arrow string columns, used inside Spark tasks.
 
-Words are the matches of ``[^\\x20\\x09-\\x0D]+``; hashing is a polynomial over
-bytes (words) or words (windows) modulo 2**64 with a mixing step, so that every
-window of a batch is hashed in a constant number of array passes.
+Words are the matches of ``[^\\x20\\x09-\\x0D]+``. A word is hashed eight bytes at a
+time and a window by pairs of halves, with a mixing step after each; so no text has the
+structure that makes sums of powers collide, and words of up to eight bytes collide with
+none of their length. A second, independent hash comes with another ``kind``.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 BLOCK = 1 << 18
-_R = {0: 0x9E3779B97F4A7C15, 1: 0xD6E8FEB86659FD93, 2: 0xA0761D6478BD642F}
-_pow: dict[tuple[int, bool], np.ndarray] = {}
+_SEED = (U64(0), U64(0xD6E8FEB86659FD93))
+_STEP = (U64(0x9E3779B97F4A7C15), U64(0xA0761D6478BD642F))
+_WIDE = 64  # bytes; longer words are hashed one by one
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -30,22 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x2545F4914F6CDD1D))
-
-
-def powers(n: int, kind: int = 0, inverse: bool = False) -> np.ndarray:
-    """R**i (or its inverse modulo 2**64) for i in 0..n-1."""
-    have = _pow.get((kind, inverse))
-    if have is None or len(have) < n:
-        r = pow(_R[kind], -1, 1 << 64) if inverse else _R[kind]
-        have = np.full(max(n, BLOCK + 1), r, U64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if n <= 4 * BLOCK:
-            _pow[kind, inverse] = have
-    return have[:n]
-
-
 def string_buffers(col) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (from 0) of a string column; null counts as empty."""
     arr = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
@@ -84,42 +72,106 @@ def words_of(buf: np.ndarray, off: np.ndarray) -> Words:
     return Words(s, np.flatnonzero(ends) + 1, np.searchsorted(s, off))
 
 
+def loads(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of buf on, as one number; beyond the end there are zeros."""
+    wide = np.zeros(len(buf) + 8, np.uint8)
+    wide[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", wide, strides=(1,))
+
+
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
-    """A hash of buf[start:end] for each span; spans ascend and don't overlap. Works in blocks of BLOCK bytes."""
+    """A hash of buf[start:end] for each span."""
     out = np.empty(len(start), U64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, "right")))
-        lo, hi = int(start[i]), int(end[j - 1])
-        c = np.empty(hi - lo + 1, U64)
-        c[0] = 0
-        np.cumsum(BYTE[buf[lo:hi]] * powers(hi - lo, kind), out=c[1:])
-        s, e = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = mix((c[e] - c[s]) * powers(hi - lo + 1, kind, True)[s] + (e - s).astype(U64) * U64(0x632BE59BD9B4E019))
-        i = j
+    eight = loads(buf)
+    for lo in range(0, len(start), BLOCK):
+        s, n = start[lo : lo + BLOCK], end[lo : lo + BLOCK] - start[lo : lo + BLOCK]
+        h = mix((eight[s] & _MASK[np.minimum(n, 8)]) ^ _SEED[kind])
+        more = np.flatnonzero((n > 8) & (n <= _WIDE))
+        done = 8
+        while len(more):
+            left = n[more] - done
+            h[more] = mix(h[more] * _STEP[kind] + (eight[s[more] + done] & _MASK[np.minimum(left, 8)]))
+            done += 8
+            more = more[left > 8]
+        for i in np.flatnonzero(n > _WIDE).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(buf[s[i] : s[i] + n[i]].tobytes(), seed=kind)
+        out[lo : lo + BLOCK] = mix(h ^ n.astype(U64) * U64(0x632BE59BD9B4E019))
+    return out
+
+
+def same_spans(buf: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Does buf hold the same size bytes from start on as from other on?"""
+    eight = loads(buf)
+    out = np.ones(len(start), bool)
+    left, done = np.arange(len(start)), 0
+    while len(left):
+        own = np.minimum(size[left] - done, 8)
+        out[left] &= (eight[start[left] + done] ^ eight[other[left] + done]) & _MASK[own] == 0
+        done += 8
+        left = left[(size[left] > done) & (size[left] <= _WIDE) & out[left]]
+    for i in np.flatnonzero((size > _WIDE) & out).tolist():
+        out[i] = np.array_equal(buf[start[i] : start[i] + size[i]], buf[other[i] : other[i] + size[i]])
     return out
 
 
-def window_hashes(words: np.ndarray, width: int, kind: int = 1, at: np.ndarray | None = None) -> np.ndarray:
-    """A hash of words[i:i+width] for each i in 0..len-width (or for the given i)."""
+def distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each distinct word, and which of them each word is. Bytes are compared, not only hashes."""
+    _, one, back = np.unique(span_hashes(buf, start, end), return_index=True, return_inverse=True)
+    size, first = end - start, one[back]
+    wrong = np.flatnonzero(size != size[first])
+    if not len(wrong):
+        wrong = np.flatnonzero(~same_spans(buf, start, size, start[first]))
+    if len(wrong):  # two words with one hash
+        names: dict[bytes, int] = {}
+        back = np.array([names.setdefault(buf[a:b].tobytes(), len(names)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+        one = np.unique(back, return_index=True)[1]
+    return one, back
+
+
+def cut_out(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    data = buf.tobytes()
+    return [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+
+
+def _joined(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
+    return mix(a * _STEP[kind] + b + _SEED[kind])
+
+
+def window_hashes(words: np.ndarray, width: int, kind: int = 0, at: np.ndarray | None = None) -> np.ndarray:
+    """A hash of words[i:i+width] for each i in 0..len-width (or for the given i).
+
+    Windows of one, two, four and so on words are joined to the width, lowest power first.
+    """
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, U64)
-    out = np.empty(n, U64) if at is None else np.empty(len(at), U64)
-    step = BLOCK
-    for lo in range(0, n, step):
-        hi = min(n, lo + step)
-        c = np.empty(hi - lo + width, U64)
-        c[0] = 0
-        np.cumsum(words[lo : hi + width - 1] * powers(hi - lo + width - 1, kind), out=c[1:])
-        inv = powers(hi - lo, kind, True)
-        if at is None:
-            out[lo:hi] = mix((c[width:] - c[: hi - lo]) * inv + U64(width))
-        else:
-            a, b = np.searchsorted(at, [lo, hi])
-            p = at[a:b] - lo
-            out[a:b] = mix((c[p + width] - c[p]) * inv[p] + U64(width))
-    return out
+    if at is not None and len(at) * width < 2 * n:
+        out, step = np.empty(len(at), U64), max(1, BLOCK // width)
+        for lo in range(0, len(at), step):
+            own = words[at[lo : lo + step, None] + np.arange(width)]
+            acc, used = None, 0
+            for k in range(width.bit_length()):
+                if width >> k & 1:
+                    part = own[:, used : used + (1 << k)]
+                    while part.shape[1] > 1:
+                        part = _joined(part[:, ::2], part[:, 1::2], kind)
+                    acc = part[:, 0] if acc is None else _joined(acc, part[:, 0], kind)
+                    used += 1 << k
+            out[lo : lo + step] = acc
+        return out
+    out = np.empty(n, U64)
+    for lo in range(0, n, BLOCK):
+        hi = min(n, lo + BLOCK)
+        part, acc, used = words[lo : hi + width - 1], None, 0
+        for k in range(width.bit_length()):
+            if width >> k & 1:
+                own = part[used : used + hi - lo]
+                acc = own if acc is None else _joined(acc, own, kind)
+                used += 1 << k
+            if width >> k > 1:
+                part = _joined(part[: -(1 << k)], part[1 << k :], kind)
+        out[lo:hi] = acc
+    return out if at is None else out[at]
 
 
 def inside(first: np.ndarray, n_words: int, width: int) -> np.ndarray:

@@ -2,18 +2,16 @@
 
 Texts are cut into pre-tokens without a regex (``_pretoken``). The distinct
 pre-tokens of a batch are merged all at once: in each round every unfinished
-pre-token merges its lowest-ranked pair, leftmost first. Results are cached by a
-64-bit hash of the bytes in each Python worker, up to a bound. Every document is
-decoded again from its ids by the offsets of the vocabulary's bytes; should a
-document not come back unchanged (two pre-tokens with one hash), it is encoded anew
-without the cache.
+pre-token merges its lowest-ranked pair, leftmost first. Results are cached by their
+bytes in each Python worker, up to a bound. Every document is decoded again from its
+ids by the offsets of the vocabulary's bytes; one that does not come back is an error.
 
 A map-only job: no shuffle, memory bounded by a batch of texts, a slice of the table
 lost with an executor is simply encoded again.
 
-Cases: null texts count as empty and have no ids; blank texts have ids of white
-space; one row out for each row in; extra columns stay as they are, and a clash with
-one of the added names is an error that Spark reports.
+Cases: null texts count as empty and have no ids; blank texts have ids of white space;
+one row out for each row in, repeated rows and null ids too; other columns pass unchanged,
+and added columns take the place of existing ones with their names.
 """
 
 from __future__ import annotations
@@ -105,8 +103,8 @@ class Ranks:
         start, end, first = pretokens(buf, off)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        _, one, back = np.unique(h := T.span_hashes(buf, start, end), return_index=True, return_inverse=True)
-        slot = self.cache.slots(h[one], lambda new: self.merge(buf, start[one[new]], end[one[new]]))
+        one, back = T.distinct(buf, start, end)
+        slot = self.cache.slots(T.cut_out(buf, start[one], end[one]), lambda new: self.merge(buf, start[one[new]], end[one[new]]))
         ids, to = self.cache.join(slot[back])
         return ids.astype(np.uint32), to[first]
 
@@ -120,14 +118,10 @@ class Ranks:
         """For each document its ids and its bytes decoded from them."""
         ids, to = self.encode(buf, off)
         back, at = self.decode(ids, to)
-        same = np.array_equal(back, buf)
+        if not np.array_equal(back, buf):
+            raise ValueError("a text does not come back from its ids")
         for d in range(len(off) - 1):
-            own, text = ids[to[d] : to[d + 1]], back[at[d] : at[d + 1]]
-            if not same and not np.array_equal(text, buf[off[d] : off[d + 1]]):
-                start, end, _ = pretokens(buf[off[d] : off[d + 1]], off[d : d + 2] - off[d])
-                own, _ = self.merge(buf[off[d] : off[d + 1]], start, end)
-                text, _ = self.decode(own, np.array([0, len(own)]))
-            yield own, text
+            yield ids[to[d] : to[d + 1]], back[at[d] : at[d + 1]]
 
 
 _loaded: dict[str, Ranks] = {}
@@ -185,7 +179,8 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", keep_ids:
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     text_at = docs.columns.index(text_col)
-    kept = [c for c in docs.columns if keep_text or c != text_col]
+    added = ("n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else []), *(["decoded"] if keep_text else []))
+    kept = [c for c in docs.columns if c not in added and (keep_text or c != text_col)]
     passed = [docs.columns.index(c) for c in kept]
     schema = ", ".join(f"{cols[c]} {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.mapInArrow(batches, f"{schema}, {extra}")
+    return docs.mapInArrow(batches, f"{schema}, {extra}" if kept else extra)

@@ -14,7 +14,14 @@ with one anchor per prefix shingle, which links a group of copies with as many p
 as documents; what links already need no further pair. Then every pair of documents
 that share a prefix shingle and are in different components is verified. So a large
 group is never expanded into all of its pairs, and no link between components is
-lost. For verification the anchors' sets travel to the chunks of their partners.
+lost. Such pairs are sought within classes of set sizes a factor of 100/percent wide,
+as linked sets lie in the same class or in neighbours. For verification the anchors'
+sets travel to the chunks of their partners.
+
+A shingle that very many documents have in their prefix is never gathered in one task:
+its rows meet a broadcast of their anchor where they are (at most HOT_KEYS such
+shingles), and in the second pass its rows are dealt over salts, each with a copy of
+the rows they may pair with.
 
 Cases: null, blank and empty texts have empty sets, link with nothing and are their
 own component. Fewer words than a shingle: the whole sequence is the one shingle.
@@ -24,6 +31,8 @@ nothing and has a null component. Every input row gives one output row.
 
 from __future__ import annotations
 
+from math import log
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +40,7 @@ from pyspark.sql import functions as F
 
 from meridian.llm import _text as T
 from meridian.llm._graph import components
-from meridian.llm._io import chunked, partitions, written
+from meridian.llm._io import HOT_ROWS, chunk_of, chunked, hot_keys, looked_up, partitions, written
 from meridian.llm.substring_dedup import ASK, KEEP, MAIL, _Chunk, _mail, _replied, _split, _state
 
 SIG = 16
@@ -193,41 +202,55 @@ def similarity_links(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     spark = docs.sparkSession
     p = partitions(spark)
     n_chunks = 2 * p
-    parts = chunked(docs, id_col, text_col, n_chunks)
-    chunk_of = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(n_chunks)).cast("int")
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # Rows without an id are nobody's partners, so any chunk will do for them.
+    parts = chunked(keyed, "id", "text", [F.coalesce(F.col("id"), F.xxhash64("text"))], n_chunks)
+    home = lambda c: chunk_of(n_chunks, F.col(c))
 
     sets = written(parts.groupBy("chunk").applyInArrow(lambda docs: _describe(docs, width), "id long, n long, h1 long, h2 long"), "sets")
     classes = sets.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
-    standing = classes.select(chunk_of("rep").alias("chunk"), F.col("rep").alias("id"), "h1", "h2")
+    standing = classes.select(home("rep").alias("chunk"), F.col("rep").alias("id"), "h1", "h2")
 
     asked = parts.groupBy("chunk").cogroup(standing.groupBy("chunk")).applyInArrow(lambda key, docs, standing: _ask_frequencies(key[0].as_py(), docs, standing, width, p), MAIL)
     mail = asked.groupBy("bucket").applyInArrow(lambda mail: _replied(mail, _sum_frequencies), MAIL)
     index = written(parts.groupBy("chunk").cogroup(mail.groupBy("chunk")).applyInArrow(lambda key, docs, mail: _prefixes(docs, mail, width, percent, p), "token long, id long, n int, pos int"), "prefixes")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links among pairs(x, y); y's set goes to x's chunk."""
-        pairs = written(pairs, "pairs").withColumn("to", chunk_of("x"))
-        wanted = pairs.select(chunk_of("y").alias("chunk"), F.col("y").alias("id"), "to").distinct()
+        """Links among pairs(x, y); y's set goes to x's chunk, so y is the one with more partners."""
+        pairs = written(pairs, "pairs").withColumn("to", home("x"))
+        wanted = pairs.select(home("y").alias("chunk"), F.col("y").alias("id"), "to").distinct()
         sent = parts.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(lambda key, docs, asked: _send_sets(docs, asked, width), "chunk int, y long, x long, set binary")
         mail = sent.union(pairs.select(F.col("to").alias("chunk"), "y", "x", F.lit(None).cast("binary").alias("set")))
         return written(parts.groupBy("chunk").cogroup(mail.groupBy("chunk")).applyInArrow(lambda key, docs, mail: _verify(docs, mail, width, percent), "u long, v long"), "verified")
 
     # One anchor per shingle: as many pairs as documents, however large the group.
-    anchor = index.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("a"), F.count("*").alias("rows")).filter("rows > 1").select("token", "a.*").alias("a")
-    stars = index.alias("r").join(anchor, "token").filter("r.id != a.id and " + _fits("r", "a", percent)).select(F.col("r.id").alias("x"), F.col("a.id").alias("y")).distinct()
-    links = verified(stars)
+    anchor = written(index.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("a"), F.count("*").alias("rows")).filter("rows > 1").select("token", "a", "rows"), "anchors")
+    total = index.count()
+    stars = looked_up(index.alias("r"), anchor.select("token", "a"), "token", hot_keys(anchor, "token", total)).filter("id != a.id and " + _fits("r", "a", percent))
+    links = verified(stars.select(F.col("id").alias("x"), F.col("a.id").alias("y")).distinct())
 
     # Every other pair that a shared prefix shingle proposes, unless it is linked already.
     labels = components(links)
     rows = index.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
-    rows = written(rows.join(mixed, "token"), "open")
-    main = rows.groupBy("token", "label").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("main"))
-    rows = rows.join(main, "token")
+    mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).filter("lo != hi").select("token", "rows")
+    rows, mixed = written(rows, "labelled"), written(mixed, "mixed")
+    rows = looked_up(rows, mixed.select("token"), "token", hot_keys(mixed, "token", total))
+    size = F.log("n") / (log(100 / percent) * (1 + 1e-9))  # linked sets differ by less than 1 in it
+    rows = written(rows.withColumn("class", F.floor(size).cast("int")), "open")
+    per_label = rows.groupBy("token", "label").agg(F.count("*").alias("rows"))
+    main = per_label.groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.sum("rows").alias("rows"), F.max("rows").alias("most"))
+    main = written(main, "main")
+    facts = main.select("token", "main", F.ceil(F.col("rows") / HOT_ROWS).alias("cuts_a"), F.ceil((F.col("rows") - F.col("most")) / HOT_ROWS).alias("cuts_r"))
+    rows = written(looked_up(rows, facts, "token", hot_keys(main, "token", total)), "open")
+    dealt = lambda cuts: F.pmod(F.xxhash64("id"), F.col(cuts))
+    each = lambda cuts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(cuts) - 1))
+    left = rows.filter("label != main").withColumn("class", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))))
+    left = left.withColumn("salt_r", dealt("cuts_r")).withColumn("salt_a", each("cuts_a"))
+    right = rows.withColumn("salt_a", dealt("cuts_a")).filter("cuts_r > 0").withColumn("salt_r", each("cuts_r"))
     pairs = (
-        rows.filter("label != main").alias("r").join(rows.alias("a"), "token")
+        left.alias("r").join(right.alias("a"), ["token", "class", "salt_r", "salt_a"])
         .filter("r.label != a.label and (a.label = a.main or a.id < r.id) and " + _fits("r", "a", percent))
-        .select(F.greatest("r.id", "a.id").alias("x"), F.least("r.id", "a.id").alias("y")).distinct()
+        .select(F.when(F.expr("a.label = a.main"), F.col("a.id")).otherwise(F.col("r.id")).alias("x"), F.when(F.expr("a.label = a.main"), F.col("r.id")).otherwise(F.col("a.id")).alias("y")).distinct()
     )
     more = verified(pairs)
 

@@ -8,12 +8,16 @@ sends every distinct window hash of a chunk once to the bucket of that hash; the
 bucket answers with one bit per hash. A window that is everywhere thus costs one
 row entry per chunk, never a list of its places, and no task gathers a window's
 occurrences. At the last level the bits say whether the chunk holds the window's
-first occurrence; hashes have 128 bits there.
+first occurrence; hashes have 128 bits there, from two independent hashes of the words.
+
+A level has as many messages as chunks times buckets, which is the number of blocks of
+any shuffle between as many tasks; past some thousand tasks take more cores a task and
+larger partitions, since a message then holds few hashes.
 
 Cases: null or blank texts have no words and stay blank; a null id sorts first;
-rows that share an id are separate documents in the order of their texts;
-identical rows are ordered arbitrarily among themselves, so that one of them
-keeps the passage. Every input row gives one output row. Other columns pass
+rows that share an id (or have none) are separate documents, ordered by a hash of their
+texts and dealt apart; identical rows are ordered arbitrarily among themselves, so that
+one of them keeps the passage. Every input row gives one output row. Other columns pass
 unchanged; added columns take the place of existing ones with their names.
 """
 
@@ -46,12 +50,11 @@ class _Chunk:
     """A chunk's documents in order, with their words hashed."""
 
     def __init__(self, docs: pa.Table):
-        ids = docs["id"].combine_chunks()
-        order = pc.sort_indices(docs.select(["id", "text"]), sort_keys=[("id", "ascending"), ("text", "ascending")], null_placement="at_start") if pc.count_distinct(ids, mode="all").as_py() < len(ids) else pc.sort_indices(ids, null_placement="at_start")
-        docs = docs.take(order)
+        docs = docs.take(pc.sort_indices(docs.select(["id", "tie"]), sort_keys=[("id", "ascending"), ("tie", "ascending")], null_placement="at_start"))
         self.ids = docs["id"]
         self.rest = docs["rest"] if "rest" in docs.column_names else None
         self.rank = np.asarray(pc.fill_null(docs["id"].combine_chunks(), -(2**63)))
+        self.tie = np.asarray(docs["tie"].combine_chunks())
         self.texts = docs["text"]
         self.buf, self.off = T.string_buffers(self.texts)
         self._hash()
@@ -62,6 +65,13 @@ class _Chunk:
         self.n = len(self.words.start)
         self.hashes = T.span_hashes(self.buf, self.words.start, self.words.end)
 
+    def both(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of the windows at the given starts."""
+        own = np.flatnonzero(T.covered(self.n, at, width))
+        other = np.zeros(self.n, np.uint64)
+        other[own] = T.span_hashes(self.buf, self.words.start[own], self.words.end[own], 1)
+        return T.window_hashes(self.hashes, width, 0, at), T.window_hashes(other, width, 1, at)
+
 
 def _first_level(chunk: _Chunk, width: int) -> np.ndarray:
     return np.flatnonzero(T.inside(chunk.words.first, chunk.n, width))
@@ -124,7 +134,7 @@ def _extended(at: np.ndarray, width: int, longer: int, chunk: _Chunk) -> np.ndar
 
 def _full_keys(chunk: _Chunk, at: np.ndarray, width: int, buckets: int):
     """Sorted distinct 128-bit hashes of the last level: bucket, both halves, the first start of each, and the way back."""
-    a, b = T.window_hashes(chunk.hashes, width, 1, at), T.window_hashes(chunk.hashes, width, 2, at)
+    a, b = chunk.both(at, width)
     bucket = (a >> T.U64(32)) % T.U64(buckets)
     order = np.lexsort((at, b, a, bucket))
     new = np.ones(len(at), bool)
@@ -137,10 +147,9 @@ def _full_keys(chunk: _Chunk, at: np.ndarray, width: int, buckets: int):
 
 def _last_ask(chunk_no: int, chunk: _Chunk, at: np.ndarray, width: int, buckets: int) -> pa.Table:
     bucket, a, b, head, _ = _full_keys(chunk, at, width, buckets)
-    rank = chunk.rank[np.searchsorted(chunk.words.first, at[head], "right") - 1]
-    rows = []
-    for k, i, j in _split(bucket << T.U64(32)):
-        rows.append((k, ASK, np.concatenate([a[i:j], b[i:j], rank[i:j].view(np.uint64)]).tobytes()))
+    doc = np.searchsorted(chunk.words.first, at[head], "right") - 1
+    rank, tie = chunk.rank[doc].view(np.uint64), chunk.tie[doc].view(np.uint64)
+    rows = [(k, ASK, np.concatenate([x[i:j] for x in (a, b, rank, tie)]).tobytes()) for k, i, j in _split(bucket << T.U64(32))]
     return _mail(chunk_no, [*rows, (chunk_no % buckets, KEEP, _state(at, chunk.n))])
 
 
@@ -180,12 +189,12 @@ def _count(asked: list[bytes]) -> list[bytes]:
 
 
 def _first(asked: list[bytes]) -> list[bytes]:
-    """For each hash: does this chunk hold its first document? Chunks don't share ids."""
-    parts = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in asked]
+    """For each hash: does this chunk hold its first document?"""
+    parts = [np.frombuffer(x, np.uint64).reshape(4, -1) for x in asked]
     if not parts:
         return []
-    a, b, rank = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    order = np.lexsort((rank.view(np.int64), b, a))
+    a, b, rank, tie = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    order = np.lexsort((tie.view(np.int64), rank.view(np.int64), b, a))
     new = np.ones(len(a), bool)
     new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
     first = np.zeros(len(a), np.uint8)
@@ -202,7 +211,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
     buckets = (partitions(docs.sparkSession) + 1) // 2  # with twice as many chunks as partitions, messages number partitions**2 a level
     sizes = levels(min_words)
     docs = docs.drop(*(c for c in ADDED if c not in (id_col, text_col)))
-    parts = chunked(docs, id_col, text_col, rest=True)
+    parts = chunked(docs, id_col, text_col, ["id", "text"], rest=True)
     rest = parts.schema["rest"].dataType if "rest" in parts.columns else None
 
     def start(key, docs):

@@ -6,10 +6,12 @@ pre-token's segmentation is the cheapest one, with the fewest pieces among equal
 Costs are whole numbers (ten-thousandths), so that sums are exact.
 
 The distinct pre-tokens of a slice of texts that the worker hasn't counted yet are
-sorted, which lays out their trie level by level: a node is a prefix, and its forward
-cost is computed once, from those of its ancestors, for all pre-tokens that share it.
-The count at a pre-token's last node is stored under a hash of 64 bits, up to a bound.
-A pre-token of more than DEEP bytes is measured by itself with the same recurrence.
+sorted, which lays out their trie: a node is a prefix, and its forward cost is computed
+once, from those of its ancestors, for all pre-tokens that share it. The first DEEP
+levels are walked level by level, all nodes of a level together. Pre-tokens that go
+deeper are few, and their trie is walked branch by branch: the costs along the branch
+before stay as far as the next one shares it. The count at a pre-token's last node is
+stored under its bytes, up to a bound.
 
 A map-only job; texts are read in slices, so memory doesn't grow with the table.
 
@@ -34,10 +36,10 @@ from meridian.llm._pretoken import pretokens
 from meridian.llm.byte_bpe import slices
 
 DEEP = 64
-CACHED = 1 << 18  # pre-tokens kept per worker
+CACHED, CACHED_BYTES = 1 << 18, 1 << 25  # pre-tokens kept per worker, and their bytes
 UNIT = 10_000  # parts of a cost's unit
 _COUNT = 24  # low bits of a sum that hold the number of pieces
-_DEEP_COUNT = 48  # the same in a long pre-token
+_DEEP_COUNT = 48  # the same below the first levels
 _FAR = np.int64(1) << np.int64(61)
 
 
@@ -53,42 +55,45 @@ class Unigram:
         buf = np.frombuffer(b"".join(ordered), np.uint8)
         end = np.cumsum([len(x) for x in ordered])
         start = np.r_[0, end[:-1]]
-        self.table = Lookup(_Spans(buf).hashes(start, end), np.array([self.cost[x] for x in ordered], np.int64), _FAR)
+        self.table = Lookup(T.span_hashes(buf, start, end), np.array([self.cost[x] for x in ordered], np.int64), _FAR)
         self.lengths = sorted({len(x) for x in ordered})
-        self.known: dict[int, int] = {}
-
-    def _deep(self, buf: np.ndarray) -> int:
-        """The number of pieces of one long pre-token."""
-        spans, n = _Spans(buf), len(buf)
-        ends, costs, sizes = [], [], []
-        for k in self.lengths:
-            if k > n:
-                break
-            end = np.arange(k, n + 1)
-            w = self.table.get(spans.hashes(end - k, end))
-            hit = np.flatnonzero(w < _FAR)
-            ends.append(end[hit])
-            costs.append(w[hit])
-            sizes.append(np.full(len(hit), k))
-        ends = np.concatenate(ends)
-        order = np.argsort(ends, kind="stable")
-        # Sums of many pieces go beyond 64 bits, so these are Python's whole numbers, with more bits for the count.
-        costs = np.concatenate(costs)[order] >> _COUNT
-        best = [0] + [inf] * n
-        for e, k, w in zip(ends[order].tolist(), np.concatenate(sizes)[order].tolist(), costs.tolist(), strict=True):
-            best[e] = min(best[e], best[e - k] + (w << _DEEP_COUNT) + 1)
-        return best[n] & ((1 << _DEEP_COUNT) - 1)
-
-    def measure(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        self.known: dict[bytes, int] = {}
+        self.held = 0
+
+    def _branches(self, words: list[bytes]) -> list[int]:
+        """Counts of sorted distinct words by the path to each one's leaf. Sums of many pieces go beyond 64 bits, so these are Python's whole numbers."""
+        out, best, last = [], [0], np.zeros(0, np.uint8)
+        for word in words:
+            buf = np.frombuffer(word, np.uint8)
+            n, m = len(buf), min(len(buf), len(last))
+            differ = np.flatnonzero(buf[:m] != last[:m])
+            shared = int(differ[0]) if len(differ) else m
+            ends, costs, sizes = [], [], []
+            for k in self.lengths:
+                end = np.arange(max(k, shared + 1), n + 1)
+                w = self.table.get(T.span_hashes(buf, end - k, end))
+                hit = np.flatnonzero(w < _FAR)
+                ends.append(end[hit])
+                costs.append(w[hit])
+                sizes.append(np.full(len(hit), k))
+            every = np.concatenate(ends)
+            order = np.argsort(every, kind="stable")
+            costs = np.concatenate(costs)[order] >> _COUNT
+            best[shared + 1 :] = [inf] * (n - shared)
+            for e, k, w in zip(every[order].tolist(), np.concatenate(sizes)[order].tolist(), costs.tolist(), strict=True):
+                best[e] = min(best[e], best[e - k] + (w << _DEEP_COUNT) + 1)
+            out.append(best[n] & ((1 << _DEEP_COUNT) - 1))
+            last = buf
+        return out
+
+    def measure(self, words: list[bytes]) -> np.ndarray:
         """The number of pieces of each of the given distinct pre-tokens."""
-        out = np.zeros(len(start), np.int64)
-        size = end - start
-        for i in np.flatnonzero(size > DEEP):
-            out[i] = self._deep(buf[start[i] : end[i]])
-        short = np.flatnonzero((size > 0) & (size <= DEEP))
-        words = [buf[a:b].tobytes() for a, b in zip(start[short].tolist(), end[short].tolist(), strict=True)]
-        order = sorted(range(len(words)), key=words.__getitem__)
-        out[short[order]] = self._trie([words[i] for i in order])
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        size = np.array([len(words[i]) for i in order], np.int64)
+        out = np.zeros(len(words), np.int64)
+        for at, count in ((order[size <= DEEP], self._trie), (order[size > DEEP], self._branches)):
+            if len(at):
+                out[at] = count([words[i] for i in at])
         return out
 
     def _trie(self, words: list[bytes]) -> np.ndarray:
@@ -96,7 +101,6 @@ class Unigram:
         size = np.array([len(x) for x in words], np.int64)
         at = np.cumsum(size) - size
         buf = np.frombuffer(b"".join(words), np.uint8)
-        spans = _Spans(buf)
         before = np.r_[0, size[:-1]]
         new = np.zeros(len(words), bool)
         new[:1] = True
@@ -116,7 +120,7 @@ class Unigram:
             for k in self.lengths:
                 if k > depth:
                     break
-                w = self.table.get(spans.hashes(end - k, end))
+                w = self.table.get(T.span_hashes(buf, end - k, end))
                 np.minimum(best, cost[depth - k][node[depth - k][first]] + w, out=best)
             cost.append(best)
             node.append(own)
@@ -129,31 +133,22 @@ class Unigram:
         start, end, first = pretokens(buf, off)
         if not len(start):
             return np.zeros(len(off) - 1, np.int64), np.zeros(len(off) - 1, np.int64)
-        h, one, back = np.unique(T.span_hashes(buf, start, end), return_index=True, return_inverse=True)
-        names = h.tolist()
-        n = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        one, back = T.distinct(buf, start, end)
+        words = T.cut_out(buf, start[one], end[one])
+        n = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(n < 0)
         if len(new):
-            n[new] = self.measure(buf, start[one[new]], end[one[new]])
-            if len(self.known) + len(new) > CACHED:
+            fresh = [words[i] for i in new]
+            n[new] = self.measure(fresh)
+            if len(self.known) + len(new) > CACHED or self.held > CACHED_BYTES:
                 self.known.clear()
-            self.known.update(zip([names[i] for i in new], n[new].tolist(), strict=True))
+                self.held = 0
+            self.held += sum(map(len, fresh))
+            self.known.update(zip(fresh, n[new].tolist(), strict=True))
         total = np.r_[0, np.cumsum(n[back])]
         return np.diff(total[first]), np.diff(first)
 
 
-class _Spans:
-    """Hashes of any slices of buf."""
-
-    def __init__(self, buf: np.ndarray):
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(T.BYTE[buf] * T.powers(len(buf)), out=self.sums[1:])
-        self.inverse = T.powers(len(buf) + 1, 0, True)
-
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return T.mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * T.U64(0x632BE59BD9B4E019))
-
-
 _loaded: dict[str, Unigram] = {}
 
 
