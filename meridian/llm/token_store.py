@@ -8,17 +8,20 @@ Layout under a folder, all Parquet:
   documents before it), n_tokens, chunks (the digests in order), sizes, root (Merkle root
   over the digests), part (which run of documents).
 * ``manifest``: for each part the number of documents and ids and the Merkle root over
-  the documents' roots.
+  its documents (place, id, length and root of each).
+* ``head``: one row: width, parts, documents, tokens, and the Merkle root over the parts.
 
 Id streams are cut where a rolling hash over the last 16 ids meets a mask, so equal
 passages give equal chunks wherever they stand. Chunks are deduplicated inside each
-task before they are shuffled by digest; recipes carry digests only. Reading checks
-every chunk against its digest and every recipe against its root and sizes.
+task before they are shuffled by digest; recipes carry digests only. Reading goes down
+the whole tree: the head against the manifest, the manifest against the recipes, every
+recipe against its root and sizes, every chunk against its digest. Anything missing,
+changed or in another place is an error.
 
 Cases: a null text counts as empty, so its stream is the end id alone; a null id sorts
 first; rows that share an id are separate documents in the order of their roots; one
-recipe for each input row; an empty table gives empty files. Extra columns are not
-stored.
+recipe for each input row, repeated rows too; an empty table gives empty files. Extra
+columns are not stored.
 """
 
 from __future__ import annotations
@@ -34,11 +37,11 @@ from pyspark.sql import functions as F
 
 from meridian.llm import _text as T
 from meridian.llm._cache import IdCache
-from meridian.llm._io import partitions
+from meridian.llm._io import hot_keys, looked_up, partitions
 from meridian.llm.byte_bpe import slices
 
 SPAN, MEAN, SHORTEST, LONGEST = 16, 512, 32, 4096
-OBJECTS = "key int, kind string, digest binary, data binary, doc_id long, n_tokens long, chunks array<binary>, sizes array<int>, root binary"
+OBJECTS = "key int, kind string, tie int, digest binary, data binary, doc_id long, n_tokens long, chunks array<binary>, sizes array<int>, root binary"
 _GEAR = T.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * T.U64(0x9E3779B97F4A7C15))
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -119,16 +122,9 @@ def encode(path: str, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.
     buf, w = pieces(buf, off) if len(buf) else (buf, T.words_of(buf, off))
     if not len(w.start):
         return np.zeros(0, cache.dtype), np.zeros(len(off), np.int64)
-    h = T.span_hashes(buf, w.start, w.end)
-    _, one, back = np.unique(h, return_index=True, return_inverse=True)
-
-    def make(new: np.ndarray):
-        k = one[new]
-        data = buf.tobytes()
-        words = [data[a:b] for a, b in zip(w.start[k].tolist(), w.end[k].tolist(), strict=True)]
-        return _encoded_words(tok, words, cache.dtype)
-
-    ids, to = cache.join(cache.slots(h[one], make)[back])
+    one, back = T.distinct(buf, w.start, w.end)
+    words = T.cut_out(buf, w.start[one], w.end[one])
+    ids, to = cache.join(cache.slots(words, lambda new: _encoded_words(tok, [words[i] for i in new], cache.dtype))[back])
     return ids, to[w.first]
 
 
@@ -163,11 +159,12 @@ def merkle(leaves: list[bytes]) -> bytes:
 def _encoded(it, path: str, end_id: int, keys: int):
     """A chunk row for each digest that is new to this task, and a recipe row for each document."""
     sent: set[bytes] = set()
+    turn = None
     for batch in it:
         buf, off = T.string_buffers(batch.column(1))
         doc_ids = batch.column(0).to_pylist()
         for i, j in slices(off, 2 << 20):
-            rows = {n: [] for n in ("key", "kind", "digest", "data", "doc_id", "n_tokens", "chunks", "sizes", "root")}
+            rows = {n: [] for n in ("key", "kind", "tie", "digest", "data", "doc_id", "n_tokens", "chunks", "sizes", "root")}
 
             def add(rows=rows, **x):
                 for n, v in rows.items():
@@ -187,8 +184,10 @@ def _encoded(it, path: str, end_id: int, keys: int):
                             sent.clear()
                         sent.add(digest)
                         add(key=int.from_bytes(digest[:4], "little") % keys, kind="chunk", digest=digest, data=data)
-                add(key=zlib.crc32(digests[0]) % keys, kind="recipe", doc_id=doc_ids[i + d], n_tokens=len(own), chunks=digests, sizes=[b - a for a, b in zip([0, *ends[:-1]], ends, strict=True)], root=merkle(digests))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()), strict=True)], list(rows))
+                # Recipes are dealt in turn: many documents may be alike, or have no id.
+                turn = (zlib.crc32(digests[0]) if turn is None else turn + 1) % keys
+                add(key=turn, kind="recipe", tie=turn, doc_id=doc_ids[i + d], n_tokens=len(own), chunks=digests, sizes=[b - a for a, b in zip([0, *ends[:-1]], ends, strict=True)], root=merkle(digests))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()), strict=True)], list(rows))
 
 
 def _once(it):
@@ -196,7 +195,7 @@ def _once(it):
     last = None
     for batch in it:
         keep = []
-        for kind, digest in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for kind, digest in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
             keep.append(kind == "recipe" or digest != last)
             last = digest
         yield batch.filter(pa.array(keep, pa.bool_()))
@@ -210,30 +209,68 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     made = made.repartition(p, "key").sortWithinPartitions("kind", "digest").mapInArrow(_once, OBJECTS)
     made.drop("key").write.option("compression", "snappy").partitionBy("kind").parquet(f"{folder}/objects")
 
-    objects = spark.read.schema("digest binary, data binary, doc_id long, n_tokens long, chunks array<binary>, sizes array<int>, root binary, kind string").parquet(f"{folder}/objects")
-    found = objects.filter("kind = 'recipe'").select("doc_id", "n_tokens", "chunks", "sizes", "root")
-    dealt = found.repartitionByRange(p, F.asc_nulls_first("doc_id"), "root").sortWithinPartitions(F.asc_nulls_first("doc_id"), "root").withColumn("part", F.spark_partition_id())
+    objects = spark.read.schema("tie int, digest binary, data binary, doc_id long, n_tokens long, chunks array<binary>, sizes array<int>, root binary, kind string").parquet(f"{folder}/objects")
+    found = objects.filter("kind = 'recipe'").select("doc_id", "n_tokens", "chunks", "sizes", "root", "tie")
+    order = [F.asc_nulls_first("doc_id"), F.col("root"), F.col("tie")]
+    dealt = found.repartitionByRange(p, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     dealt.write.option("compression", "zstd").parquet(f"{folder}/unplaced")
     # Parts are runs of ids in order; the sums of all parts before give where each begins.
     parts = spark.read.parquet(f"{folder}/unplaced")
     totals = parts.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"), F.count("*").alias("part_documents"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("part_start", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)))
-    inside = Window.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"), "root").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = parts.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(totals, "part").withColumn("start", F.col("part_start") + F.col("inside"))
     placed = placed.select("doc_id", "start", "n_tokens", "chunks", "sizes", "root", "part").sortWithinPartitions("start")
     placed.write.option("compression", "zstd").parquet(f"{folder}/recipes")
     _part_roots(spark.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
+    _head(spark.read.parquet(f"{folder}/manifest"), _width(tokenizer_path)).write.parquet(f"{folder}/head")
+
+
+def _width(tokenizer_path: str) -> int:
+    """Bytes of a stored id."""
+    return _tokenizer(tokenizer_path)[1].ids.itemsize
+
+
+PARTS, HEAD = "part int, documents long, tokens long, pieces long, start long, root binary", "width int, parts long, documents long, tokens long, pieces long, root binary"
+_SUMS = ("documents", "tokens", "pieces")
 
 
 def _part_roots(recipes: DataFrame) -> DataFrame:
-    """Documents, ids and the Merkle root of each part; a part is one run of the range partitioning."""
+    """Documents, ids, place and Merkle root of each part; a part is one run of the range partitioning, and holds some of the documents only."""
 
     def root(rows):
         rows = rows.sort_by("start")
-        return pa.table({"part": rows["part"][:1], "documents": [len(rows)], "tokens": [sum(rows["n_tokens"].to_pylist())], "root": pa.array([merkle(rows["root"].to_pylist())], pa.binary())})
+        leaves = [hashlib.sha256(f"{s} {d} {n} ".encode() + r).digest() for s, d, n, r in zip(*(rows[c].to_pylist() for c in ("start", "doc_id", "n_tokens", "root")), strict=True)]
+        return pa.table({"part": rows["part"][:1], "documents": [len(rows)], "tokens": [sum(rows["n_tokens"].to_pylist())], "pieces": [sum(rows["pieces"].to_pylist())], "start": rows["start"][:1], "root": pa.array([merkle(leaves)], pa.binary())})
+
+    return recipes.select("part", "start", "doc_id", "n_tokens", "root", F.size("sizes").cast("long").alias("pieces")).groupBy("part").applyInArrow(root, PARTS)
+
+
+def _head(parts: DataFrame, width: int) -> DataFrame:
+    """One row over all parts, of which there are as many as partitions."""
+    leaf = F.sha2(F.concat_ws(" ", "part", *_SUMS, "start", F.hex("root")), 256)
+    every = parts.agg(F.lit(width).alias("width"), F.count("*").alias("parts"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS), F.sort_array(F.collect_list(F.struct("part", leaf.alias("leaf")))).alias("leaves"))
+
+    def root(it):
+        for batch in it:
+            roots = [merkle([bytes.fromhex(x["leaf"]) for x in leaves]) for leaves in batch.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(roots, pa.binary())], ["width", "parts", *_SUMS, "root"])
+
+    return every.mapInArrow(root, HEAD)
+
 
-    return recipes.select("part", "start", "n_tokens", "root").groupBy("part").applyInArrow(root, "part int, documents long, tokens long, root binary")
+def _checked_head(spark: SparkSession, folder: str, recipes: DataFrame) -> tuple[int, int]:
+    """The width of the store's ids and the number of pieces in all recipes; an error where head, manifest and recipes don't agree."""
+    parts = spark.read.schema(PARTS).parquet(f"{folder}/manifest")
+    head = spark.read.schema(HEAD).parquet(f"{folder}/head").first()
+    if head is None or head != _head(parts, head["width"]).first():
+        raise ValueError(f"the manifest of {folder} does not match its head")
+    same = F.expr("a.documents <=> b.documents and a.tokens <=> b.tokens and a.pieces <=> b.pieces and a.start <=> b.start and a.root <=> b.root")
+    wrong = parts.alias("a").join(_part_roots(recipes).alias("b"), "part", "full").filter(~same).select("part").limit(5).collect()
+    if wrong:
+        raise ValueError(f"recipes of {folder} do not match its manifest, in parts {sorted(r['part'] for r in wrong)}")
+    return head["width"], head["pieces"]
 
 
 _POLY = 0xEDB88320
@@ -312,25 +349,36 @@ def _read(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return chunks, spark.read.schema("doc_id long, start long, n_tokens long, chunks array<binary>, sizes array<int>, root binary, part int").parquet(f"{folder}/recipes")
 
 
-def verify_store(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
+def verify_store(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files. Chunks stay where they are; sizes and checksums go to the recipes."""
     chunks, recipes = _read(spark, folder)
-    facts = chunks.mapInArrow(lambda it: _checked(it, width), "digest binary, size int, crc long")
-    steps = recipes.select("start", "root", F.posexplode("chunks").alias("seq", "digest"))
-    known = steps.join(facts, "digest").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "size", "crc"))).alias("found"))
+    width, pieces = _checked_head(spark, folder, recipes)
+    facts = lambda x: x.mapInArrow(lambda it: _checked(it, width), "digest binary, size int, crc long")
+    steps = recipes.select("start", F.posexplode("chunks").alias("seq", "digest"))
+    # A chunk that is in very many documents is not gathered.
+    hot = hot_keys(steps.groupBy("digest").agg(F.count("*").alias("rows")), "digest", pieces)
+    found = looked_up(steps, facts(chunks), "digest", hot, facts(chunks.join(F.broadcast(hot), "digest").select("digest", "data")))
+    known = found.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "size", "crc"))).alias("found"))
     whole = recipes.select("doc_id", "start", "n_tokens", "root").join(known, "start", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<seq:int,digest:binary,size:int,crc:bigint>>")))
     return whole.select("doc_id", "start", "n_tokens", "root", "found").mapInArrow(_verified, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def read_documents(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
-    """(doc_id, start, ids) with every document put together again from its chunks."""
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, ids) with every document put together again from its chunks, all of it verified."""
     chunks, recipes = _read(spark, folder)
-    steps = recipes.select("doc_id", "start", F.posexplode("chunks").alias("seq", "digest")).join(chunks, "digest")
-    lists = steps.groupBy("doc_id", "start").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "data"))), lambda x: x.data).alias("data"))
+    width, _ = _checked_head(spark, folder, recipes)
+    steps = recipes.select("start", F.posexplode("chunks").alias("seq", "digest")).join(chunks, "digest")
+    lists = steps.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("found"))
+    rows = recipes.select("doc_id", "start", "n_tokens", "root").join(lists, "start", "left").select("doc_id", "start", "n_tokens", "root", F.col("found.data").alias("data"))
 
     def whole(it):
         for batch in it:
-            ids = [np.frombuffer(b"".join(x), f"<u{width}").astype(np.int32) for x in batch.column(2).to_pylist()]
+            ids = []
+            for n, root, data in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                own = np.frombuffer(b"".join(data or []), f"<u{width}")
+                if len(own) != n or merkle([hashlib.sha256(x).digest() for x in data or []]) != root:
+                    raise ValueError("a document does not match its recipe")
+                ids.append(own.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
-    return lists.mapInArrow(whole, "doc_id long, start long, ids array<int>")
+    return rows.mapInArrow(whole, "doc_id long, start long, ids array<int>")
