@@ -1,8 +1,8 @@
 """Mixing sources to target weights: hierarchical budgets, and a token-prefix of seeded epochs for each leaf.
 
 Documents belong to leaves of a tree (domain, language, source). A node's capacity is
-the tokens below it times the number of epochs allowed. The total budget goes down from
-the root: siblings share their parent's budget by weight; one whose capacity is less
+the tokens below it times the number of epochs allowed, not counting leaves with a weight
+of 0 on the way to them. The total budget goes down from the root: siblings share their parent's budget by weight; one whose capacity is less
 than its share gets its capacity, and its siblings share the rest by their weights.
 A node asks for no more than the capacity below it, so a leaf's shortage is made good
 by its siblings first and reaches an ancestor's siblings only when all of them are full.
@@ -12,8 +12,9 @@ A leaf takes as many whole epochs as its budget holds, and of the next one the d
 in the order of a seeded digest until the budget is reached. The place of the cut is
 found by descending the digest two hexadecimal digits at a time: each step sums tokens
 by digit, so that no task sees more than 256 rows of a leaf, however large it is. What
-is left then is a comparison of each document with its leaf's cut, without a shuffle of
-texts.
+is left then is a comparison of each document with its leaf's cut. A plan of up to
+MOST_LEAVES leaves is broadcast, so texts aren't shuffled; of a larger one only the rows
+of leaves with very many documents are, and the others meet theirs by a shuffle.
 
 Cases: a null in a level is the empty name; tokens are words, a null or blank text has
 none and comes along where its digest lies before the cut; a leaf without tokens or with
@@ -25,12 +26,15 @@ names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm._io import written
+from meridian.llm._io import hot_keys, looked_up, written
 
 STEPS, DIGITS = 3, 2
+MOST_LEAVES = 100_000  # of a plan that is broadcast: at most about 30 MB
 
 
 def _weight(name: str, weights: dict[str, int], otherwise: int = 1) -> Column:
@@ -59,17 +63,20 @@ def _shared(children: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 def budgets(sizes: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], percent: int, max_epochs: int) -> DataFrame:
     """sizes (levels..., tokens) with the budget of each leaf; the total is percent of all tokens."""
+    live = reduce(lambda a, c: a & (_weight(c, weights.get(c, {})) > 0), levels, F.lit(True))
+    sizes = sizes.withColumn("__live", F.when(live, F.col("tokens")).otherwise(0))
     parents = None
     for depth in range(1, len(levels) + 1):
         above, here = levels[: depth - 1], levels[:depth]
-        nodes = sizes.filter("tokens > 0").groupBy(*here).agg((F.sum("tokens") * max_epochs).alias("capacity")).withColumn("weight", _weight(here[-1], weights.get(here[-1], {})))
+        nodes = sizes.groupBy(*here).agg((F.sum("__live") * max_epochs).alias("capacity"), F.sum("tokens").alias("__every")).withColumn("weight", _weight(here[-1], weights.get(here[-1], {})))
         if parents is None:  # the root's capacity is that of the nodes of the first level
-            every = F.sum("capacity").over(Window.partitionBy(F.lit(0)))
-            nodes = nodes.withColumn("most", every).withColumn("parent_budget", F.least(F.expr(f"most div {max_epochs} * {percent} div 100"), "most")).drop("most")
+            root = Window.partitionBy(F.lit(0))
+            nodes = nodes.withColumns({"__every": F.sum("__every").over(root), "__most": F.sum("capacity").over(root)})
+            nodes = nodes.withColumn("parent_budget", F.least(F.expr(f"__every * {percent} div 100"), "__most")).drop("__most")
         else:
             nodes = nodes.join(parents.select(*above, F.col("budget").alias("parent_budget")), above)
-        parents = _shared(nodes, above or [F.lit(0)], here[-1])
-    return sizes.join(parents.select(*levels, "budget"), levels)
+        parents = _shared(nodes.drop("__every").filter("capacity > 0"), above or [F.lit(0)], here[-1])
+    return sizes.drop("__live").join(parents.select(*levels, "budget"), levels)
 
 
 def _cuts(slim: DataFrame, plan: DataFrame, levels: list[str], seed: int) -> DataFrame:
@@ -113,13 +120,20 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     leaf = [F.col(f"mix_{i}") for i in range(len(names))]
     rows = docs.withColumns({f"mix_{i}": x for i, x in enumerate(held.values())} | {"mix_id": F.col(id_col).cast("string")})
     rows = rows.withColumns({"n_tokens": tokens, **{c: x for c, x in zip(names, leaf, strict=True) if c not in docs.columns}})
-    plan = plan.select(*(F.col(c).alias(f"mix_{i}") for i, c in enumerate(names)), F.col("full_epochs").alias("mix_full"), F.col("rest").alias("mix_rest"), F.col("cut_key").alias("mix_cut"), F.col("cut_start").alias("mix_start"))
-    rows = rows.join(plan, [f"mix_{i}" for i in range(len(names))]).withColumn("mix_key", _key(seed, "mix_full"))
+    rows = rows.withColumn("mix_leaf", F.struct(*leaf)).drop(*(f"mix_{i}" for i in range(len(names))))
+    own = F.struct(*(F.col(c).alias(f"mix_{i}") for i, c in enumerate(names)))
+    plan = plan.select(own.alias("mix_leaf"), F.col("full_epochs").alias("mix_full"), F.col("rest").alias("mix_rest"), F.col("cut_key").alias("mix_cut"), F.col("cut_start").alias("mix_start"))
+    if plan.count() <= MOST_LEAVES:
+        rows = rows.join(F.broadcast(plan), "mix_leaf")
+    else:
+        sizes = slim.groupBy(own.alias("mix_leaf")).agg(F.count("*").alias("rows"))
+        rows = looked_up(rows, plan, "mix_leaf", hot_keys(sizes, "mix_leaf", slim.count()))
+    rows = rows.withColumn("mix_key", _key(seed, "mix_full"))
     epochs = F.col("mix_full") + F.when(F.col("mix_key") <= F.col("mix_cut"), 1).otherwise(0)
     rows = rows.withColumn("mix_epochs", epochs).filter("mix_epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_epochs") - 1)))
     last = (F.col("epoch") == F.col("mix_full")) & (F.col("mix_key") == F.col("mix_cut"))
     rows = rows.withColumn("n_used", F.when(last, F.least("n_tokens", F.col("mix_rest") - F.col("mix_start"))).otherwise(F.col("n_tokens")))
-    return rows.drop(*(f"mix_{i}" for i in range(len(names))), "mix_id", "mix_full", "mix_rest", "mix_cut", "mix_start", "mix_key", "mix_epochs")
+    return rows.drop("mix_leaf", "mix_id", "mix_full", "mix_rest", "mix_cut", "mix_start", "mix_key", "mix_epochs")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -140,24 +154,28 @@ PERCENT, MAX_EPOCHS, SEED = 60, 3, 17
 
 
 def _sql() -> str:
+    def weight(name: str, weights: dict[str, int]) -> str:
+        return "CASE " + " ".join(f"WHEN {name} = '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END" if weights else "1"
+
     def share(name: str, parent: list[str], above: str, weights: dict[str, int]) -> str:
         here = [*parent, name]
-        w = "CASE " + " ".join(f"WHEN {name} = '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END" if weights else "1"
+        w = weight(name, weights)
         by, keys, on = ", ".join(parent) or "1", ", ".join(here), " AND ".join(f"c.{p} = p.{p}" for p in parent) or "true"
         return f"""
-{name}_1 AS (SELECT c.*, p.budget AS pb FROM (SELECT {keys}, sum(tokens) * {MAX_EPOCHS} AS cap, CAST({w} AS HUGEINT) AS w FROM sizes WHERE tokens > 0 GROUP BY {keys}) c JOIN {above} p ON {on}),
+{name}_1 AS (SELECT c.*, p.budget AS pb FROM (SELECT {keys}, sum(tokens) * {MAX_EPOCHS} AS cap, CAST({w} AS HUGEINT) AS w FROM sizes WHERE tokens > 0 AND {live} GROUP BY {keys}) c JOIN {above} p ON {on}),
 {name}_2 AS (SELECT *, pb - coalesce(sum(cap) OVER (PARTITION BY {by} ORDER BY CAST(cap AS DOUBLE) / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bl,
   sum(w) OVER (PARTITION BY {by}) - coalesce(sum(w) OVER (PARTITION BY {by} ORDER BY CAST(cap AS DOUBLE) / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wl FROM {name}_1),
 {name}_3 AS (SELECT *, cap * wl <= w * bl AS isfull FROM {name}_2),
 {name}_n AS (SELECT {keys}, CASE WHEN isfull THEN cap ELSE (w * (pb - coalesce(sum(CASE WHEN isfull THEN cap END) OVER (PARTITION BY {by}), 0))) // sum(CASE WHEN NOT isfull THEN w END) OVER (PARTITION BY {by}) END AS budget FROM {name}_3),"""
 
     levels = ["domain", "lang", "source"]
+    live = " AND ".join(f"{weight(c, WEIGHTS.get(c, {}))} > 0" for c in levels)
     shares = "".join(share(c, levels[:i], f"{levels[i - 1]}_n" if i else "root", WEIGHTS.get(c, {})) for i, c in enumerate(levels))
     return f"""
 WITH t AS (SELECT doc_id, coalesce('d' || CAST(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 4 AS VARCHAR), '') AS domain,
   coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS HUGEINT) AS n FROM documents),
 sizes AS (SELECT domain, lang, source, sum(n) AS tokens FROM t GROUP BY ALL),
-root AS (SELECT least(coalesce(sum(tokens), 0) * {PERCENT} // 100, coalesce(sum(tokens), 0) * {MAX_EPOCHS}) AS budget FROM sizes),{shares}
+root AS (SELECT least(coalesce(sum(tokens), 0) * {PERCENT} // 100, coalesce(sum(tokens) FILTER ({live}), 0) * {MAX_EPOCHS}) AS budget FROM sizes),{shares}
 plan AS (SELECT domain, lang, source, budget // tokens AS full_epochs, budget % tokens AS rest FROM sizes JOIN source_n USING (domain, lang, source)),
 k AS (SELECT t.*, full_epochs, rest, md5(concat_ws('|', '{SEED}', CAST(full_epochs AS VARCHAR), CAST(doc_id AS VARCHAR))) AS key FROM t JOIN plan USING (domain, lang, source)),
 s AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,

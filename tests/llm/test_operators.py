@@ -115,6 +115,80 @@ def test_shortages_go_to_siblings_before_ancestors(spark):
     assert got == {"x": 10, "y": 1000, "z": 799}
 
 
+def test_shortages_below_a_weight_of_zero_go_on(spark):
+    """What a leaf of weight 0 could hold doesn't count, so its parent asks for no more than its other leaves have."""
+    sizes = spark.createDataFrame([("a", "x", 100), ("a", "off", 900), ("b", "z", 1000), ("c", "z", 0)], "domain string, source string, tokens long")
+    got = {(r["domain"], r["source"]): r["budget"] for r in mixing.budgets(sizes, ["domain", "source"], {"source": {"off": 0}}, 40, 1).collect() if r["budget"]}
+    assert got == {("a", "x"): 100, ("b", "z"): 700}
+    assert not any(r["budget"] for r in mixing.budgets(sizes, ["domain", "source"], {"source": {"off": 0, "x": 0, "z": 0}}, 40, 1).collect())
+
+
+def brute_budgets(tokens, weights, percent, epochs):
+    """Budgets of leaves (tuples of names) by water filling from the root, in whole numbers."""
+    weight = lambda depth, name: weights[depth].get(name, 1)
+    live = {k: n for k, n in tokens.items() if n and all(weight(i, x) for i, x in enumerate(k))}
+    out = {}
+
+    def share(prefix, budget):
+        depth = len(prefix)
+        if depth == len(weights):
+            out[prefix] = budget
+            return
+        cap, w = {}, {}
+        for k, n in live.items():
+            if k[:depth] == prefix:
+                cap[k[depth]] = cap.get(k[depth], 0) + n * epochs
+                w[k[depth]] = weight(depth, k[depth])
+        left = budget
+        while full := [x for x in cap if cap[x] * sum(w[y] for y in cap) <= w[x] * left]:
+            x = min(full, key=lambda y: (cap[y] / w[y], y))
+            share((*prefix, x), cap[x])
+            left -= cap.pop(x)
+        total = sum(w[x] for x in cap)
+        for x in cap:
+            share((*prefix, x), w[x] * left // total)
+
+    share((), min(sum(tokens.values()) * percent // 100, sum(live.values()) * epochs))
+    return out
+
+
+def brute_mixture(docs, weights, percent, epochs, seed):
+    """(doc_id, epoch, words used) of all chosen rows."""
+    leaves = {}
+    for d in docs:
+        m = re.search("([0-9]+)$", d["source"] or "")
+        leaves.setdefault((f"d{int(m[1]) % 4}" if m else "", d["lang"] or "", d["source"] or ""), []).append((d["doc_id"], len(SPLIT.findall(d["text"] or ""))))
+    plan = brute_budgets({k: sum(n for _, n in v) for k, v in leaves.items()}, weights, percent, epochs)
+    out = []
+    for leaf, rows in leaves.items():
+        if leaf in plan:
+            whole, rest = divmod(plan[leaf], sum(n for _, n in rows))
+            out += [(i, e, n) for i, n in rows for e in range(whole)]
+            for i, n in sorted(rows, key=lambda r: hashlib.md5(f"{seed}|{whole}|{r[0]}".encode()).hexdigest()):
+                if rest > 0:
+                    out.append((i, whole, min(n, rest)))
+                rest -= n
+    return out
+
+
+def test_source_mixing_by_brute_force(spark, sf_dir):
+    docs = documents(sf_dir)
+    levels = {"domain": mixing.domain(), "lang": F.col("lang"), "source": F.col("source")}
+    for weights, percent, epochs in ((mixing.WEIGHTS, 60, 3), ({"lang": {"en": 0, "de": 3}, "source": {"src1": 0}}, 95, 2)):
+        got = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), levels, weights, percent, epochs, 17).collect()
+        want = brute_mixture(docs, [weights.get(x, {}) for x in levels], percent, epochs, 17)
+        assert sorted((r["doc_id"], r["epoch"], r["n_used"]) for r in got) == sorted(want)
+
+
+def test_mixing_with_a_plan_that_is_not_broadcast(spark, sf_dir, monkeypatch):
+    levels = {"domain": mixing.domain(), "lang": F.col("lang"), "source": F.col("source")}
+    made = lambda: sorted(map(str, mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), levels, mixing.WEIGHTS).collect()))
+    want = made()
+    monkeypatch.setattr(mixing, "MOST_LEAVES", 0)
+    monkeypatch.setattr("meridian.llm._io.HOT_ROWS", 3)
+    assert made() == want
+
+
 def test_mixing_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string, epoch string")
     assert mixing.mix(df, {"source": F.col("source")}, {}).count() == 0
@@ -167,11 +241,34 @@ def test_token_store_gives_ids_back_and_finds_damage(spark, sf_dir, tmp_path):
     token_store.write_store(df, str(tmp_path / "s"), path, 2)
     got = {r["doc_id"]: r["ids"] for r in token_store.read_documents(spark, str(tmp_path / "s")).collect()}
     assert got[1] == [2] and got[2] == [*Tokenizer.from_file(path).encode("one two three", add_special_tokens=False).ids, 2]
-    bad = spark.read.parquet(str(tmp_path / "s/recipes")).withColumn("root", F.lit(b"x"))
-    bad.write.parquet(str(tmp_path / "t/recipes"))
-    spark.read.parquet(str(tmp_path / "s/objects")).write.partitionBy("kind").parquet(str(tmp_path / "t/objects"))
-    with pytest.raises(Exception, match="does not match"):
-        token_store.verify_store(spark, str(tmp_path / "t")).collect()
+
+
+def test_token_store_without_a_part_is_an_error(spark, tmp_path):
+    """Whatever is missing or changed in a table of the store, both readers raise."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.createDataFrame([(k, f"some words of text {k} and {k * k} more") for k in range(8)] + [(None, None), (None, ""), (2, None)], "doc_id long, text string")
+    whole = str(tmp_path / "s")
+    token_store.write_store(df, whole, path, 2)
+    assert token_store.verify_store(spark, whole).count() == token_store.read_documents(spark, whole).count() == 11
+    read = {t: spark.read.parquet(f"{whole}/{t}") for t in ("objects", "recipes", "manifest", "head")}
+    none = read["objects"].filter("kind = 'chunk'").orderBy("digest").first()["digest"]
+    part = read["recipes"].filter("doc_id = 3").first()["part"]
+    broken = {
+        "recipe": {"recipes": read["recipes"].filter("not doc_id <=> 3")},
+        "part": {"recipes": read["recipes"].filter(F.col("part") != part), "manifest": read["manifest"].filter(F.col("part") != part)},
+        "place": {"recipes": read["recipes"].withColumn("start", F.col("start") + 1)},
+        "root": {"recipes": read["recipes"].withColumn("root", F.lit(b"x"))},
+        "chunk": {"objects": read["objects"].filter(~F.col("digest").eqNullSafe(F.lit(bytes(none))))},
+        "data": {"objects": read["objects"].withColumn("data", F.when(F.col("data").isNotNull(), F.expr("concat(data, X'0000')")))},
+        "manifest": {"manifest": read["manifest"].filter(F.col("part") != part)},
+        "head": {"head": read["head"].withColumn("tokens", F.lit(1).cast("long"))},
+    }
+    for name, changed in broken.items():
+        for t, table in (read | changed).items():
+            (table.write.partitionBy("kind") if t == "objects" else table.write).parquet(f"{tmp_path}/{name}/{t}")
+        for reader in (token_store.verify_store, token_store.read_documents):
+            with pytest.raises(Exception, match="does not match|do not match|damaged"):
+                reader(spark, f"{tmp_path}/{name}").collect()
 
 
 def test_quality_rules(spark, sf_dir):
@@ -306,18 +403,22 @@ def test_token_counts_of_a_very_long_pretoken():
     model = token_counts.Unigram(RANKS)
     byte = 0xF5  # in no piece but its own
     assert sum(byte in piece for piece in model.cost) == 1
-    assert model._deep(np.full(3_000_000, byte, np.uint8)) == 3_000_000
+    assert model.measure([bytes([byte]) * 3_000_000, b"a"]).tolist() == [3_000_000, 1]
     rng = np.random.default_rng(4)
-    for n in (65, 200, 700):  # as by the sums of 64 bits, where these suffice
-        word = rng.choice(np.frombuffer(b"aetnos", np.uint8), n)
+    stem = rng.choice(np.frombuffer(b"aetnos", np.uint8), 100)
+    words = [np.r_[stem[:k], rng.choice(np.frombuffer(b"aetnos", np.uint8), n)] for k, n in ((0, 65), (90, 200), (100, 1), (100, 700), (100, 0), (3, 20))]
+    counted = model.measure([w.tobytes() for w in words]).tolist()
+    for word, count in zip(words, counted, strict=True):  # as by the sums of 64 bits, where these suffice
+        n = len(word)
         best = [0] + [1 << 62] * n
         for e in range(1, n + 1):
             best[e] = min(best[s] + c for s in range(max(0, e - model.lengths[-1]), e) if (c := model.cost.get(word[s:e].tobytes())) is not None)
-        assert model._deep(word) == best[n] & 0xFFFFFF
+        assert count == best[n] & 0xFFFFFF
 
 
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as P
+    import tiktoken
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = {r["doc_id"] for r in queries.op6_quality_rules(spark, sf_dir).collect() if r["kept"]}
@@ -330,8 +431,12 @@ def test_pipeline(spark, sf_dir):
     want = {k: v for k, v in brute_repeats([r.asDict() for r in two.collect()]).items() if v[0] > v[1] or not v[0]}
     assert three.columns == docs.columns and {r["doc_id"] for r in three.collect()} == set(want)
     four = P.mixture(spark, three, sf_dir)
-    assert four.columns == docs.columns and {r["doc_id"] for r in four.collect()} <= set(want)
-    assert P.run(spark, sf_dir).count() == four.count()
+    before = {r["doc_id"]: r.asDict() for r in three.collect()}
+    used = brute_mixture(before.values(), [mixing.WEIGHTS.get(x, {}) for x in ("domain", "lang", "source")], mixing.PERCENT, mixing.MAX_EPOCHS, mixing.SEED)
+    assert four.columns == docs.columns and sorted((r["doc_id"], SPLIT.findall(r["text"] or "")) for r in four.collect()) == sorted((i, SPLIT.findall(before[i]["text"] or "")[:n]) for i, _, n in used)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}, special_tokens={})
+    digest = lambda text: hashlib.sha256(np.array(enc.encode_ordinary(text or ""), "<u4").tobytes()).hexdigest()
+    assert sorted((r["doc_id"], r["ids_sha256"]) for r in P.run(spark, sf_dir).collect()) == sorted((r["doc_id"], digest(r["text"])) for r in four.collect())
 
 
 def test_pipeline_keeps_to_the_budgets_of_leaves(spark, sf_dir):
