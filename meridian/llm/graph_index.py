@@ -6,11 +6,14 @@ shard, nodes are inserted in rounds that double in size: a greedy search from th
 node proposes neighbours, and pruning keeps a candidate only if no neighbour chosen
 before is ``alpha`` times nearer to it than the new node is; edges back are added and
 pruned the same way. Every row is indexed. A query goes through every shard by beam
-search, in blocks of queries; each shard's best are measured again in double precision
-on the original vectors, and the shards' results are merged.
+search: a task holds one shard (at most about ``shard_rows`` nodes), and the queries
+stream past it in batches. A shard is read by as many tasks as are needed to use all
+partitions, so the index travels once where there are as many shards as partitions. Each
+shard's best are measured again in double precision on the original vectors, and the
+shards' results are merged.
 
 The index is a table in the shared folder: a lost executor costs its shards again, not
-the job. A task holds one shard (at most about ``shard_rows`` nodes) and one block.
+the job.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no
 part, neither as queries nor as candidates; vectors of other lengths than the query's
@@ -25,13 +28,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from meridian.llm._io import partitions, written
+from meridian.llm._io import hot_keys, looked_up, partitions, written
 
-SHARD_ROWS, BLOCK_ROWS, MOST_K = 16384, 8192, 16
+SHARD_ROWS, MOST_K = 16384, 16
 DEGREE, BEAM, ALPHA = 20, 48, 1.2
 _ROUND = 512
 NODES = "dim int, shard int, node int, entry boolean, vector array<double>, ids array<long>, neighbours array<int>"
@@ -173,17 +175,14 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.filter(F.col(id_col).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("id"), v.alias("vector"), F.size(v).alias("dim"))
 
 
-def _smallest(ids: Column, n: int) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(ids)), 1, n)
-
-
 def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> Index:
     """Indexes every usable row."""
     p = partitions(vectors.sparkSession)
     rows = _usable(vectors, id_col, vector_col)
-    # A vector that is everywhere is gathered in as many parts as there are partitions, each cut to what results can use.
-    parts = rows.groupBy("vector", "dim", F.pmod(F.xxhash64("id"), F.lit(p)).alias("salt")).agg(_smallest(F.collect_list("id"), MOST_K + 1).alias("ids"))
-    classes = written(parts.groupBy("vector", "dim").agg(_smallest(F.flatten(F.collect_list("ids")), MOST_K + 1).alias("ids")), "vectors")
+    # Of a vector that is everywhere each task passes on the smallest ids that results can use.
+    place = F.row_number().over(Window.partitionBy("dim", "vector").orderBy("id"))
+    few = rows.distinct().withColumn("place", place).filter(F.col("place") <= MOST_K + 1)
+    classes = written(few.groupBy("dim", "vector").agg(F.array_sort(F.collect_list("id")).alias("ids")), "vectors")
     n = classes.count()
     shards = max(1, -(-n // shard_rows), min(p, n // 1024))
 
@@ -201,48 +200,79 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return Index(written(dealt.groupBy("dim", "shard").applyInArrow(shard, NODES), "graph"), shards)
 
 
+class _Shard:
+    """A shard's graph in memory."""
+
+    def __init__(self, nodes: pa.Table, dim: int):
+        self.dim, self.own = dim, _matrix(nodes["vector"], dim)
+        lists = nodes["neighbours"].combine_chunks()
+        size = np.asarray(lists.value_lengths())
+        self.near = np.full((len(self.own), max(1, int(size.max(initial=0)))), -1)
+        self.near[np.arange(self.near.shape[1]) < size[:, None]] = np.asarray(lists.flatten())
+        self.entry = int(np.flatnonzero(nodes["entry"].combine_chunks().to_numpy(zero_copy_only=False))[0])
+        self.ids = nodes["ids"].to_pylist()
+        self.length = np.sqrt((self.own * self.own).sum(1))
+        self.x = _unit(self.own)
+
+    def nearest(self, q: pa.Table, k: int, beam: int) -> pa.RecordBatch:
+        """Key, score and ids of the k + 1 best nodes of each query, measured in double precision."""
+        asked, keys = _matrix(q["vector"], self.dim), q["key"].to_pylist()
+        out = {"key": [], "score": [], "ids": []}
+        found, _, _ = beam_search(self.x, self.near, self.entry, _unit(asked), beam)
+        for a, key, nodes in zip(asked, keys, found, strict=True):
+            at = nodes[nodes >= 0]
+            score = self.own[at] @ a / (self.length[at] * np.sqrt(a @ a))
+            best = sorted(zip((-score).tolist(), [self.ids[i][0] for i in at], at.tolist(), strict=True))[: k + 1]
+            out["key"] += [key] * len(best)
+            out["score"] += [-s for s, _, _ in best]
+            out["ids"] += [self.ids[i] for _, _, i in best]
+        return pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["score"], pa.float64()), pa.array(out["ids"], pa.list_(pa.int64()))], ["key", "score", "ids"])
+
+
 def search(index: Index, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = 2 * BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows other than its own, as far as the graphs find them."""
     if k > MOST_K:
         raise ValueError(f"k is at most {MOST_K}")
     asked = _usable(queries, id_col, vector_col)
-    # Equal queries are searched once, under the smallest id.
-    firsts = written(asked.groupBy("vector", "dim").agg(F.min("id").alias("key")), "queries")
-    blocks = max(1, -(-firsts.count() // BLOCK_ROWS))
-    firsts = firsts.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    to_shards = firsts.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(index.shards - 1))))
-    to_blocks = index.nodes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def look(key, nodes, q):
-        out = {"key": [], "score": [], "ids": []}
-        if len(nodes) and len(q):
-            nodes, dim = nodes.sort_by("node"), key[0].as_py()
-            own, asked = _matrix(nodes["vector"], dim), _matrix(q["vector"], dim)
-            lists = nodes["neighbours"].combine_chunks()
-            size = np.asarray(lists.value_lengths())
-            near = np.full((len(own), max(1, int(size.max(initial=0)))), -1)
-            near[np.arange(near.shape[1]) < size[:, None]] = np.asarray(lists.flatten())
-            entry = int(np.flatnonzero(np.asarray(nodes["entry"].combine_chunks().to_numpy(zero_copy_only=False)))[0])
-            ids, keys = nodes["ids"].to_pylist(), q["key"].to_pylist()
-            length = np.sqrt((own * own).sum(1))
-            x, u = _unit(own), _unit(asked)
-            for lo in range(0, len(u), _ROUND):
-                found, _, _ = beam_search(x, near, entry, u[lo : lo + _ROUND], max(beam, 2 * k))
-                for r, nodes_found in enumerate(found, lo):
-                    at = nodes_found[nodes_found >= 0]
-                    a = asked[r]
-                    score = own[at] @ a / (length[at] * np.sqrt(a @ a))
-                    best = sorted(zip((-score).tolist(), [ids[i][0] for i in at], at.tolist(), strict=True))[: k + 1]
-                    out["key"] += [keys[r]] * len(best)
-                    out["score"] += [-s for s, _, _ in best]
-                    out["ids"] += [ids[i] for _, _, i in best]
-        return pa.table({"key": pa.array(out["key"], pa.int64()), "score": pa.array(out["score"], pa.float64()), "ids": pa.array(out["ids"], pa.list_(pa.int64()))})
-
-    keys = ("dim", "shard", "block")
-    found = to_blocks.groupBy(*keys).cogroup(to_shards.groupBy(*keys)).applyInArrow(look, "key long, score double, ids array<long>")
+    # Equal queries are searched once, under the smallest id. Two hashes stand for the vector where results go back.
+    mark = F.struct(F.xxhash64("vector"), F.xxhash64(F.lit(1), "vector"), "dim").alias("mark")
+    firsts = written(asked.groupBy("vector", "dim").agg(F.min("id").alias("key"), F.count("*").alias("rows")), "queries")
+    blocks = max(1, partitions(queries.sparkSession) // index.shards)
+    nothing = lambda t: F.lit(None).cast(t)
+    nodes = index.nodes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("dim", "shard", "block", F.lit(0).alias("kind"), F.col("node").cast("long").alias("key"), "entry", "vector", "ids", "neighbours")
+    to_shards = firsts.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(index.shards - 1))))
+    asking = to_shards.select("dim", "shard", "block", F.lit(1).alias("kind"), "key", nothing("boolean").alias("entry"), "vector", nothing("array<long>").alias("ids"), nothing("array<int>").alias("neighbours"))
+    group = ["dim", "shard", "block"]
+    stream = nodes.union(asking).repartition(max(partitions(queries.sparkSession), index.shards), *group).sortWithinPartitions(*group, "kind", "key")
+    width = max(beam, 2 * k)
+
+    def look(it):
+        """Rows come by shard, its nodes before the queries to it."""
+        open_, held, shard = None, [], None
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            every = pa.Table.from_batches([batch])
+            marks = np.stack([np.asarray(batch.column(c)) for c in range(4)], 1)
+            ends = [*(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(marks)]
+            for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+                part, own = every.slice(lo, hi - lo), tuple(marks[lo, :3].tolist())
+                if own != open_:
+                    open_, held, shard = own, [], None
+                if marks[lo, 3] == 0:
+                    held.append(part)
+                elif held or shard:
+                    if held:
+                        shard, held = _Shard(pa.concat_tables(held), own[0]), []
+                    for at in range(0, len(part), _ROUND):
+                        yield shard.nearest(part.slice(at, _ROUND), k, width)
+
+    found = stream.mapInArrow(look, "key long, score double, ids array<long>")
     hits = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("far"), i.alias("id")))
-    best = found.select("key", hits.alias("hits")).groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k + 1).alias("hits"))
-    each = asked.join(firsts.select("vector", "key"), "vector").select("id", "key").distinct().join(best, "key")
+    best = written(found.select("key", hits.alias("hits")).groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k + 1).alias("hits")), "nearest")
+    facts = firsts.select("key", mark, "rows").join(best, "key")
+    hot = hot_keys(facts, "mark", firsts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+    each = looked_up(asked.select("id", mark).distinct(), facts.select("mark", "hits"), "mark", hot)
     rows = each.select(F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("hits", lambda h: h.id != F.col("id")), 1, k)))
     return rows.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.id").alias("vec_id"), (-F.col("col.far")).alias("score"))
 
