@@ -51,7 +51,7 @@ THRESHOLDS = (
     Rule("word_too_short", "word_chars", "n_words", under=200),
     Rule("word_too_long", "word_chars", "n_words", over=1200),
     Rule("symbols", "n_symbols", "n_words", over=50),
-    Rule("no_letters", "n_letter_words", "n_words", under=70),
+    Rule("no_letters", "n_letter_words", "n_words", under=70, from_words=50),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", over=40),
     Rule("no_stop_words", "n_stop_words", "one", under=100, from_words=50),
 )
@@ -158,5 +158,5 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND NOT (100 * word_chars < 200 * n_words OR 100 * word_chars > 1200 * n_words OR 100 * n_symbols > 50 * n_words
-    OR 100 * n_letter_words < 70 * n_words OR 100 * n_dup_lines > 40 * n_lines OR (n_words >= 50 AND n_stop_words < 1)) AS kept
+    OR (n_words >= 50 AND 100 * n_letter_words < 70 * n_words) OR 100 * n_dup_lines > 40 * n_lines OR (n_words >= 50 AND n_stop_words < 1)) AS kept
 FROM b"""
