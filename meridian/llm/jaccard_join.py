@@ -197,8 +197,8 @@ def _fits(a: str, b: str, percent: int) -> str:
         and 1 + least({a}.n - {a}.pos, {b}.n - {b}.pos) - 1 >= ceil({percent}L * ({a}.n + {b}.n) / {100.0 + percent})"""
 
 
-def similarity_links(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(sets, links): each row's id, set size and class representative; verified links u-v between representatives, enough to connect what is connected."""
+def similarity_links(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, classes, links): each row's id and set (n, h1, h2); the representative of each set; verified links u-v between representatives, enough to connect what is connected."""
     spark = docs.sparkSession
     p = partitions(spark)
     n_chunks = 2 * p
@@ -208,7 +208,7 @@ def similarity_links(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     home = lambda c: chunk_of(n_chunks, F.col(c))
 
     sets = written(parts.groupBy("chunk").applyInArrow(lambda docs: _describe(docs, width), "id long, n long, h1 long, h2 long"), "sets")
-    classes = sets.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
+    classes = written(sets.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "classes")
     standing = classes.select(home("rep").alias("chunk"), F.col("rep").alias("id"), "h1", "h2")
 
     asked = parts.groupBy("chunk").cogroup(standing.groupBy("chunk")).applyInArrow(lambda key, docs, standing: _ask_frequencies(key[0].as_py(), docs, standing, width, p), MAIL)
@@ -255,14 +255,22 @@ def similarity_links(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     more = verified(pairs)
 
     # Rows that share an id are one vertex.
-    member = sets.join(classes, ["n", "h1", "h2"], "left").select("id", "n", "rep")
-    twice = member.filter("rep is not null").groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("w"), F.collect_set("rep").alias("reps")).filter("u != w")
-    same_id = twice.select("u", F.explode("reps").alias("v")).filter("u != v")
-    return member, links.union(more).union(same_id)
+    own = F.struct("n", "h1", "h2")
+    known = sets.filter("n > 0 and id is not null")
+    twice = known.groupBy("id").agg(F.min(own).alias("a"), F.max(own).alias("b")).filter("a != b").select("id")
+    reps = known.join(twice, "id").join(classes, ["n", "h1", "h2"]).groupBy("id").agg(F.collect_set("rep").alias("reps"))
+    same_id = reps.select(F.array_min("reps").alias("u"), F.explode("reps").alias("v")).filter("u != v")
+    return sets, classes, links.union(more).union(same_id)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) for every row of docs."""
-    member, links = similarity_links(docs, width, percent, id_col, text_col)
+    sets, classes, links = similarity_links(docs, width, percent, id_col, text_col)
     found = components(links).select(F.col("id").alias("rep"), "component")
-    return member.join(found, "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    facts = classes.join(found, "rep", "left").select(F.struct("n", "h1", "h2").alias("own"), F.coalesce("component", "rep").alias("component_id"))
+    hot = hot_keys(classes.select(F.struct("n", "h1", "h2").alias("own"), "rows"), "own", sets.count())
+    linked = F.col("n") > 0
+    rows = sets.filter(linked & F.col("id").isNotNull()).select("id", "n", F.struct("n", "h1", "h2").alias("own"))
+    alone = sets.filter(~linked | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id"))
+    member = looked_up(rows, facts, "own", hot).select("id", "n", "component_id").union(alone)
+    return member.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

@@ -9,7 +9,8 @@ the distance within which nearly all of the centroid's own texts lie.
 
 Document frequencies are counted over all training rows: every task adds up its own
 counts of the ``DIM`` dimensions and sends one row for each. The centroids are fitted on
-about ``fit_rows`` rows per language, chosen by a digest of the id; that bounds the fit.
+about ``fit_rows`` rows per language, chosen by a digest of id and text out of those that
+differ in them; that bounds the fit, whatever is repeated.
 The model has at most max_languages * clusters * DIM numbers and travels with the tasks.
 Predicting is a map over whole texts in slices of bounded size.
 
@@ -106,8 +107,8 @@ def kmeans(v: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndar
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS, clusters: int = CLUSTERS, max_languages: int = MAX_LANGUAGES) -> Model:
     """Learns from rows with a language. fit_rows: rows per language for the centroids, about; all rows count for the frequencies."""
-    rows = rows.filter(F.col(lang_col).isNotNull() & has_letter(text_col)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)).alias("draw"))
-    sizes = rows.groupBy("lang").count().orderBy("lang").limit(max_languages + 1).collect()
+    rows = rows.filter(F.col(lang_col).isNotNull() & has_letter(text_col)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)).alias("draw"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02)).orderBy("lang").limit(max_languages + 1).collect()
     if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} languages; the model's size would have no bound")
     empty = Model([], np.zeros((0, DIM), np.float32), np.zeros(0, np.float32), np.zeros(DIM, np.float32))
@@ -131,7 +132,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
     share = F.lit(0)
     for lang, n in sizes:
-        share = F.when(F.col("lang") == lang, min(1 << 30, (fit_rows << 30) // n)).otherwise(share)
+        share = F.when(F.col("lang") == lang, min(1 << 30, (fit_rows << 30) // max(1, n))).otherwise(share)
 
     def vectors(it):
         for batch in it:
@@ -148,7 +149,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         reach = [float(np.quantile(far[group == g], 0.99)) if (group == g).any() else 0.0 for g in range(len(c))]
         return pa.table({"lang": pa.array([rows["lang"][0].as_py()] * len(c), pa.string()), "n": pa.array(range(len(c)), pa.int32()), "centroid": pa.array([x.tobytes() for x in c], pa.binary()), "reach": pa.array(reach, pa.float64())})
 
-    drawn = rows.filter(F.col("draw") < share).select("lang", "text", "draw").mapInArrow(vectors, "lang string, draw long, v binary")
+    drawn = rows.filter(F.col("draw") < share).select("lang", "text", "draw").dropDuplicates(["lang", "draw"]).mapInArrow(vectors, "lang string, draw long, v binary")
     found = drawn.groupBy("lang").applyInArrow(cluster, "lang string, n int, centroid binary, reach double").collect()
     if not found:
         return empty

@@ -9,7 +9,9 @@ hexadecimal, with the algorithm as label.
 All of it is one projection of Spark expressions: nothing is shuffled, and a task lost
 with an executor is run again. Text comes from HTML by removing comments, scripts and
 styles (an unclosed one reaches to the end), turning block tags into line ends, dropping
-other tags, decoding numeric and the commonest named entities, and closing up white space.
+other tags, decoding numeric references and the named ones of HTML 4, and closing up white
+space. Attributes count in double or single quotes or without any; titles and links are
+decoded too.
 
 Cases: a null payload counts as empty and gives both records with empty text; a null URI
 leaves out that header; a null id gives records made from the empty id; repeated rows
@@ -19,15 +21,19 @@ existing ones with their names.
 
 from __future__ import annotations
 
-from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
-#: Tags that end a line, and named entities.
+#: Tags that end a line.
 BLOCKS = "address article aside blockquote body br dd div dl dt footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td th thead title tr ul".split()
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "laquo": "«", "raquo": "»", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "euro": "€", "amp": "&"}
+ENTITIES = {name: " " if name == "nbsp" else chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
+REFERENCE = "^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+ATTRIBUTE = r"""(?i)<%s\b(?:[^>]*?[ \t\r\n\f"'])?%s[ \t\r\n\f]*=[ \t\r\n\f]*("[^"\r\n]*"|'[^'\r\n]*'|[^ \t\r\n\f"'=<>]+)"""
+LINK, LANGUAGE = ATTRIBUTE % ("a", "href"), ATTRIBUTE % ("html", "lang")
+QUOTES = "^[\"']|[\"']$"
 GONE = r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z))"
 BREAKS = rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*(?:>|\z)"
 TAGS = r"<[a-zA-Z/!?][^>]*(?:>|\z)"
@@ -35,21 +41,26 @@ WHITE = r"[ \t\r\f\x0B\xA0]{2,}|[\t\r\f\x0B\xA0]"  # a single space stays as it
 DATE = "2024-01-01T00:00:00Z"
 
 
-def _numeric(text: Column) -> Column:
-    """Numeric character references as characters; impossible code points become U+FFFD."""
+def _decoded(text: Column) -> Column:
+    """Character references as characters, each decoded once; unknown names stay, and impossible code points become U+FFFD."""
+    names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
 
-    def one(part: Column, i: Column) -> Column:
-        ref = F.regexp_extract(part, r"^(x[0-9a-fA-F]{1,6}|[0-9]{1,7});", 1)
-        code = F.when(ref.startswith("x"), F.conv(F.substring(ref, 2, 6), 16, 10).try_cast("int")).otherwise(ref.try_cast("int"))
+    def char(ref: Column) -> Column:
+        digits = F.regexp_replace(ref, "^#[xX]?", "")
+        code = F.when(ref.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
         high = F.lpad(F.hex(F.lit(0xD800) + F.floor((code - 0x10000) / 1024).cast("int")), 4, "0")
         low = F.lpad(F.hex(F.lit(0xDC00) + (code - 0x10000) % 1024), 4, "0")
         units = F.when(code >= 0x10000, F.concat(high, low)).otherwise(F.lpad(F.hex(code), 4, "0"))
         bad = (code < 1) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
-        char = F.when(bad, F.lit("�")).otherwise(F.decode(F.unhex(F.when(~bad, units)), "UTF-16BE"))
-        return F.when(i == 0, part).when(ref == "", F.concat(F.lit("&#"), part)).otherwise(F.concat(char, F.substring(part, F.length(ref) + 2, F.length(part))))
+        numeric = F.when(bad, F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.when(~bad, units)), "UTF-16BE"))
+        return F.when(ref == "", F.lit(None)).when(ref.startswith("#"), numeric).otherwise(F.try_element_at(names, ref))
+
+    def one(part: Column, i: Column) -> Column:
+        ref = F.regexp_extract(part, REFERENCE, 1)
+        tail = F.substring(part, F.length(ref) + 2, F.length(part))
+        return F.when(i == 0, part).otherwise(F.coalesce(F.concat(char(ref), tail), F.concat(F.lit("&"), part)))
 
-    parts = F.transform(F.split(text, "&#", -1), one)
-    return F.when(F.contains(text, F.lit("&#")), F.array_join(parts, "")).otherwise(text)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&", -1), one), "")).otherwise(text)
 
 
 def text_of(html: Column) -> Column:
@@ -60,11 +71,15 @@ def text_of(html: Column) -> Column:
 def _text(clean: Column) -> Column:
     """The text of a page without comments, scripts and styles."""
     out = F.regexp_replace(F.regexp_replace(clean, BREAKS, "\n"), TAGS, "")
-    out = reduce(lambda t, e: F.replace(t, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES.items(), _numeric(out))
-    out = F.regexp_replace(F.regexp_replace(out, WHITE, " "), r" ?\n[ \n]*", "\n")
+    out = F.regexp_replace(F.regexp_replace(_decoded(out), WHITE, " "), r" ?\n[ \n]*", "\n")
     return F.btrim(out, F.lit(" \n"))
 
 
+def _line(text: Column) -> Column:
+    """A field's value: white space that could end its line becomes a space."""
+    return F.regexp_replace(text, r"[ \t\r\n]+", " ")
+
+
 def _uuid(*parts: Column) -> Column:
     h = F.md5(F.concat_ws("|", *parts).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
@@ -92,9 +107,10 @@ def derive(found: DataFrame) -> DataFrame:
     html = F.make_valid_utf8(F.coalesce(F.col("payload"), F.lit(b"")).cast("string"))
     rows = found.select(*rest, F.col("record_id").alias("refers_to"), "target_uri", "date", F.coalesce("http_header", F.lit("")).alias("__head"), html.alias("__html"), _digest(F.coalesce(F.col("payload"), F.lit(b""))).alias("source_digest"))
     rows = rows.withColumn("__clean", F.regexp_replace("__html", GONE, " "))
-    links = F.transform(F.regexp_extract_all(F.col("__clean"), F.lit(r'(?i)<a\b[^>]*?href="([^"\r\n]*)"'), 1), lambda x: F.concat(F.lit("outlink: "), x, F.lit(CRLF)))
-    title = F.trim(F.regexp_replace(F.regexp_extract("__html", r"(?is)<title\b[^>]*>(.*?)</title", 1), r"[ \t\r\n]+", " "))
-    lang = F.regexp_extract("__html", r'(?i)<html\b[^>]*?lang="([^"\r\n]*)"', 1)
+    bare = lambda x: _line(_decoded(F.regexp_replace(x, QUOTES, "")))
+    links = F.transform(F.regexp_extract_all(F.col("__clean"), F.lit(LINK), 1), lambda x: F.concat(F.lit("outlink: "), bare(x), F.lit(CRLF)))
+    title = F.trim(_line(_decoded(F.regexp_extract("__html", r"(?is)<title\b[^>]*>(.*?)</title", 1))))
+    lang = bare(F.regexp_extract("__html", LANGUAGE, 1))
     fields = F.concat(
         F.lit("source-status: "), F.regexp_extract("__head", r"^HTTP/[0-9.]+ ([0-9]{3})", 1), F.lit(CRLF),
         F.regexp_replace(F.regexp_replace("__head", r"^HTTP/[^\r]*\r\n", ""), r"([^\r\n]+)\r\n", "source-header: $1\r\n"),
@@ -130,19 +146,23 @@ def parse(records: DataFrame, record_col: str = "record") -> DataFrame:
 
 
 def _sql() -> str:
-    """For DuckDB; pages with numeric references are outside it."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    named = f"regexp_replace(regexp_replace(regexp_replace(html, {q(GONE)}, ' ', 'g'), {q(BREAKS)}, chr(10), 'g'), {q(TAGS)}, '', 'g')"
-    for name, char in ENTITIES.items():
-        named = f"replace({named}, {q(f'&{name};')}, {q(char)})"
-    text = f"trim(regexp_replace(regexp_replace(regexp_replace({named}, '[ \\t\\r\\f\\x0B\\xA0]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^\\n|\\n\\z', '', 'g'), ' ')"
+    names = f"MAP {{{', '.join(f'{q(k)}: {q(v)}' for k, v in ENTITIES.items())}}}"
+    code = "CAST(CASE WHEN lower(substr(z.r, 2, 1)) = 'x' THEN '0x' || substr(z.r, 3) ELSE substr(z.r, 2) END AS INTEGER)"
+    char = f"CASE WHEN z.r = '' THEN NULL WHEN z.r[1] = '#' THEN CASE WHEN {code} < 1 OR {code} BETWEEN 55296 AND 57343 OR {code} > 1114111 THEN '\ufffd' ELSE chr({code}) END ELSE m[z.r] END"
+    part = lambda t: f"list_transform(string_split({t}, '&'), lambda x, i: {{'x': x, 'i': i, 'r': regexp_extract(x, {q(REFERENCE)}, 1)}})"
+    decoded = lambda t: f"array_to_string(list_transform({part(t)}, lambda z: CASE WHEN z.i = 1 THEN z.x ELSE coalesce({char} || substr(z.x, length(z.r) + 2), '&' || z.x) END), '')"
+    line = lambda t: f"regexp_replace({t}, '[ \\t\\r\\n]+', ' ', 'g')"
+    bare = lambda t: line(decoded(f"regexp_replace({t}, {q(QUOTES)}, '', 'g')"))
+    plain = f"regexp_replace(regexp_replace(regexp_replace(html, {q(GONE)}, ' ', 'g'), {q(BREAKS)}, chr(10), 'g'), {q(TAGS)}, '', 'g')"
+    text = f"trim(regexp_replace(regexp_replace(regexp_replace({decoded(plain)}, '[ \\t\\r\\f\\x0B\\xA0]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^\\n|\\n\\z', '', 'g'), ' ')"
     uuid = lambda h: f"'<urn:uuid:' || substr({h},1,8) || '-' || substr({h},9,4) || '-' || substr({h},13,4) || '-' || substr({h},17,4) || '-' || substr({h},21,12) || '>'"
     return f"""
-WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, chr(13) || chr(10) AS e FROM pages),
+WITH names AS (SELECT {names} AS m), p AS (SELECT page_id, url, coalesce(html, '') AS html, chr(13) || chr(10) AS e, m FROM pages, names),
 t AS (SELECT *, {text} AS body, md5('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')) AS h, 'sha256:' || sha256(html) AS source_digest,
-  list_transform(regexp_extract_all(regexp_replace(html, {q(GONE)}, ' ', 'g'), '(?i)<a\\b[^>]*?href="([^"\\r\\n]*)"', 1), lambda x: 'outlink: ' || x || chr(13) || chr(10)) AS links,
-  trim(regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title', 1), '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS title,
-  regexp_extract(html, '(?i)<html\\b[^>]*?lang="([^"\\r\\n]*)"', 1) AS lang FROM p),
+  list_transform(regexp_extract_all(regexp_replace(html, {q(GONE)}, ' ', 'g'), {q(LINK)}, 1), lambda y: 'outlink: ' || {bare("y")} || chr(13) || chr(10)) AS links,
+  trim({line(decoded("regexp_extract(html, '(?is)<title" + chr(92) + "b[^>]*>(.*?)</title', 1)"))}, ' ') AS title,
+  {bare(f"regexp_extract(html, {q(LANGUAGE)}, 1)")} AS lang FROM p),
 m AS (SELECT page_id, url, {uuid("h")} AS refers_to, source_digest, e,
     unnest(['metadata', 'conversion']) AS warc_type, unnest(['application/warc-fields', 'text/plain; charset=UTF-8']) AS content_type,
     unnest(['source-status: 200' || e || 'source-header: Content-Type: text/html; charset=UTF-8' || e || 'source-header: Content-Length: ' || strlen(html) || e

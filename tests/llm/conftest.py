@@ -31,6 +31,6 @@ def sf_dir(tmp_path_factory):
     vectors = [None, [0.0] * 8, [float("nan")] + [1.0] * 7, [1.0] * 8, [1.0] * 8, [2.0] * 8, []] + [[r.gauss(0, 1) for _ in range(8)] for _ in range(300)]
     vectors += [vectors[9]] * 40
     pq.write_table(pa.table({"vec_id": pa.array(range(len(vectors)), pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array([0] * len(vectors), pa.int32())}), d / "embeddings.parquet")
-    pages = [None, "", "plain", "<p>a&amp;lt;b</p><script>x<y", "<html lang='x'><title> T\n t </title><!-- c --><a href=\"/u\">l</a><br>z &copy; <b>q</b>", "<p>unclosed <a href=\"/v\""]
+    pages = ["<HTML class=\"a\" lang = de><title>&eacute;&#233;&#xE9;&Eacute;&unknown;&amp;lt;&#0;&#x1F600;&#1114112;</title><a class='x'href='/s?a=1&amp;b=2'>s</a><a data-href=\"no\" HREF = /plain>p</a><a href=\"q'q\">&hearts; &nosuch; & &&lt; &#38; &#xZZ;</a>", None, "", "plain", "<p>a&amp;lt;b</p><script>x<y", "<html lang='x'><title> T\n t </title><!-- c --><a href=\"/u\">l</a><br>z &copy; <b>q</b>", "<p>unclosed <a href=\"/v\""]
     pq.write_table(pa.table({"page_id": pa.array(range(len(pages)), pa.int64()), "url": [None] + [f"http://e/{i}" for i in range(1, len(pages))], "html": pa.array(pages, pa.string())}), d / "pages.parquet")
     return str(d)
