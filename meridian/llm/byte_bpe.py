@@ -2,8 +2,9 @@
 
 Texts are cut into pre-tokens without a regex (``_pretoken``). The distinct
 pre-tokens of a batch are merged all at once: in each round every unfinished
-pre-token merges its lowest-ranked pair, leftmost first. Results are cached by their
-bytes in each Python worker, up to a bound. Every document is decoded again from its
+pre-token merges its lowest-ranked pair, leftmost first; one of more than LONG bytes is
+merged by a heap of its pairs in the same order, so that time hardly grows faster than
+length. Results are cached by their bytes in each Python worker, up to a bound. Every document is decoded again from its
 ids by the offsets of the vocabulary's bytes; one that does not come back is an error.
 
 A map-only job: no shuffle, memory bounded by a batch of texts, a slice of the table
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ from meridian.llm._pretoken import pretokens
 NONE = np.uint32(0xFFFFFFFF)
 SLICE = 1 << 20  # bytes of text in work at a time
 CACHED = 1 << 17  # pre-tokens kept per worker
+LONG = 512  # bytes of a pre-token that is merged by itself
 
 
 class Ranks:
@@ -53,6 +56,7 @@ class Ranks:
         self.length = np.array([len(x) for x in tokens], np.int64)
         self.at = np.r_[0, np.cumsum(self.length)]
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.known: dict[int, int] = {}
         self.cache = IdCache(CACHED, np.uint16 if top <= 1 << 16 else np.uint32)
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -60,7 +64,49 @@ class Ranks:
         return self.pairs.get(a.astype(np.uint64) << T.U64(32) | b.astype(np.uint64))
 
     def merge(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the given slices of bytes, all merged together: flat ids, and the number for each slice."""
+        """Ids of the given slices of bytes: flat ids, and the number for each slice."""
+        alone = np.flatnonzero(end - start > LONG)
+        if not len(alone):
+            return self._together(buf, start, end)
+        few = np.flatnonzero(end - start <= LONG)
+        ids, n = self._together(buf, start[few], end[few])
+        found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(start)
+        for i, x in zip(few, np.split(ids, np.cumsum(n)[:-1]), strict=False):
+            found[i] = x
+        for i in alone:
+            found[i] = self._by_heap(buf[start[i] : end[i]])
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
+    def _by_heap(self, buf: np.ndarray) -> np.ndarray:
+        """Ids of one slice."""
+        if not self.known:
+            used = np.flatnonzero(self.pairs.values != NONE)
+            self.known = dict(zip(self.pairs.slots[used].tolist(), self.pairs.values[used].tolist(), strict=True))
+        known, n = self.known, len(buf)
+        first = self.byte[buf]
+        ids, behind, before = first.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = self.merged(first[:-1], first[1:])
+        at = np.flatnonzero(rank != NONE)
+        heap = list(zip(rank[at].tolist(), at.tolist(), strict=True))
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = behind[i]
+            if ids[i] < 0 or j >= n or known.get(ids[i] << 32 | ids[j]) != r:
+                continue  # merged or changed since
+            ids[i], ids[j] = r, -1
+            k, h = behind[j], before[i]
+            behind[i] = k
+            if k < n:
+                before[k] = i
+                if (x := known.get(r << 32 | ids[k])) is not None:
+                    heappush(heap, (x, i))
+            if h >= 0 and (x := known.get(ids[h] << 32 | r)) is not None:
+                heappush(heap, (x, h))
+        return np.array([x for x in ids if x >= 0], np.uint32)
+
+    def _together(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of slices that are merged all at once."""
         n = end - start
         own = np.repeat(np.arange(len(n)), n)
         ids = self.byte[buf[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)]]

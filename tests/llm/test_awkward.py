@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from meridian.llm import _text as T
-from meridian.llm import graph_index, language_id, mixing, quality_rules, token_counts, token_store, warc
+from meridian.llm import byte_bpe, graph_index, language_id, mixing, quality_rules, token_counts, token_store, warc
 from meridian.llm.byte_bpe import encode_decode
 from meridian.llm.jaccard_join import near_duplicates
 from meridian.llm.substring_dedup import remove_repeats
@@ -84,6 +84,20 @@ def test_byte_bpe(spark):
     assert all(r["decoded"] == (r["text"] or "") and len(r["ids"]) == r["n_tokens"] and r["source"] in ("s1", "s2", "", None) for r in out.collect())
 
 
+def test_long_pretokens_by_a_heap():
+    import base64
+
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}, special_tokens={})
+    table, r = byte_bpe.ranks(RANKS), np.random.default_rng(2)
+    texts = ["".join(r.choice(list(letters), n)) for letters, n in (("aetnoshr", 3000), ("ther", 2000), ("x", 5000), ("ab", 700))] + ["therehere" * 300, "=" * 900, "ü" * 600, "short"]
+    data = [x.encode() for x in texts]
+    end = np.cumsum([len(x) for x in data])
+    ids, n = table.merge(np.frombuffer(b"".join(data), np.uint8), end - [len(x) for x in data], end)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [enc.encode_ordinary(x) for x in texts]
+
+
 def test_substring_dedup(spark):
     words = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(None, words, "a"), (None, words, "b"), (None, words + " tail", "c"), (7, words, "d"), (7, "x " + words, "e")], "doc_id long, text string, tie string")
