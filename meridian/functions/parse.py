@@ -62,8 +62,8 @@ def reach(text: Column) -> Column:
 
 
 def points(text: Column) -> Column:
-    """'95 pts' or a leading number; null without either."""
-    return F.coalesce(number(text, r"(\d+)\s*pts?"), leading_int(text))
+    """'95 pts' or a leading number; 0 without either."""
+    return F.coalesce(number(text, r"(?i)(\d+)\s*pts?"), leading_int(text), F.lit(0))
 
 
 def models(text: Column) -> Column:

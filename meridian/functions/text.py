@@ -1,4 +1,4 @@
-"""Names and markup, as column expressions."""
+"""Names and markup, as column expressions."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from meridian.functions.white import trimmed
+
 #: Tags and entities with what stands for them in plain text and in Markdown, in order.
 PLAIN = [
     (r"(?i)<br\s*/?>", "\n"), (r"(?i)</?(?:p|div)\b[^>]*>", "\n"), (r"(?i)</li>", ""), (r"(?i)<li[^>]*>", "\n• "), (r"(?i)</tr>", "\n"), (r"(?i)<hr[^>]*>", "\n---\n"), (r"<[^>]*>", ""),
@@ -20,7 +22,7 @@ MARKDOWN = [
     ("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""),
 ]
 #: How army lists name their detachment, and what faction names may be wrapped in.
-DETACHMENT = [r"(?im)^\+?[ \t]*DETACHMENT:[ \t]*(.+)$", r"(?im)^--[ \t]*(.+?)[ \t]*Detachment[ \t]*--$"]
+DETACHMENT = [r"(?im)^\+?\s*DETACHMENT:\s*(.+)$", r"(?im)^--\s*(.+?)\s*Detachment\s*--$"]
 FACTION_WRAPS = [(r"^Imperium\s+", ""), (r"^Chaos\s+", ""), (r"^Aeldari\s+", ""), (r"^Library\s+", ""), (r"\s+Library$", "")]
 
 
@@ -46,26 +48,31 @@ def html_to_markdown(html: Column) -> Column:
 
 def detachment(text: Column) -> Column:
     """The first pattern that gives a name; null without one."""
-    return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in DETACHMENT))
+    return F.coalesce(*(F.nullif(trimmed(F.regexp_extract(text, p, 1)), F.lit("")) for p in DETACHMENT))
 
 
 def faction(name: Column) -> Column:
-    return F.trim(replaced(name, FACTION_WRAPS))
+    return trimmed(replaced(name, FACTION_WRAPS))
+
+
+def faction_prefix(name: Column) -> Column:
+    """A faction's name without the alliance and dash before it."""
+    return F.regexp_replace(name, r"^(Imperium|Chaos)\s*-\s*", "")
 
 
 def unit_name(name: Column) -> Column:
     """Lower case, one kind of quote, marks and accented letters left out, single spaces."""
     plain = F.translate(F.lower(name), "‘’′`", "''''")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9_\s'-]", ""), r"\s+", " "))
+    return trimmed(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9_\s'-]", ""), r"\s+", " "))
 
 
 def title(name: Column) -> Column:
-    return F.trim(F.initcap(F.translate(name, "‘’′", "'''")))
+    return trimmed(F.initcap(F.translate(name, "‘’′", "'''")))
 
 
 def base_name(name: Column) -> Column:
     """A name without what follows in brackets; dashes between words as spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(name, r"\s*\([^)]*\)\s*$", ""), " - ", " "))
+    return trimmed(F.regexp_replace(F.regexp_replace(name, r"\s*\([^)]*\)\s*$", ""), " - ", " "))
 
 
 def notes(*parts: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridian.functions.white import trimmed
+
 
 def win_rate(wins: str = "wins", draws: str = "draws", games: str = "games") -> Column:
     """Draws count half; 0 without games."""
@@ -13,16 +15,21 @@ def win_rate(wins: str = "wins", draws: str = "draws", games: str = "games") ->
 
 def rates(entries: DataFrame, keys: list[str], not_blank: str) -> DataFrame:
     """Totals by keys with win rate, and each group's share of all entries that count."""
-    rows = entries.withColumns({k: F.trim(k) for k in keys}).filter(F.length(F.trim(not_blank)) > 0)
+    rows = entries.withColumns({k: trimmed(k) for k in keys}).filter(F.length(trimmed(not_blank)) > 0)
     out = rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("wins", "losses", "draws")), F.count("*").alias("players"))
     out = out.withColumn("games", F.col("wins") + F.col("losses") + F.col("draws")).withColumn("win_rate", F.round(win_rate(), 6))
     return out.withColumn("representation", F.round(F.col("players") / F.sum("players").over(Window.partitionBy(F.lit(0))), 6))
 
 
+def week(day: Column) -> Column:
+    """The Monday of a date (or of a text that holds one), as text; what is no date stays as it is."""
+    return F.coalesce(F.date_format(F.date_trunc("week", day.try_cast("date")), "yyyy-MM-dd"), day.cast("string"))
+
+
 def timeline(entries: DataFrame) -> DataFrame:
-    """Weekly win rates; weeks begin on Monday."""
-    rows = entries.filter(F.length(F.trim("faction")) > 0).withColumn("week", F.date_trunc("week", "event_date").cast("date").cast("string"))
-    out = rows.groupBy("week", F.trim("faction").alias("faction")).agg(*(F.sum(c).alias(c) for c in ("wins", "losses", "draws")))
+    """Weekly win rates; weeks begin on Monday. A text that is no date is its own week."""
+    rows = entries.filter(F.length(trimmed("faction")) > 0).withColumn("week", week(F.col("event_date")))
+    out = rows.groupBy("week", trimmed("faction").alias("faction")).agg(*(F.sum(c).alias(c) for c in ("wins", "losses", "draws")))
     return out.withColumn("games", F.col("wins") + F.col("losses") + F.col("draws")).withColumn("win_rate", F.round(win_rate(), 6))
 
 

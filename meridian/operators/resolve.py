@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridian.functions.white import trimmed
+
 
 def normal(name: Column) -> Column:
     """Lower case, marks as spaces, single spaces."""
-    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
+    return trimmed(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
 
 
 def best_match(left: DataFrame, right: DataFrame, prefer: Column, order: Column) -> DataFrame:
@@ -21,8 +23,8 @@ def best_match(left: DataFrame, right: DataFrame, prefer: Column, order: Column)
 
 def account(names: DataFrame, users: DataFrame) -> DataFrame:
     """names (name) with the id of the first user (id, username, display) whose username or display name it equals, case and outer space aside."""
-    keys = users.select("id", F.explode(F.array("username", "display")).alias("key")).select("id", F.lower(F.trim("key")).alias("key")).groupBy("key").agg(F.min("id").alias("user"))
-    return names.withColumn("key", F.lower(F.trim("name"))).join(keys, "key", "left").drop("key")
+    keys = users.select("id", F.explode(F.array("username", "display")).alias("key")).select("id", F.lower(trimmed("key")).alias("key")).groupBy("key").agg(F.min("id").alias("user"))
+    return names.withColumn("key", F.lower(trimmed("name"))).join(keys, "key", "left").drop("key")
 
 
 def cascade(left: DataFrame, right: DataFrame, steps: list[tuple[Callable[[Column], Column], float]], order: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +15,8 @@ def _draw(ranked: list, met: dict[int, set]) -> list[tuple]:
     free = dict.fromkeys(range(half, len(ranked)))
     games, over = [], []
     for i, player in enumerate(ranked[:half]):
-        fresh = [j for j in ([half + i] if half + i in free else []) + list(free) if ranked[j] not in met.get(player, ())]
-        j = fresh[0] if fresh else next(iter(free), None)
+        own = [half + i] if half + i in free else []
+        j = next((j for j in chain(own, free) if ranked[j] not in met.get(player, ())), next(iter(free), None))
         if j is None:
             over.append(player)
         else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -254,25 +255,33 @@ def cost_first_parseable(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").withColumn("cost", cost).filter("cost is not null").groupBy("p_name").agg(F.min_by("cost", "p_partkey").alias("cost"))
 
 
-@query("haversine_sort", """WITH p AS (SELECT s_suppkey, radians((s_suppkey * 37) % 180 - 90) AS lat, radians((s_suppkey * 73) % 360 - 180) AS lon FROM supplier)
-SELECT s_suppkey, round(2 * 6371 * asin(least(1, sqrt(pow(sin((lat - radians(51.5)) / 2), 2) + cos(lat) * cos(radians(51.5)) * pow(sin(lon / 2), 2)))), 3) AS km FROM p""")
+@query("haversine_sort", """WITH p AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 > 0 THEN radians((s_suppkey * 37) % 180 - 90) END AS lat, radians((s_suppkey * 73) % 360 - 180) AS lon FROM supplier),
+h AS (SELECT s_suppkey, pow(sin((lat - radians(51.5)) / 2), 2) + cos(lat) * cos(radians(51.5)) * pow(sin(lon / 2), 2) AS h FROM p), m AS (SELECT s_suppkey, round(3959 * 2 * atan2(sqrt(h), sqrt(1 - h)), 3) AS miles FROM h)
+SELECT s_suppkey, miles, CAST(row_number() OVER (ORDER BY miles NULLS LAST, s_suppkey) AS INT) AS place FROM m ORDER BY place LIMIT 200""")
 def haversine_sort(spark: SparkSession, d: str) -> DataFrame:
-    """Great-circle distance from a fixed place."""
+    """The 200 nearest by great-circle miles from a fixed place; those without coordinates come last."""
     k, home = F.col("s_suppkey"), F.radians(F.lit(51.5))
-    lat, lon = F.radians(k * 37 % 180 - 90), F.radians(k * 73 % 360 - 180)
+    lat, lon = F.when(k % 7 > 0, F.radians(k * 37 % 180 - 90)), F.radians(k * 73 % 360 - 180)
     h = F.pow(F.sin((lat - home) / 2), 2) + F.cos(lat) * F.cos(home) * F.pow(F.sin(lon / 2), 2)
-    return table(spark, d, "supplier").select("s_suppkey", F.round(2 * 6371 * F.asin(F.least(F.lit(1.0), F.sqrt(h))), 3).alias("km"))
+    rows = table(spark, d, "supplier").select("s_suppkey", F.round(3959 * 2 * F.atan2(F.sqrt(h), F.sqrt(1 - h)), 3).alias("miles"))
+    order = (F.asc_nulls_last("miles"), "s_suppkey")
+    return rows.orderBy(*order).limit(200).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("int"))
 
 
 @query("suggestions_better_cheaper", """SELECT unit, better, CAST(rank AS INT) AS rank FROM (SELECT a.p_partkey AS unit, b.p_partkey AS better, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_size DESC, b.p_partkey) AS rank
 FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND b.p_size > a.p_size AND b.p_retailprice <= a.p_retailprice) WHERE rank <= 3""")
 def suggestions_better_cheaper(spark: SparkSession, d: str) -> DataFrame:
-    """Up to three larger units of the same kind that cost no more."""
-    part = table(spark, d, "part")
-    a = part.select(F.col("p_partkey").alias("unit"), "p_type", "p_brand", F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
-    b = part.select(F.col("p_partkey").alias("better"), "p_type", "p_brand", "p_size", "p_retailprice")
-    rank = F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("p_size"), "better"))
-    return a.join(b, ["p_type", "p_brand"]).filter("p_size > size and p_retailprice <= price").withColumn("rank", rank).filter("rank <= 3").select("unit", "better", "rank")
+    """Up to three larger units of the same kind that cost no more: in order of price, each group keeps the three largest so far."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        best, out = [], []
+        for _, level in rows.groupby("price", sort=True):
+            best = sorted([*best, *((-r.size_, r.unit) for r in level.itertuples())])[:3]
+            out += [(r.unit, u, k) for r in level.itertuples() for k, (size, u) in enumerate(best, 1) if -size > r.size_]
+        return pd.DataFrame(out, columns=["unit", "better", "rank"])
+
+    rows = table(spark, d, "part").select("p_type", "p_brand", F.col("p_partkey").alias("unit"), F.col("p_size").alias("size_"), F.col("p_retailprice").alias("price"))
+    return rows.groupBy("p_type", "p_brand").applyInPandas(fold, "unit long, better long, rank int")
 
 
 @query("elo_fold")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meridian.functions.white import trimmed
 from meridian.functions import parse
 
 #: What each site calls its columns, in order of precedence.
@@ -21,7 +22,7 @@ GENERIC = {
     "placement": ["placement", "place", "rank", "finish"], "player": ["player_name", "player name", "player", "name"], "faction": ["faction", "army"],
     "detachment": ["detachment", "sub_faction", "sub faction", "subfaction"], "wins": ["wins", "w", "win"], "losses": ["losses", "l", "loss"], "draws": ["draws", "d", "draw"],
     "points": ["points", "vp", "total_points", "total points"], "list": ["list_text", "list text", "list", "army list"], "unit": ["unit_name", "unit name", "unit"],
-    "content": ["content_id", "content id"], "unit_games": ["unit_games_played", "games_played", "games played"], "unit_points": ["unit_avg_points", "avg_points", "avg points", "average points"],
+    "content": ["content_id", "content id", "bsdata_id"], "unit_games": ["unit_games_played", "games_played", "games played"], "unit_points": ["unit_avg_points", "avg_points", "avg points", "average points"],
 }
 COUNTS = ("wins", "losses", "draws", "points")
 
@@ -34,17 +35,17 @@ def cells(line: Column) -> Column:
 
 def lines(files: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """files (file, value: a whole file): a row for each line after the header, its fields under the names of aliases; absent ones are null."""
-    body = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
-    rows = files.select("file", body.alias("body")).filter(F.size("body") > 1).select("file", F.transform(cells(F.get("body", F.lit(0))), lambda h: F.lower(F.trim(h))).alias("header"), F.posexplode(F.slice("body", 2, F.size("body"))).alias("line", "text"))
+    body = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: trimmed(x)), lambda x: F.length(x) > 0)
+    rows = files.select("file", body.alias("body")).filter(F.size("body") > 1).select("file", F.transform(cells(F.get("body", F.lit(0))), lambda h: F.lower(trimmed(h))).alias("header"), F.posexplode(F.slice("body", 2, F.size("body"))).alias("line", "text"))
     rows = rows.withColumn("cells", cells(F.col("text")))
     first = lambda names: F.coalesce(*(F.nullif(F.array_position("header", n), F.lit(0)) for n in names))
     return rows.select("file", "line", *(F.get("cells", (first(names) - 1).cast("int")).alias(c) for c, names in aliases.items()))
 
 
 def _players(rows: DataFrame, extra: list[Column]) -> DataFrame:
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    blank = lambda c: F.nullif(trimmed(c), F.lit(""))
     rows = rows.withColumn("placement", parse.leading_int(F.col("placement"))).filter("placement is not null")
-    return rows.select(*extra, "file", "line", "placement", blank(F.col("player")).alias("player"), F.coalesce(F.trim("faction"), F.lit("")).alias("faction"), blank(F.col("detachment")).alias("detachment"), *(F.coalesce(parse.leading_int(F.col(c)), F.lit(0)).alias(c) for c in COUNTS), blank(F.col("list")).alias("list"))
+    return rows.select(*extra, "file", "line", "placement", blank(F.col("player")).alias("player"), F.coalesce(trimmed("faction"), F.lit("")).alias("faction"), blank(F.col("detachment")).alias("detachment"), *(F.coalesce(parse.leading_int(F.col(c)), F.lit(0)).alias(c) for c in COUNTS), blank(F.col("list")).alias("list"))
 
 
 def whole_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -61,10 +62,10 @@ def generic_results(files: DataFrame) -> DataFrame:
 
     Rows without event or date are left out; an event has the format of its first row, GT where there is no such column.
     """
-    rows = lines(files, GENERIC).withColumns({c: F.trim(c) for c in ("event", "event_date", "format", "faction", "unit")}).filter("event <> '' and event_date <> ''")
+    rows = lines(files, GENERIC).withColumns({c: trimmed(c) for c in ("event", "event_date", "format", "faction", "unit")}).filter("event <> '' and event_date <> ''")
     of_event = Window.partitionBy("file", "event", "event_date").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("format", F.first(F.coalesce("format", F.lit("GT"))).over(of_event))
-    unit = F.when(F.length("unit") > 0, F.struct("line", "unit", F.nullif(F.trim("content"), F.lit("")).alias("content"), F.coalesce(parse.leading_int(F.col("unit_games")), F.lit(0)).alias("games"), F.coalesce(F.col("unit_points").try_cast("double"), F.lit(0.0)).alias("points")))
+    unit = F.when(F.length("unit") > 0, F.struct("line", "unit", F.nullif(trimmed("content"), F.lit("")).alias("content"), F.coalesce(parse.leading_int(F.col("unit_games")), F.lit(0)).alias("games"), F.coalesce(F.col("unit_points").try_cast("double"), F.lit(0.0)).alias("points")))
     players = _players(rows.withColumn("__unit", unit), [F.col("event"), F.col("event_date"), F.col("format"), F.col("__unit")])
     rest = ["player", "detachment", *COUNTS, "list"]
     out = players.groupBy("file", "event", "event_date", "format", "placement", "faction").agg(F.min_by(F.struct(*rest), "line").alias("p"), F.sort_array(F.collect_list("__unit")).alias("u"))

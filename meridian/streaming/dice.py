@@ -19,8 +19,8 @@ SETTLED, EMPTY = 20, 10
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as they come, from files or folders of that name; a pattern, as a stream of one plain path has to be a folder."""
-    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events*.parquet")
+    """Events as they come, from the file or folder of that name; a pattern for that one name, as a stream of a plain path has to be a folder."""
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/event[s].parquet")
 
 
 def roll_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
