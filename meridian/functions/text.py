@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,8 +28,8 @@ FACTION_WRAPS = [(r"^Imperium\s+", ""), (r"^Chaos\s+", ""), (r"^Aeldari\s+", "")
 
 
 def replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
-    """One replacement after the other; {1} stands for the first group."""
-    return reduce(lambda x, s: F.regexp_replace(x, s[0], s[1].replace("{1}", "$1")), steps, text)
+    """One replacement after the other; {1} stands for the first group, {2} for the second."""
+    return reduce(lambda x, s: F.regexp_replace(x, s[0], re.sub(r"\{(\d)\}", r"$\1", s[1])), steps, text)
 
 
 def replaced_sql(text: str, steps: list[tuple[str, str]]) -> str:
@@ -67,7 +68,9 @@ def unit_name(name: Column) -> Column:
 
 
 def title(name: Column) -> Column:
-    return trimmed(F.initcap(F.translate(name, "‘’′", "'''")))
+    """A capital at the start and after any white space, small letters elsewhere."""
+    words = F.split(F.lower(F.translate(name, "‘’′", "'''")), r"(?<=\s)")
+    return trimmed(F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), ""))
 
 
 def base_name(name: Column) -> Column:

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The z score and the chi-square (5 degrees of freedom, 5 %) from which a die counts as loaded.
 LOADED_Z, LOADED_CHI = 2.5, 11.07
 
 
-def analysis(rolls: DataFrame) -> DataFrame:
-    """Per session: size, confidence, largest |z| and its face, chi-square, loaded. Sessions under 30 rolls give zeros."""
-    n = rolls.groupBy("session").agg(F.count("*").alias("n"), *(F.count_if(F.col("face") == f).alias(f"f{f}") for f in range(1, 7)))
-    z = [(F.col(f"f{f}") / F.col("n") - 1 / 6) / F.sqrt(F.lit(1 / 6) * (5 / 6) / F.col("n")) for f in range(1, 7)]
+def analysis(rolls: DataFrame, change: Column | None = None) -> DataFrame:
+    """Per session: size, confidence, largest |z| and its face, chi-square, loaded. Sessions under 30 rolls give zeros.
+
+    With change the rows are changes of the counts: 1 for a roll, -1 for one taken back.
+    """
+    change = F.lit(1) if change is None else change
+    n = rolls.groupBy("session").agg(F.sum(change).alias("n"), *(F.sum(F.when(F.col("face") == f, change).otherwise(0)).alias(f"f{f}") for f in range(1, 7)))
+    some = F.nullif("n", F.lit(0))
+    z = [(F.col(f"f{f}") / some - 1 / 6) / F.sqrt(F.lit(1 / 6) * (5 / 6) / some) for f in range(1, 7)]
     out = n.withColumn("z", F.array(*(F.round(F.abs(x), 6) for x in z)))
-    chi = sum(((F.col(f"f{f}") - F.col("n") / 6) * (F.col(f"f{f}") - F.col("n") / 6) / (F.col("n") / 6) for f in range(1, 7)), F.lit(0.0))
+    chi = sum(((F.col(f"f{f}") - F.col("n") / 6) * (F.col(f"f{f}") - F.col("n") / 6) / (some / 6) for f in range(1, 7)), F.lit(0.0))
     enough, top = F.col("n") >= 30, F.array_max("z")
     out = out.withColumns({"confidence": F.when(F.col("n") < 30, "low").when(F.col("n") < 60, "medium").otherwise("high"), "max_z": F.when(enough, F.round(top, 2)).otherwise(0.0), "chi": F.when(enough, F.round(chi, 6)).otherwise(0.0)})
     out = out.withColumn("face", F.when(enough, F.array_position("z", top)).otherwise(0).cast("long"))
@@ -34,3 +39,17 @@ def undone(rolls: DataFrame) -> DataFrame:
     latest = rolls.groupBy("session").agg(F.max_by("face", F.struct("ts", "event_id")).alias("face"))
     changes = rolls.select("session", "face", F.lit(1).alias("change")).unionByName(latest.withColumn("change", F.lit(-1)))
     return changes.groupBy("session", "face").agg(F.sum("change").alias("n"))
+
+
+def remaining(actions: DataFrame) -> DataFrame:
+    """actions (session, seq, face; no face takes the latest remaining roll back): session, seq, face of the rolls that remain.
+
+    The number of rolls on the table after each action is a running sum that doesn't fall below 0; a roll has been taken back where that
+    number is once less than it was right after the roll. A take-back without a roll changes nothing.
+    """
+    order = Window.partitionBy("session").orderBy("seq")
+    so_far, later = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+    rows = actions.withColumn("__sum", F.sum(F.when(F.col("face").isNull(), -1).otherwise(1)).over(so_far))
+    rows = rows.withColumn("__table", F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(so_far)))
+    rows = rows.withColumn("__least", F.coalesce(F.min("__table").over(later), F.col("__table")))
+    return rows.filter("face is not null and __least >= __table").select("session", "seq", "face")

@@ -51,3 +51,25 @@ def stream_stability(spark: SparkSession, d: str) -> DataFrame:
     """Settled counts over each user's events as frames, two equal frames settling a count. State across rows, so there is no SQL."""
     frames = streams.event_stream(spark, d).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (F.get_json_object("props", "$.k").cast("long") % 3).alias("found"))
     return streams.drained(streams.settled(frames, last=2, empty=1), "append")
+
+
+TAKE_BACKS = f"""{ROLLS_SQL}, s AS (SELECT session, event_id, CASE WHEN event_id % 3 > 0 THEN face END AS face, sum(CASE WHEN event_id % 3 > 0 THEN 1 ELSE -1 END) OVER (PARTITION BY session ORDER BY event_id) AS s FROM rolls),
+t AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY session ORDER BY event_id)) AS t FROM s),
+l AS (SELECT *, min(t) OVER (PARTITION BY session ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM t WHERE true),
+kept AS (SELECT session, event_id, face, coalesce(later, t) >= t AS stays FROM l WHERE face IS NOT NULL)"""
+
+
+def _actions(events: DataFrame) -> DataFrame:
+    """Each third event takes a roll back."""
+    return events.select("session", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 > 0, F.col("face")).cast("long").alias("face"))
+
+
+@query("dice_remaining", f"WITH {TAKE_BACKS} SELECT session, event_id AS seq, CAST(face AS BIGINT) AS face FROM kept WHERE stays")
+def dice_remaining(spark: SparkSession, d: str) -> DataFrame:
+    return dice.remaining(_actions(rolls(spark, d)))
+
+
+@query("stream_retraction", DICE_SQL.replace(ROLLS_SQL, TAKE_BACKS).replace("count(*) AS n", "count(*) FILTER (stays) AS n").replace("FILTER (face", "FILTER (stays AND face").replace("FROM rolls GROUP", "FROM kept GROUP"))
+def stream_retraction(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts over the rolls that remain, from the changes that a stream of rolls and take-backs gives."""
+    return dice.analysis(streams.drained(streams.changes(_actions(streams.roll_stream(spark, d))), "append"), F.col("change"))

@@ -59,14 +59,14 @@ def _weapon(profile: Column) -> Column:
     return F.struct(profile["name"], *(kinds.get(k, parse.stat)(v).alias(k) for k, v in at.items()))
 
 
-def units(spark: SparkSession, path: str) -> DataFrame:
-    """Units and models of the catalogues (.cat, .gst) in path: faction (the file's name), id, name, characteristics, points, weapons, abilities, saves, warnings.
+def units(spark: SparkSession, path: str, pattern: str = "*.{cat,gst}") -> DataFrame:
+    """Units and models of the catalogues in path: faction (the file's name), id, name, characteristics, points, weapons, abilities, saves, warnings.
 
     Characteristics and weapons come from all profiles in an entry, also from those of entries and groups in it, at any depth; abilities
     and saves from what is not in an entry within. Of weapons with equal names the first stays. Of a unit id the last file's counts.
     Entries without id or name, and files that aren't XML, give no rows; numbers that can't be read are 0.
     """
-    found = spark.read.format("xml").option("rowTag", "selectionEntry").option("wildcardColName", "inner").option("pathGlobFilter", "*.{cat,gst}").schema(_FIELDS).load(path)
+    found = spark.read.format("xml").option("rowTag", "selectionEntry").option("wildcardColName", "inner").option("pathGlobFilter", pattern).schema(_FIELDS).load(path)
     rows = found.withColumn("file", F.col("_metadata.file_path")).filter(F.col("_type").isin("unit", "model") & (F.length("_id") > 0) & (F.length("_name") > 0))
     rows = rows.withColumn("text", F.array_join(F.coalesce("inner", F.array().cast("array<string>")), "\n")).withColumn("body", _own(F.col("text")))
     rows = rows.withColumns({"all": _profiles(F.col("text")), "own": _profiles(F.col("body"))})

@@ -36,7 +36,10 @@ def cells(line: Column) -> Column:
 def lines(files: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """files (file, value: a whole file): a row for each line after the header, its fields under the names of aliases; absent ones are null."""
     body = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: trimmed(x)), lambda x: F.length(x) > 0)
-    rows = files.select("file", body.alias("body")).filter(F.size("body") > 1).select("file", F.transform(cells(F.get("body", F.lit(0))), lambda h: F.lower(trimmed(h))).alias("header"), F.posexplode(F.slice("body", 2, F.size("body"))).alias("line", "text"))
+    rows = files.select("file", body.alias("body")).filter(F.size("body") > 1)
+    # The header before the lines are dealt out, so that no line carries the file along.
+    rows = rows.select("file", F.transform(cells(F.get("body", F.lit(0))), lambda h: F.lower(trimmed(h))).alias("header"), F.slice("body", 2, F.size("body")).alias("body"))
+    rows = rows.select("file", "header", F.posexplode("body").alias("line", "text"))
     rows = rows.withColumn("cells", cells(F.col("text")))
     first = lambda names: F.coalesce(*(F.nullif(F.array_position("header", n), F.lit(0)) for n in names))
     return rows.select("file", "line", *(F.get("cells", (first(names) - 1).cast("int")).alias(c) for c, names in aliases.items()))
@@ -85,3 +88,10 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects of files that hold one JSON array each; other files and broken ones give no rows."""
     files = whole_files(spark, path).filter(F.col("value").rlike(r"^\s*\["))
     return files.select("file", F.explode(F.from_json("value", f"array<{schema}>", {"mode": "PERMISSIVE"})).alias("r")).filter("r is not null").select("file", "r.*")
+
+
+def json_unread(spark: SparkSession, path: str) -> DataFrame:
+    """file, reason of the files that json_rows reads nothing from: no array, or an array that can't be read. A file without a byte is none to Spark."""
+    value = F.col("value")
+    reason = F.when(~value.rlike(r"^\s*\["), "no array").when(F.try_parse_json(value).isNull(), "broken")
+    return whole_files(spark, path).select("file", reason.alias("reason")).filter("reason is not null")

@@ -1,4 +1,4 @@
-"""Dice sessions as streams: running verdicts and the capture of settled throws (ST1, ST2)."""
+"""Dice sessions as streams: running verdicts and the capture of settled throws (ST1 to ST3)."""
 
 from __future__ import annotations
 
@@ -59,6 +59,29 @@ def settled(frames: DataFrame, last: int = SETTLED, empty: int = EMPTY) -> DataF
     return frames.groupBy("session").applyInPandasWithState(watch, f"session {kind}, seq long, found long", "same long, pause long, before long", "append", GroupStateTimeout.NoTimeout)
 
 
+def changes(actions: DataFrame) -> DataFrame:
+    """actions (session, seq, face; no face takes the latest remaining roll back): session, face, change, 1 for each roll and -1 for each taken back.
+
+    A session's state is the faces on its table, a byte each; actions come in order from batch to batch, in any order within one. Sums of
+    the changes are the counts after the take-backs; a take-back without a roll gives no row.
+    """
+    kind = actions.schema["session"].dataType.simpleString()
+
+    def watch(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        (faces,) = state.get if state.exists else ("",)
+        table, out = list(faces), []
+        for face in pd.concat(list(batches)).sort_values("seq")["face"]:
+            if pd.notna(face):
+                table.append(str(int(face)))
+                out.append((key[0], int(face), 1))
+            elif table:
+                out.append((key[0], int(table.pop()), -1))
+        state.update(("".join(table),))
+        yield pd.DataFrame(out, columns=["session", "face", "change"])
+
+    return actions.groupBy("session").applyInPandasWithState(watch, f"session {kind}, face long, change long", "faces string", "append", GroupStateTimeout.NoTimeout)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; below the warehouse where that is unset."""
     try:
