@@ -58,7 +58,7 @@ def glicko_period(state: tuple[float, float, float], games: list[tuple[float, fl
         information += times * g * g * e * (1 - e)
         gain += times * g * (score - e)
     if information == 0:
-        return rating, UNIT * math.hypot(phi, volatility), volatility
+        return rating, UNIT * math.sqrt(phi * phi + volatility**2), volatility
     v = 1 / information
     centre, excess = math.log(volatility**2), (v * gain) ** 2 - phi * phi - v
 

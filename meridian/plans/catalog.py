@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridian.operators import dice, dml, meta, ratings, resolve, standings
+from meridian.plans import folds
 from meridian.plans.registry import query
 from meridian.sources.views import ENTRIES_SQL, PAIRINGS_SQL, ROLLS_SQL, entries, pairings, rolls, table
 
@@ -96,13 +97,13 @@ def result_breakdown(spark: SparkSession, d: str) -> DataFrame:
 _SIDES = f"""WITH {PAIRINGS_SQL}, sides AS (
   SELECT event, p1 AS player, p2 AS opponent, CASE WHEN result = 'BYE' THEN 0 ELSE vp1 END AS vp, CASE WHEN result = 'BYE' THEN 0 ELSE vp2 END AS against, CASE WHEN result IN ('P1', 'BYE') THEN 1 ELSE 0 END AS won, CASE WHEN result = 'DRAW' THEN 1 ELSE 0 END AS drew FROM pairings
   UNION ALL SELECT event, p2, p1, vp2, vp1, CASE WHEN result = 'P2' THEN 1 ELSE 0 END, CASE WHEN result = 'DRAW' THEN 1 ELSE 0 END FROM pairings WHERE p2 IS NOT NULL)"""
-_STANDINGS = f"""{_SIDES}, record AS (SELECT event, player, sum(won) AS wins, sum(1 - won - drew) AS losses, sum(drew) AS draws, sum(vp) AS vp, sum(vp - against) AS margin, count(*) AS games FROM sides GROUP BY 1, 2),
+STANDINGS_SQL = f"""{_SIDES}, record AS (SELECT event, player, sum(won) AS wins, sum(1 - won - drew) AS losses, sum(drew) AS draws, sum(vp) AS vp, sum(vp - against) AS margin, count(*) AS games FROM sides GROUP BY 1, 2),
 strength AS (SELECT s.event, s.player, avg(r.wins / r.games) AS sos FROM sides s JOIN record r ON r.event = s.event AND r.player = s.opponent GROUP BY 1, 2)
 SELECT event, player, CAST(wins AS BIGINT) AS wins, CAST(losses AS BIGINT) AS losses, CAST(draws AS BIGINT) AS draws, CAST(vp AS BIGINT) AS vp, CAST(margin AS BIGINT) AS margin, games, round(coalesce(sos, 0), 6) AS sos,
   CAST(row_number() OVER (PARTITION BY event ORDER BY wins DESC, margin DESC, round(coalesce(sos, 0), 6) DESC, vp DESC, player) AS INT) AS place FROM record LEFT JOIN strength USING (event, player)"""
 
 
-@query("standings", _STANDINGS)
+@query("standings", STANDINGS_SQL)
 def event_standings(spark: SparkSession, d: str) -> DataFrame:
     return standings.standings(pairings(spark, d))
 
@@ -284,9 +285,9 @@ def suggestions_better_cheaper(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("p_type", "p_brand").applyInPandas(fold, "unit long, better long, rank int")
 
 
-@query("elo_fold")
+@query("elo_fold", folds.ELO)
 def elo_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Ratings by month's pool; byes are no games. An ordered fold, so there is no SQL."""
+    """Ratings by month's pool; byes are no games."""
     score = F.when(F.col("result") == "P1", 1.0).when(F.col("result") == "P2", 0.0).otherwise(0.5)
     games = pairings(spark, d).filter("p2 is not null").select(F.col("event").alias("pool"), F.col("game").alias("seq"), "p1", "p2", score.alias("score"))
     return ratings.elo(games)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meridian.functions import parse, text
 from meridian.functions.white import trimmed
 from meridian.operators import imports, lookups, meta, rosters
+from meridian.plans import folds
 from meridian.plans.registry import query
 from meridian.sources.views import table
 
@@ -342,8 +343,11 @@ def import_accounts(spark: SparkSession, d: str) -> DataFrame:
     return imports.new_accounts(_rows(spark, d, "lineitem", _RESULTS), state, supplier.select(F.col("s_suppkey").alias("user"), F.col("s_name").alias("user_name")))
 
 
-@query("import_ratings")
+_RATED = "SELECT upper(s_name) AS player, 1400.0 + s_suppkey % 200 AS rating, 120.0 AS deviation, 0.06 AS volatility, s_suppkey % 30 AS games, 'before' AS period FROM supplier WHERE s_suppkey % 2 = 0"
+
+
+@query("import_ratings", folds.imported(_select("lineitem", _RESULTS), _RATED))
 def import_ratings(spark: SparkSession, d: str) -> DataFrame:
-    """Ratings of real players after an import; the fold has no SQL, tests hold it against the published period."""
+    """Ratings of real players after an import."""
     state = table(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(F.upper("s_name").alias("player"), (F.lit(1400.0) + F.col("s_suppkey") % 200).alias("rating"), F.lit(120.0).alias("deviation"), F.lit(0.06).alias("volatility"), (F.col("s_suppkey") % 30).alias("games"), F.lit("before").alias("period"))
-    return imports.rated(_rows(spark, d, "lineitem", _RESULTS), state, "this")[0]
+    return imports.rated(_rows(spark, d, "lineitem", _RESULTS), state, "this")[0].withColumns({c: F.round(c, 8 if c == "volatility" else 6) for c in ("rating", "deviation", "volatility")})

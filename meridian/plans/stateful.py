@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.operators import dice, ratings, standings, swiss
-from meridian.plans.catalog import DICE_SQL
+from meridian.plans import folds
+from meridian.plans.catalog import DICE_SQL, STANDINGS_SQL
 from meridian.plans.registry import query
 from meridian.sources.views import ROLLS_SQL, entries, pairings, rolls, table
 from meridian.streaming import dice as streams
 
 
-@query("glicko_fold")
+@query("glicko_fold", folds.GLICKO)
 def glicko_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Factions rated by month over their entries. An ordered fold with a root search, so there is no SQL."""
+    """Factions rated by month over their entries."""
     rows = entries(spark, d).select(F.col("faction").alias("player"), F.date_format("event_date", "yyyy-MM").alias("period"), "wins", "losses", "draws")
-    return ratings.glicko(rows)
+    return ratings.glicko(rows).withColumns({c: F.round(c, 8 if c == "volatility" else 6) for c in ("before", "rating", "deviation", "volatility", "delta")})
 
 
 @query("elo_step", """SELECT o_orderkey, CAST(floor(1200 + o_orderkey % 300 + 32 * (1 - 1 / (1 + pow(10, (o_custkey % 300 - o_orderkey % 300) / 400.0))) + 0.5) AS BIGINT) AS winner,
@@ -28,9 +29,9 @@ def elo_step(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.floor(a + gain + 0.5).alias("winner"), F.floor(b - gain + 0.5).alias("loser"))
 
 
-@query("swiss_pairings")
+@query("swiss_pairings", folds.swiss(STANDINGS_SQL))
 def swiss_pairings(spark: SparkSession, d: str) -> DataFrame:
-    """The next round of every month's event. A greedy ordered draw, so there is no SQL."""
+    """The next round of every month's event."""
     games = pairings(spark, d)
     return swiss.pair(standings.standings(games), games.select("event", "p1", "p2"))
 
@@ -46,9 +47,9 @@ def stream_running_verdict(spark: SparkSession, d: str) -> DataFrame:
     return streams.drained(streams.verdicts(streams.roll_stream(spark, d)), "update", ["session"])
 
 
-@query("stream_stability")
+@query("stream_stability", folds.STABILITY)
 def stream_stability(spark: SparkSession, d: str) -> DataFrame:
-    """Settled counts over each user's events as frames, two equal frames settling a count. State across rows, so there is no SQL."""
+    """Settled counts over each user's events as frames, two equal frames settling a count."""
     frames = streams.event_stream(spark, d).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (F.get_json_object("props", "$.k").cast("long") % 3).alias("found"))
     return streams.drained(streams.settled(frames, last=2, empty=1), "append")
 
