@@ -99,6 +99,16 @@ def xml_units(spark: SparkSession, d: str) -> DataFrame:
     return catalogues.units(spark, at, "part-*").select("id", "name", "toughness", "save", "points", F.size("weapons").alias("n_weapons"), "invuln", "fnp", F.get("weapons", F.lit(0))["name"].alias("weapon"), F.array_join("warnings", ",").alias("warnings"))
 
 
+@query("xml_unread", """SELECT '<selectionEntry id="u' || p_partkey || CASE WHEN p_partkey % 7 = 0 THEN '" name=' || p_size || ' type="unit"/>' ELSE '" type="unit"><costs></selectionEntry>' END AS entry FROM part WHERE p_partkey % 7 IN (0, 1)""")
+def xml_unread(spark: SparkSession, d: str) -> DataFrame:
+    """Of each seven entries one has an attribute without quotes, and one a tag that isn't closed."""
+    k = F.col("p_partkey")
+    rest = F.when(k % 7 == 0, _text('" name=', F.col("p_size").cast("string"), ' type="unit"/>')).when(k % 7 == 1, '" type="unit"><costs></selectionEntry>').otherwise('" type="unit"></selectionEntry>')
+    at = shared_folder(spark, "xml")
+    table(spark, d, "part").select(_text('<selectionEntry id="u', k.cast("string"), rest)).write.text(at)
+    return catalogues.unread_entries(spark, at, "part-*").select("entry")
+
+
 @query("mission_cards", """WITH n AS (SELECT n_nationkey AS k, array_to_string(list_transform(string_split(lower(translate(n_name, '_0123456789', ' ABCDEFGHIJ')), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') AS name, count(*) OVER () AS total FROM nation), c AS (SELECT * FROM (VALUES (0, 'primary'), (1, 'secondary'), (2, 'deployment_zone'), (3, 'twist'), (4, 'challenger')) AS c(deck, kind))
 SELECT 'mission-' || (deck * total + row_number() OVER (PARTITION BY deck ORDER BY k)) AS id, name, kind FROM n, c""")
 def mission_cards(spark: SparkSession, d: str) -> DataFrame:

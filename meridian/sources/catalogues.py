@@ -1,4 +1,4 @@
-"""Reader of unit catalogues in XML (SRC9, SRC10, X1 to X8, Q1)."""
+"""Reader of unit catalogues in XML (SRC9, SRC10, X1 to X9, Q1)."""
 
 from __future__ import annotations
 
@@ -59,15 +59,26 @@ def _weapon(profile: Column) -> Column:
     return F.struct(profile["name"], *(kinds.get(k, parse.stat)(v).alias(k) for k, v in at.items()))
 
 
+def _entries(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """Entries of the catalogues with the file of each; unread: the text of one that can't be read. The parser by records, as the one by files ends at the first error in a file."""
+    reader = spark.read.format("xml").option("rowTag", "selectionEntry").option("wildcardColName", "inner").option("useLegacyXMLParser", True).option("columnNameOfCorruptRecord", "unread")
+    return reader.option("pathGlobFilter", pattern).schema(f"{_FIELDS}, unread string").load(path).withColumn("file", F.col("_metadata.file_path"))
+
+
+def unread_entries(spark: SparkSession, path: str, pattern: str = "*.{cat,gst}") -> DataFrame:
+    """file, entry of each entry that isn't XML (X9); the others of its file are read all the same."""
+    return _entries(spark, path, pattern).filter("unread IS NOT NULL AND _id IS NULL").select("file", F.col("unread").alias("entry"))
+
+
 def units(spark: SparkSession, path: str, pattern: str = "*.{cat,gst}") -> DataFrame:
     """Units and models of the catalogues in path: faction (the file's name), id, name, characteristics, points, weapons, abilities, saves, warnings.
 
     Characteristics and weapons come from all profiles in an entry, also from those of entries and groups in it, at any depth; abilities
     and saves from what is not in an entry within. Of weapons with equal names the first stays. Of a unit id the last file's counts.
-    Entries without id or name, and files that aren't XML, give no rows; numbers that can't be read are 0.
+    Entries without id or name, and those that aren't XML (unread_entries has them), give no rows; numbers that can't be read are 0.
     """
-    found = spark.read.format("xml").option("rowTag", "selectionEntry").option("wildcardColName", "inner").option("pathGlobFilter", pattern).schema(_FIELDS).load(path)
-    rows = found.withColumn("file", F.col("_metadata.file_path")).filter(F.col("_type").isin("unit", "model") & (F.length("_id") > 0) & (F.length("_name") > 0))
+    found = _entries(spark, path, pattern)
+    rows = found.filter(F.col("_type").isin("unit", "model") & (F.length("_id") > 0) & (F.length("_name") > 0))
     rows = rows.withColumn("text", F.array_join(F.coalesce("inner", F.array().cast("array<string>")), "\n")).withColumn("body", _own(F.col("text")))
     rows = rows.withColumns({"all": _profiles(F.col("text")), "own": _profiles(F.col("body"))})
     rows = rows.withColumns({"main": F.get(F.filter("all", lambda p: p["kind"].rlike(UNIT)), F.lit(0)), "arms": F.filter("all", lambda p: p["kind"].rlike(WEAPON) & (F.length(p["name"]) > 0))})

@@ -79,3 +79,11 @@ def test_profiles_in_groups_at_any_depth(spark, tmp_path):
     assert set(got) == {"a", "b", "c"} and (a["move"], a["toughness"], a["save"], a["warnings"], a["abilities"], a["invuln"], a["fnp"]) == (7, 6, 3, [], [], None, None)
     assert [(w["name"], w["range"], w["strength"]) for w in a["weapons"]] == [('A "B" > C', "24", 5), ("In a group", "melee", 4)]
     assert (got["b"]["invuln"], got["c"]["invuln"], got["c"]["fnp"], [x["name"] for x in got["c"]["abilities"]]) == (4, 3, 5, ["y"])
+
+
+def test_an_entry_that_is_no_xml_leaves_the_others(spark, tmp_path):
+    entry = '<selectionEntry id="{0}" name="{0}" type="unit"{1}>{2}</selectionEntry>\n'.format
+    text = "<catalogue>" + entry("a", "", "") + entry("b", " hidden=x", "") + entry("c", "", "<costs></cost>") + entry("d", "", '<costs><cost name="pts" value="x"/></costs>') + entry("e", "", '<costs><cost name="pts" value="7"/></costs>') + "</catalogue>"
+    path = files(tmp_path, a_cat=text, b_cat="", c_cat="no entries")
+    assert {(r["id"], r["points"]) for r in catalogues.units(spark, path).collect()} == {("a", 0), ("d", 0), ("e", 7)}
+    assert sorted(r["entry"].strip()[:22] for r in catalogues.unread_entries(spark, path).collect()) == ['<selectionEntry id="b"', '<selectionEntry id="c"']
