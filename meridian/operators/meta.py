@@ -14,7 +14,10 @@ def win_rate(wins: str = "wins", draws: str = "draws", games: str = "games") ->
 
 
 def rates(entries: DataFrame, keys: list[str], not_blank: str) -> DataFrame:
-    """Totals by keys with win rate, and each group's share of all entries that count."""
+    """Totals by keys with win rate, and each group's share of all entries that count.
+
+    Keys are names of factions or detachments. The window is over one row for each of them; a total by itself would read all entries again.
+    """
     rows = entries.withColumns({k: trimmed(k) for k in keys}).filter(F.length(trimmed(not_blank)) > 0)
     out = rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("wins", "losses", "draws")), F.count("*").alias("players"))
     out = out.withColumn("games", F.col("wins") + F.col("losses") + F.col("draws")).withColumn("win_rate", F.round(win_rate(), 6))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.operators import dice, dml, meta, ratings, resolve, standings
@@ -257,16 +257,14 @@ def cost_first_parseable(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("haversine_sort", """WITH p AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 > 0 THEN radians((s_suppkey * 37) % 180 - 90) END AS lat, radians((s_suppkey * 73) % 360 - 180) AS lon FROM supplier),
-h AS (SELECT s_suppkey, pow(sin((lat - radians(51.5)) / 2), 2) + cos(lat) * cos(radians(51.5)) * pow(sin(lon / 2), 2) AS h FROM p), m AS (SELECT s_suppkey, round(3959 * 2 * atan2(sqrt(h), sqrt(1 - h)), 3) AS miles FROM h)
-SELECT s_suppkey, miles, CAST(row_number() OVER (ORDER BY miles NULLS LAST, s_suppkey) AS INT) AS place FROM m ORDER BY place LIMIT 200""")
+h AS (SELECT s_suppkey, pow(sin((lat - radians(51.5)) / 2), 2) + cos(lat) * cos(radians(51.5)) * pow(sin(lon / 2), 2) AS h FROM p) SELECT s_suppkey, round(3959 * 2 * atan2(sqrt(h), sqrt(1 - h)), 3) AS miles FROM h ORDER BY miles NULLS LAST, s_suppkey""")
 def haversine_sort(spark: SparkSession, d: str) -> DataFrame:
-    """The 200 nearest by great-circle miles from a fixed place; those without coordinates come last."""
+    """In order of great-circle miles from a fixed place; those without coordinates come last."""
     k, home = F.col("s_suppkey"), F.radians(F.lit(51.5))
     lat, lon = F.when(k % 7 > 0, F.radians(k * 37 % 180 - 90)), F.radians(k * 73 % 360 - 180)
     h = F.pow(F.sin((lat - home) / 2), 2) + F.cos(lat) * F.cos(home) * F.pow(F.sin(lon / 2), 2)
     rows = table(spark, d, "supplier").select("s_suppkey", F.round(3959 * 2 * F.atan2(F.sqrt(h), F.sqrt(1 - h)), 3).alias("miles"))
-    order = (F.asc_nulls_last("miles"), "s_suppkey")
-    return rows.orderBy(*order).limit(200).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("int"))
+    return rows.orderBy(F.asc_nulls_last("miles"), "s_suppkey")
 
 
 @query("suggestions_better_cheaper", """SELECT unit, better, CAST(rank AS INT) AS rank FROM (SELECT a.p_partkey AS unit, b.p_partkey AS better, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_size DESC, b.p_partkey) AS rank
