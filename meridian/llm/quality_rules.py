@@ -69,7 +69,7 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 def _repeated_words(words: Column, width: int) -> Column:
     """The number of words that lie in a window of the given width which occurs twice or more."""
     at = F.sequence(F.lit(0), F.size(words) - width)
-    hashes = F.transform(at, lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(width)]).alias("h"), i.alias("i")))
+    hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
     start = F.struct(F.lit(-width).alias("at"), F.lit(0).alias("n"))
     step = lambda acc, i: F.struct(i.alias("at"), (acc.n + F.least(F.lit(width), i - acc.at)).alias("n"))
 
@@ -78,8 +78,13 @@ def _repeated_words(words: Column, width: int) -> Column:
         same = F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)))
         return F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
 
-    found = _let(F.sort_array(hashes), lambda w: F.aggregate(again(w), start, step, lambda acc: acc.n))
-    return F.when(F.size(words) >= width, found).otherwise(0)
+    def found(h: Column) -> Column:
+        # Most documents repeat no window, which distinct hashes tell without a sort.
+        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        covered = _let(ordered, lambda w: F.aggregate(again(w), start, step, lambda acc: acc.n))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered)
+
+    return F.when(F.size(words) >= width, _let(hashes, found)).otherwise(0)
 
 
 def features(text: Column, width: int = 5) -> Column:
@@ -95,7 +100,7 @@ def features(text: Column, width: int = 5) -> Column:
             "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
             "n_repeat_words": _repeated_words(words, width),
             "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))),
-            "n_letter_words": F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))),
+            "n_letter_words": F.regexp_count(t, F.lit(r"\p{L}[^\x20\x09-\x0D]*+")),  # from a word's first letter to its end
         }
         return F.struct(*(x.cast("long").alias(name) for name, x in made.items()))
 
