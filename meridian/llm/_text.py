@@ -54,12 +54,12 @@ class Words(NamedTuple):
     first: np.ndarray  # index of each document's first word; one more entry at the end
 
 
-def words_of(buf: np.ndarray, off: np.ndarray) -> Words:
-    """The words of documents that lie one after another in buf; none crosses a document's end."""
+def words_of(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = SPACE) -> Words:
+    """The words of documents that lie one after another in buf; none crosses a document's end. apart: which bytes separate words."""
     if not len(buf):
         z = np.zeros(0, np.int64)
         return Words(z, z, np.zeros(len(off), np.int64))
-    solid = ~SPACE[buf]
+    solid = ~apart[buf]
     starts = solid.copy()
     starts[1:] &= ~solid[:-1]
     ends = solid.copy()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import graph_index, language_id, mixing, quality_rules, token_counts, token_store, warc
+from meridian.llm import graph_index, language_id, mixing, quality_rules, token_counts, token_store, toxicity, warc
 from meridian.llm._io import read, scratch_path
 from meridian.llm.byte_bpe import encode_decode
 from meridian.llm.jaccard_join import near_duplicates
@@ -69,5 +69,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).select("doc_id", "n_tokens", "n_pretokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_substring_dedup, op3_source_mixing, op4_language_id, op5_token_store, op6_quality_rules, op7_graph_index, op8_ngram_jaccard_join, op9_warc_derivatives, op10_token_counts)}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, toxicity.learned_from(read(spark, sf_dir, "labels").select("doc_id", "toxic")))
+    out = toxicity.with_toxicity(docs.withColumn("held_out", toxicity.held_out()), model)
+    return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "n_passages", "best")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_substring_dedup, op3_source_mixing, op4_language_id, op5_token_store, op6_quality_rules, op7_graph_index, op8_ngram_jaccard_join, op9_warc_derivatives, op10_token_counts, op11_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.SQL, "op6_quality_rules": quality_rules.SQL, "op9_warc_derivatives": warc.SQL}

@@ -27,6 +27,7 @@ def sf_dir(tmp_path_factory):
     langs = ["en", "de", None, "fr"]
     docs = {"doc_id": [*range(len(found))], "text": found, "lang": [langs[i % 4] for i in range(len(found))], "source": [None if i % 11 == 0 else f"src{i % 3}" for i in range(len(found))], "n_chars": [None if x is None else len(x) for x in found]}
     pq.write_table(pa.table(docs, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])), d / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array([*range(len(found)), None, 3, 4, 999], pa.int64()), "quality": pa.array([1] * (len(found) + 4), pa.int32()), "toxic": pa.array([*(int(i % 5 == 0) if i % 7 else None for i in range(len(found))), 1, 0, 2, 1], pa.int32())}), d / "labels.parquet")
     r = random.Random(3)
     vectors = [None, [0.0] * 8, [float("nan")] + [1.0] * 7, [1.0] * 8, [1.0] * 8, [2.0] * 8, []] + [[r.gauss(0, 1) for _ in range(8)] for _ in range(300)]
     vectors += [vectors[9]] * 40
