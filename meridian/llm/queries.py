@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import graph_index, language_id, mixing, quality_rules, token_counts, token_store, toxicity, warc
+from meridian.llm import divergence, graph_index, language_id, mixing, quality_rules, token_counts, token_store, toxicity, warc, whitening
 from meridian.llm._io import read, scratch_path
 from meridian.llm.byte_bpe import encode_decode
 from meridian.llm.jaccard_join import near_duplicates
@@ -76,5 +76,14 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "n_passages", "best")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_substring_dedup, op3_source_mixing, op4_language_id, op5_token_store, op6_quality_rules, op7_graph_index, op8_ngram_jaccard_join, op9_warc_derivatives, op10_token_counts, op11_toxicity)}
-ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.SQL, "op6_quality_rules": quality_rules.SQL, "op9_warc_derivatives": warc.SQL}
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whitened(vectors, whitening.fit(vectors), components=32)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_substring_dedup, op3_source_mixing, op4_language_id, op5_token_store, op6_quality_rules, op7_graph_index, op8_ngram_jaccard_join, op9_warc_derivatives, op10_token_counts, op11_toxicity, op12_embedding_whitening, op13_source_divergence)}
+ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.SQL, "op6_quality_rules": quality_rules.SQL, "op9_warc_derivatives": warc.SQL, "op13_source_divergence": divergence.SQL}
