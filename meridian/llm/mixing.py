@@ -15,11 +15,14 @@ by digit, so that no task sees more than 256 rows of a leaf, however large it is
 is left then is a comparison of each document with its leaf's cut. A plan of up to
 MOST_LEAVES leaves is broadcast, so texts aren't shuffled; of a larger one only the rows
 of leaves with very many documents are, and the others meet theirs by a shuffle.
+The digest is of the seed, the epoch, the id and the text, so only rows alike in id and
+text share one; such rows at a leaf's cut are numbered, part by part, and take the rest
+of the budget in that order.
 
 Cases: a null in a level is the empty name; tokens are words, a null or blank text has
 none and comes along where its digest lies before the cut; a leaf without tokens or with
-weight 0 takes no part; rows that share an id share a digest and are taken or left
-together; an empty table gives an empty result. Every chosen row comes once for each
+weight 0 takes no part; rows that share an id, or have none, are ordered by their texts,
+and rows alike in both have any order; an empty table gives an empty result. Every chosen row comes once for each
 epoch, with all its columns; the added ones take the place of existing ones with their
 names.
 """
@@ -79,17 +82,24 @@ def budgets(sizes: DataFrame, levels: list[str], weights: dict[str, dict[str, in
     return sizes.drop("__live").join(parents.select(*levels, "budget"), levels)
 
 
-def _cuts(slim: DataFrame, plan: DataFrame, levels: list[str], seed: int) -> DataFrame:
-    """For each leaf with a part of an epoch: the digest at which it ends, and the tokens before that document."""
-    open_ = slim.join(plan.filter("rest > 0").select(*levels, "full_epochs", "rest"), levels).withColumn("key", _key(seed, "full_epochs"))
+def _met(rows: DataFrame, plan: DataFrame, key: list[str] | str, sizes: DataFrame, leaves: int) -> DataFrame:
+    """rows with what plan says of their leaves (fewer than leaves): by a broadcast, or where that grows too large only for leaves with very many rows. sizes: rows of each leaf."""
+    if leaves <= MOST_LEAVES:
+        return rows.join(F.broadcast(plan), key)
+    return looked_up(rows, plan, key, hot_keys(sizes, key, sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]))
+
+
+def _cuts(slim: DataFrame, plan: DataFrame, levels: list[str], seed: int, sizes: DataFrame, leaves: int) -> DataFrame:
+    """For each leaf with a part of an epoch: the digest at which it ends, the tokens before it, and how many rows have it."""
+    open_ = _met(slim, plan.filter("rest > 0").select(*levels, "full_epochs", "rest"), levels, sizes, leaves).withColumn("key", _key(seed, "full_epochs"))
     at = plan.filter("rest > 0").select(*levels, F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
     for step in range(1, STEPS + 1):
-        left = open_.join(at, levels).filter(F.startswith("key", "prefix"))
+        left = _met(open_, at, levels, sizes, leaves).filter(F.startswith("key", "prefix"))
         sums = left.groupBy(*levels, F.substring("key", 1, DIGITS * step).alias("digits")).agg(F.sum("n_tokens").alias("tokens"), F.first("rest").alias("rest"), F.first("before").alias("before"))
         at = written(_hit(sums, levels, "digits").select(*levels, F.col("digits").alias("prefix"), F.col("start").alias("before")), "mix-cut")
-    left = open_.join(at, levels).filter(F.startswith("key", "prefix"))
-    last = left.groupBy(*levels, "key").agg(F.sum("n_tokens").alias("tokens"), F.first("rest").alias("rest"), F.first("before").alias("before"))
-    return written(_hit(last, levels, "key").select(*levels, F.col("key").alias("cut_key"), F.col("start").alias("cut_start")), "mix-cut")
+    left = _met(open_, at, levels, sizes, leaves).filter(F.startswith("key", "prefix"))
+    last = left.groupBy(*levels, "key").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("copies"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    return written(_hit(last, levels, "key").select(*levels, F.col("key").alias("cut_key"), F.col("start").alias("cut_start"), "copies"), "mix-cut")
 
 
 def _hit(sums: DataFrame, levels: list[str], by: str) -> DataFrame:
@@ -111,29 +121,45 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     names = list(levels)
     held = {c: F.coalesce(x.cast("string"), F.lit("")) for c, x in levels.items()}
     tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    slim = written(docs.select(*(x.alias(c) for c, x in held.items()), F.col(id_col).cast("string").alias("mix_id"), tokens.alias("n_tokens")), "mix-sizes")
-    sizes = written(slim.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
-    plan = budgets(sizes, names, weights, percent, max_epochs)
+    own_id = F.concat_ws("|", F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    slim = written(docs.select(*(x.alias(c) for c, x in held.items()), own_id.alias("mix_id"), tokens.alias("n_tokens")), "mix-sizes")
+    sizes = written(slim.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "mix-leaves")
+    plan = budgets(sizes.drop("rows"), names, weights, percent, max_epochs)
     plan = written(plan.withColumn("full_epochs", F.expr("budget div tokens")).withColumn("rest", F.expr("budget % tokens")), "mix-plan")
-    plan = written(plan.join(_cuts(slim, plan, names, seed), names, "left").select(*names, "full_epochs", "rest", "cut_key", "cut_start"), "mix-plan")
+    leaves = plan.count()
+    cuts = _cuts(slim, plan, names, seed, sizes, leaves)
+    plan = written(plan.join(cuts, names, "left").select(*names, "full_epochs", "rest", "cut_key", "cut_start", "copies"), "mix-plan")
 
     leaf = [F.col(f"mix_{i}") for i in range(len(names))]
-    rows = docs.withColumns({f"mix_{i}": x for i, x in enumerate(held.values())} | {"mix_id": F.col(id_col).cast("string")})
+    rows = docs.withColumns({f"mix_{i}": x for i, x in enumerate(held.values())} | {"mix_id": own_id})
     rows = rows.withColumns({"n_tokens": tokens, **{c: x for c, x in zip(names, leaf, strict=True) if c not in docs.columns}})
     rows = rows.withColumn("mix_leaf", F.struct(*leaf)).drop(*(f"mix_{i}" for i in range(len(names))))
     own = F.struct(*(F.col(c).alias(f"mix_{i}") for i, c in enumerate(names)))
-    plan = plan.select(own.alias("mix_leaf"), F.col("full_epochs").alias("mix_full"), F.col("rest").alias("mix_rest"), F.col("cut_key").alias("mix_cut"), F.col("cut_start").alias("mix_start"))
-    if plan.count() <= MOST_LEAVES:
-        rows = rows.join(F.broadcast(plan), "mix_leaf")
+    plan = plan.select(own.alias("mix_leaf"), F.col("full_epochs").alias("mix_full"), F.col("rest").alias("mix_rest"), F.col("cut_key").alias("mix_cut"), F.col("cut_start").alias("mix_start"), F.col("copies").alias("mix_copies"))
+    rows = _met(rows, plan, "mix_leaf", sizes.select(own.alias("mix_leaf"), "rows"), leaves).withColumn("mix_key", _key(seed, "mix_full"))
+    at_cut = F.coalesce(F.col("mix_key") == F.col("mix_cut"), F.lit(False))
+    if cuts.filter("copies > 1").isEmpty():
+        rows = rows.withColumn("mix_before", F.lit(0).cast("long"))
     else:
-        sizes = slim.groupBy(own.alias("mix_leaf")).agg(F.count("*").alias("rows"))
-        rows = looked_up(rows, plan, "mix_leaf", hot_keys(sizes, "mix_leaf", slim.count()))
-    rows = rows.withColumn("mix_key", _key(seed, "mix_full"))
-    epochs = F.col("mix_full") + F.when(F.col("mix_key") <= F.col("mix_cut"), 1).otherwise(0)
+        rows = _numbered(rows, at_cut & (F.col("mix_copies") > 1))
+    left = F.col("mix_rest") - F.col("mix_start") - F.col("mix_before") * F.col("n_tokens")  # of the budget, when rows alike before this one are served
+    epochs = F.col("mix_full") + F.when((F.col("mix_key") < F.col("mix_cut")) | at_cut & (left > 0), 1).otherwise(0)
     rows = rows.withColumn("mix_epochs", epochs).filter("mix_epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_epochs") - 1)))
-    last = (F.col("epoch") == F.col("mix_full")) & (F.col("mix_key") == F.col("mix_cut"))
-    rows = rows.withColumn("n_used", F.when(last, F.least("n_tokens", F.col("mix_rest") - F.col("mix_start"))).otherwise(F.col("n_tokens")))
-    return rows.drop("mix_leaf", "mix_id", "mix_full", "mix_rest", "mix_cut", "mix_start", "mix_key", "mix_epochs")
+    last = (F.col("epoch") == F.col("mix_full")) & at_cut
+    rows = rows.withColumn("n_used", F.when(last, F.least("n_tokens", left)).otherwise(F.col("n_tokens")))
+    return rows.drop("mix_leaf", "mix_id", "mix_full", "mix_rest", "mix_cut", "mix_start", "mix_copies", "mix_key", "mix_before", "mix_epochs")
+
+
+def _numbered(rows: DataFrame, alike: Column) -> DataFrame:
+    """rows with mix_before: of those alike at a cut, how many come before one. They are counted by parts of a written table, so no task gathers them."""
+    held = written(rows.filter(alike), "mix-copies").withColumn("mix_part", F.spark_partition_id())
+    parts = written(held.groupBy("mix_leaf", "mix_part").agg(F.count("*").alias("mix_rows")), "mix-parts")
+    before = F.sum("mix_rows").over(Window.partitionBy("mix_leaf").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.select("mix_leaf", "mix_part", F.coalesce(before, F.lit(0)).alias("mix_offset"))
+    own = F.row_number().over(Window.partitionBy("mix_leaf", "mix_part").orderBy("mix_key")) - 1
+    placed = held.withColumn("mix_before", own.cast("long")).join(offsets, ["mix_leaf", "mix_part"])
+    placed = placed.withColumn("mix_before", F.col("mix_before") + F.col("mix_offset")).drop("mix_part", "mix_offset")
+    return rows.filter(~alike).withColumn("mix_before", F.lit(0).cast("long")).unionByName(placed)
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -172,14 +198,13 @@ def _sql() -> str:
     live = " AND ".join(f"{weight(c, WEIGHTS.get(c, {}))} > 0" for c in levels)
     shares = "".join(share(c, levels[:i], f"{levels[i - 1]}_n" if i else "root", WEIGHTS.get(c, {})) for i, c in enumerate(levels))
     return f"""
-WITH t AS (SELECT doc_id, coalesce('d' || CAST(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 4 AS VARCHAR), '') AS domain,
+WITH t AS (SELECT doc_id, md5(coalesce(text, '')) AS tie, coalesce('d' || CAST(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 4 AS VARCHAR), '') AS domain,
   coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS HUGEINT) AS n FROM documents),
 sizes AS (SELECT domain, lang, source, sum(n) AS tokens FROM t GROUP BY ALL),
 root AS (SELECT least(coalesce(sum(tokens), 0) * {PERCENT} // 100, coalesce(sum(tokens) FILTER ({live}), 0) * {MAX_EPOCHS}) AS budget FROM sizes),{shares}
 plan AS (SELECT domain, lang, source, budget // tokens AS full_epochs, budget % tokens AS rest FROM sizes JOIN source_n USING (domain, lang, source)),
-k AS (SELECT t.*, full_epochs, rest, md5(concat_ws('|', '{SEED}', CAST(full_epochs AS VARCHAR), CAST(doc_id AS VARCHAR))) AS key FROM t JOIN plan USING (domain, lang, source)),
-s AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-  sum(n) OVER (PARTITION BY domain, lang, source, key) AS own FROM k),
+k AS (SELECT t.*, full_epochs, rest, md5(concat_ws('|', '{SEED}', CAST(full_epochs AS VARCHAR), CAST(doc_id AS VARCHAR), tie)) AS key FROM t JOIN plan USING (domain, lang, source)),
+s AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, n AS own FROM k),
 e AS (SELECT *, unnest(range(0, CAST(full_epochs + CASE WHEN upto - own < rest THEN 1 ELSE 0 END AS BIGINT))) AS epoch FROM s)
 SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch, CAST(n AS BIGINT) AS n_tokens,
   CAST(CASE WHEN epoch = full_epochs AND upto >= rest THEN least(n, rest - (upto - own)) ELSE n END AS BIGINT) AS n_used FROM e"""
