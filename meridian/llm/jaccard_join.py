@@ -235,7 +235,8 @@ def similarity_links(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).filter("lo != hi").select("token", "rows")
     rows, mixed = written(rows, "labelled"), written(mixed, "mixed")
     rows = looked_up(rows, mixed.select("token"), "token", hot_keys(mixed, "token", total))
-    size = F.log("n") / (log(100 / percent) * (1 + 1e-9))  # linked sets differ by less than 1 in it
+    # Linked sets differ by less than 1 in it; at 100 percent they have one size.
+    size = F.log("n") / (log(100 / percent) * (1 + 1e-9)) if percent < 100 else F.col("n")
     rows = written(rows.withColumn("class", F.floor(size).cast("int")), "open")
     per_label = rows.groupBy("token", "label").agg(F.count("*").alias("rows"))
     main = per_label.groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.sum("rows").alias("rows"), F.max("rows").alias("most"))
