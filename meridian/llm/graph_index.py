@@ -268,8 +268,11 @@ def search(index: Index, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
                         yield shard.nearest(part.slice(at, _ROUND), k, width)
 
     found = stream.mapInArrow(look, "key long, score double, ids array<long>")
-    hits = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("far"), i.alias("id")))
-    best = written(found.select("key", hits.alias("hits")).groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k + 1).alias("hits")), "nearest")
+    # Each task passes on no more than a query's k + 1 best, so that no row grows with the shards.
+    hits = found.select("key", (-F.col("score")).alias("far"), F.explode("ids").alias("id"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("far", "id"))
+    best = hits.withColumn("place", place).filter(F.col("place") <= k + 1)
+    best = written(best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("far", "id"))).alias("hits")), "nearest")
     facts = firsts.select("key", mark, "rows").join(best, "key")
     hot = hot_keys(facts, "mark", firsts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
     each = looked_up(asked.select("id", mark).distinct(), facts.select("mark", "hits"), "mark", hot)
