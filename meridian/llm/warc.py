@@ -10,8 +10,10 @@ All of it is one projection of Spark expressions: nothing is shuffled, and a tas
 with an executor is run again. Text comes from HTML by removing comments, scripts and
 styles (an unclosed one reaches to the end), turning block tags into line ends, dropping
 other tags, decoding numeric references and the named ones of HTML 4, and closing up white
-space. Attributes count in double or single quotes or without any; titles and links are
-decoded too.
+space. Attributes count in double or single quotes or without any, and a tag ends at
+the next ">" or with the page; titles and links are decoded too. Each pattern goes over a
+page once: titles are cut out by their first marks, and attributes are looked for in one
+tag at a time, so that a page of marks that nothing closes takes no longer than another.
 
 Cases: a null payload counts as empty and gives both records with empty text; a null URI
 leaves out that header; a null id gives records made from the empty id; repeated rows
@@ -31,8 +33,8 @@ CRLF = "\r\n"
 BLOCKS = "address article aside blockquote body br dd div dl dt footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td th thead title tr ul".split()
 ENTITIES = {name: " " if name == "nbsp" else chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
 REFERENCE = "^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[a-zA-Z][a-zA-Z0-9]{1,31});"
-ATTRIBUTE = r"""(?i)<%s\b(?:[^>]*?[ \t\r\n\f"'])?%s[ \t\r\n\f]*=[ \t\r\n\f]*("[^"\r\n]*"|'[^'\r\n]*'|[^ \t\r\n\f"'=<>]+)"""
-LINK, LANGUAGE = ATTRIBUTE % ("a", "href"), ATTRIBUTE % ("html", "lang")
+TAG, ATTRIBUTE = r"(?i)<%s\b[^>]*>", r"""(?i)^<%s\b(?:[^>]*?[ \t\r\n\f"'])?%s[ \t\r\n\f]*=[ \t\r\n\f]*("[^"\r\n]*"|'[^'\r\n]*'|[^ \t\r\n\f"'=<>]+)"""
+TITLE = r"(?i)<title\b", r"(?i)</title"
 QUOTES = "^[\"']|[\"']$"
 GONE = r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z))"
 BREAKS = rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*(?:>|\z)"
@@ -63,6 +65,19 @@ def _decoded(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&", -1), one), "")).otherwise(text)
 
 
+def attributes(html: Column, tag: str, name: str) -> Column:
+    """The values, in their quotes, of an attribute in each tag of a kind that has it."""
+    tags = F.regexp_extract_all(F.concat(html, F.lit(">")), F.lit(TAG % tag), 0)
+    return F.filter(F.transform(tags, lambda x: F.regexp_extract(x, ATTRIBUTE % (tag, name), 1)), lambda x: x != "")
+
+
+def title_of(html: Column) -> Column:
+    """What stands between the first title tag and the next end of one; empty without both."""
+    behind = F.get(F.split(html, TITLE[0], 2), 1)
+    own = F.split(F.substring(behind, F.instr(behind, ">") + 1, F.length(behind)), TITLE[1], 2)
+    return F.when(F.contains(behind, F.lit(">")) & (F.size(own) > 1), F.get(own, 0)).otherwise("")
+
+
 def text_of(html: Column) -> Column:
     """The text of an HTML page, lines between blocks."""
     return _text(F.regexp_replace(html, GONE, " "))
@@ -108,9 +123,9 @@ def derive(found: DataFrame) -> DataFrame:
     rows = found.select(*rest, F.col("record_id").alias("refers_to"), "target_uri", "date", F.coalesce("http_header", F.lit("")).alias("__head"), html.alias("__html"), _digest(F.coalesce(F.col("payload"), F.lit(b""))).alias("source_digest"))
     rows = rows.withColumn("__clean", F.regexp_replace("__html", GONE, " "))
     bare = lambda x: _line(_decoded(F.regexp_replace(x, QUOTES, "")))
-    links = F.transform(F.regexp_extract_all(F.col("__clean"), F.lit(LINK), 1), lambda x: F.concat(F.lit("outlink: "), bare(x), F.lit(CRLF)))
-    title = F.trim(_line(_decoded(F.regexp_extract("__html", r"(?is)<title\b[^>]*>(.*?)</title", 1))))
-    lang = bare(F.regexp_extract("__html", LANGUAGE, 1))
+    links = F.transform(attributes(F.col("__clean"), "a", "href"), lambda x: F.concat(F.lit("outlink: "), bare(x), F.lit(CRLF)))
+    title = F.trim(_line(_decoded(title_of(F.col("__html")))))
+    lang = bare(F.coalesce(F.get(attributes(F.col("__html"), "html", "lang"), 0), F.lit("")))
     fields = F.concat(
         F.lit("source-status: "), F.regexp_extract("__head", r"^HTTP/[0-9.]+ ([0-9]{3})", 1), F.lit(CRLF),
         F.regexp_replace(F.regexp_replace("__head", r"^HTTP/[^\r]*\r\n", ""), r"([^\r\n]+)\r\n", "source-header: $1\r\n"),
@@ -156,13 +171,14 @@ def _sql() -> str:
     bare = lambda t: line(decoded(f"regexp_replace({t}, {q(QUOTES)}, '', 'g')"))
     plain = f"regexp_replace(regexp_replace(regexp_replace(html, {q(GONE)}, ' ', 'g'), {q(BREAKS)}, chr(10), 'g'), {q(TAGS)}, '', 'g')"
     text = f"trim(regexp_replace(regexp_replace(regexp_replace({decoded(plain)}, '[ \\t\\r\\f\\x0B\\xA0]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^\\n|\\n\\z', '', 'g'), ' ')"
+    values = lambda t, tag, name: f"list_filter(list_transform(regexp_extract_all({t} || '>', {q(TAG % tag)}), lambda x: regexp_extract(x, {q(ATTRIBUTE % (tag, name))}, 1)), lambda x: x <> '')"
     uuid = lambda h: f"'<urn:uuid:' || substr({h},1,8) || '-' || substr({h},9,4) || '-' || substr({h},13,4) || '-' || substr({h},17,4) || '-' || substr({h},21,12) || '>'"
     return f"""
 WITH names AS (SELECT {names} AS m), p AS (SELECT page_id, url, coalesce(html, '') AS html, chr(13) || chr(10) AS e, m FROM pages, names),
 t AS (SELECT *, {text} AS body, md5('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')) AS h, 'sha256:' || sha256(html) AS source_digest,
-  list_transform(regexp_extract_all(regexp_replace(html, {q(GONE)}, ' ', 'g'), {q(LINK)}, 1), lambda y: 'outlink: ' || {bare("y")} || chr(13) || chr(10)) AS links,
+  list_transform({values(f"regexp_replace(html, {q(GONE)}, ' ', 'g')", "a", "href")}, lambda y: 'outlink: ' || {bare("y")} || chr(13) || chr(10)) AS links,
   trim({line(decoded("regexp_extract(html, '(?is)<title" + chr(92) + "b[^>]*>(.*?)</title', 1)"))}, ' ') AS title,
-  {bare(f"regexp_extract(html, {q(LANGUAGE)}, 1)")} AS lang FROM p),
+  {bare(f"coalesce({values('html', 'html', 'lang')}[1], '')")} AS lang FROM p),
 m AS (SELECT page_id, url, {uuid("h")} AS refers_to, source_digest, e,
     unnest(['metadata', 'conversion']) AS warc_type, unnest(['application/warc-fields', 'text/plain; charset=UTF-8']) AS content_type,
     unnest(['source-status: 200' || e || 'source-header: Content-Type: text/html; charset=UTF-8' || e || 'source-header: Content-Length: ' || strlen(html) || e
