@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,7 +22,7 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, else one in the warehouse; a local one only in a local session without either, as in tests."""
     if where := spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.meridian.scratch", None):
         return where
-    if spark.sparkContext.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         where = tempfile.mkdtemp(prefix="meridian-")
     else:
         where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/meridian-scratch"

@@ -1,6 +1,7 @@
 """Awkward rows through every operator: nulls in any column, repeated rows, clashing columns, very long texts, words made to collide."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -226,12 +227,45 @@ def test_jaccard_join_where_one_shingle_is_in_every_prefix(spark, monkeypatch):
     assert want == [(i, len(s), root[i]) for i, s in sorted(sets.items())]
 
 
+def test_jaccard_join_at_any_percent(spark):
+    """At 100 percent only equal sets are linked, at 1 nearly all that share a shingle."""
+    stem = [f"c{i}" for i in range(12)]
+    docs = [(i, " ".join([*stem[: 6 + i % 6], *(f"u{i % 9}x{k}" for k in range(i % 4))])) for i in range(60)]
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(max(1, len(w) - 4))} for i, t in docs}
+    for percent in (1, 60, 100):
+        root = {i: i for i in sets}
+        for i in sets:
+            for j in range(i):
+                n = len(sets[i] & sets[j])
+                if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                    a, b = root[i], root[j]
+                    root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+        got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=percent)
+        assert sorted(map(tuple, got.collect())) == [(i, len(s), root[i]) for i, s in sorted(sets.items())]
+
+
 def test_warc(spark):
     df = spark.createDataFrame([(None, None, None, "k"), (1, "http://e", "<p>a", "k"), (1, "http://e", "<p>a", "k")], "page_id long, url string, html string, record string")
     out = warc.derive(warc.responses(df)).collect()
     assert len(out) == 6 and all(r["record"].startswith("WARC/1.1") for r in out)
 
 
+def test_hostile_pages_take_no_longer(spark):
+    """A megabyte of marks that nothing closes: seconds, not hours."""
+    unit = ["<title>", "<a ", "<html ", "<!--", "<script>", "<p", "&", "<a href=\"x' ", "</title"]
+    pages = spark.createDataFrame([(i, "http://e", (u * (1 << 20))[: 1 << 20]) for i, u in enumerate(unit)], "page_id long, url string, html string").repartition(4)
+    began = time.time()
+    assert warc.derive(warc.responses(pages)).select(F.sum("content_length")).first()[0] > 1 << 20
+    assert time.time() - began < 60
+
+
+def test_titles_and_attributes(spark):
+    rows = ["<TITLE x='y'>One</Title><title>two</title>", "<title>open", "<title no end </title", "<titled>a</title>", "<title></title>", "<a href='1'><a x=y><A HREF=2 href=3><a data-href=4 href=\"5\"", "<html><html lang=de><html lang=fr>"]
+    got = spark.createDataFrame(enumerate(rows), "i int, h string").select(warc.title_of(F.col("h")).alias("t"), warc.attributes(F.col("h"), "a", "href").alias("a"), warc.attributes(F.col("h"), "html", "lang").alias("l"))
+    got = [tuple(r) for r in got.collect()]
+    assert [r[0] for r in got] == ["One", "", "", "", "", "", ""] and got[5][1] == ["'1'", "2", '"5"'] and got[6][2] == ["de", "fr"] and not any(r[1] for r in got[:5])
+
+
 def test_token_counts(spark):
     out = token_counts.with_token_counts(awkward(spark), RANKS)
     assert count(out) == count(awkward(spark)) and dict(out.dtypes)["n_tokens"] == "bigint"

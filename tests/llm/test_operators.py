@@ -157,14 +157,14 @@ def brute_mixture(docs, weights, percent, epochs, seed):
     leaves = {}
     for d in docs:
         m = re.search("([0-9]+)$", d["source"] or "")
-        leaves.setdefault((f"d{int(m[1]) % 4}" if m else "", d["lang"] or "", d["source"] or ""), []).append((d["doc_id"], len(SPLIT.findall(d["text"] or ""))))
-    plan = brute_budgets({k: sum(n for _, n in v) for k, v in leaves.items()}, weights, percent, epochs)
+        leaves.setdefault((f"d{int(m[1]) % 4}" if m else "", d["lang"] or "", d["source"] or ""), []).append((d["doc_id"], len(SPLIT.findall(d["text"] or "")), hashlib.md5((d["text"] or "").encode()).hexdigest()))
+    plan = brute_budgets({k: sum(n for _, n, _ in v) for k, v in leaves.items()}, weights, percent, epochs)
     out = []
     for leaf, rows in leaves.items():
         if leaf in plan:
-            whole, rest = divmod(plan[leaf], sum(n for _, n in rows))
-            out += [(i, e, n) for i, n in rows for e in range(whole)]
-            for i, n in sorted(rows, key=lambda r: hashlib.md5(f"{seed}|{whole}|{r[0]}".encode()).hexdigest()):
+            whole, rest = divmod(plan[leaf], sum(n for _, n, _ in rows))
+            out += [(i, e, n) for i, n, _ in rows for e in range(whole)]
+            for i, n, _ in sorted(rows, key=lambda r: hashlib.md5("|".join(map(str, [seed, whole, *([] if r[0] is None else [r[0]]), r[2]])).encode()).hexdigest()):
                 if rest > 0:
                     out.append((i, whole, min(n, rest)))
                 rest -= n
@@ -180,6 +180,21 @@ def test_source_mixing_by_brute_force(spark, sf_dir):
         assert sorted((r["doc_id"], r["epoch"], r["n_used"]) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("texts", [lambda i: f"w{i} " * 10, lambda i: "same word " * 5, lambda i: f"w{i % 3} " * 10])
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: i])
+def test_mixing_keeps_to_the_budget_where_ids_repeat(spark, texts, ids, monkeypatch):
+    """Rows without an id, with one id, and rows alike in all: the words given out are those of the budget."""
+    rows = [{"doc_id": ids(i), "text": texts(i), "lang": "en", "source": f"src{i % 2}"} for i in range(100)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "doc_id long, text string, lang string, source string").repartition(3)
+    for percent in (10, 33, 107):
+        for most in (mixing.MOST_LEAVES, 0):
+            monkeypatch.setattr(mixing, "MOST_LEAVES", most)
+            got = mixing.mix(df, {"domain": mixing.domain(), "lang": F.col("lang"), "source": F.col("source")}, {}, percent, 3, 17).collect()
+            assert sum(r["n_used"] for r in got) == 10 * percent
+            key = lambda x: tuple(map(str, x))
+            assert sorted(((r["doc_id"], r["epoch"], r["n_used"]) for r in got), key=key) == sorted(brute_mixture(rows, [{}, {}, {}], percent, 3, 17), key=key)
+
+
 def test_mixing_with_a_plan_that_is_not_broadcast(spark, sf_dir, monkeypatch):
     levels = {"domain": mixing.domain(), "lang": F.col("lang"), "source": F.col("source")}
     made = lambda: sorted(map(str, mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), levels, mixing.WEIGHTS).collect()))
@@ -433,12 +448,34 @@ def test_pipeline(spark, sf_dir):
     four = P.mixture(spark, three, sf_dir)
     before = {r["doc_id"]: r.asDict() for r in three.collect()}
     used = brute_mixture(before.values(), [mixing.WEIGHTS.get(x, {}) for x in ("domain", "lang", "source")], mixing.PERCENT, mixing.MAX_EPOCHS, mixing.SEED)
-    assert four.columns == docs.columns and sorted((r["doc_id"], SPLIT.findall(r["text"] or "")) for r in four.collect()) == sorted((i, SPLIT.findall(before[i]["text"] or "")[:n]) for i, _, n in used)
+    assert four.columns == [*docs.columns, "mix_epoch"] and sorted((r["doc_id"], SPLIT.findall(r["text"] or "")) for r in four.collect()) == sorted((i, SPLIT.findall(before[i]["text"] or "")[:n]) for i, _, n in used)
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}, special_tokens={})
     digest = lambda text: hashlib.sha256(np.array(enc.encode_ordinary(text or ""), "<u4").tobytes()).hexdigest()
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in P.run(spark, sf_dir).collect()) == sorted((r["doc_id"], digest(r["text"])) for r in four.collect())
 
 
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    """Columns named like the operators' own, rows without an id, repeated rows, and no rows at all."""
+    import corpus_pipeline as P
+
+    text = lambda i: " ".join(f"{w}{i}" for w in "the of and to in words that are here for this line so it stays".split()) + " the of and to a in"
+    rows = [(i if i % 4 else None, text(i // 2), "en", f"src{i % 3}", 100, f"n{i}", "e", "k", f"id{i}", "input") for i in range(40)] + [(90, None, None, None, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words string, epoch string, kept string, id string, input_1 string"
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    given = {(r[0], r[5], r[8]): r for r in rows}
+    at = docs
+    for _, stage in P.STAGES[:-1]:
+        at = stage(spark, at, "")
+        assert at.columns[: len(docs.columns)] == docs.columns and [at.schema[c].dataType for c in docs.columns] == [f.dataType for f in docs.schema]
+        for r in at.collect():
+            old = given[r["doc_id"], r["n_words"], r["id"]]
+            assert (r["lang"], r["source"], r["epoch"], r["kept"], r["input_1"]) == (old[2], old[3], old[6], old[7], old[9])
+    assert at.count() > 10 and {r["mix_epoch"] for r in at.collect()} >= {0} and any(r["doc_id"] is None for r in at.collect())
+    assert P.run(spark, f"{tmp_path}/a").count() == at.count() and P.run(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_pipeline_keeps_to_the_budgets_of_leaves(spark, sf_dir):
     import corpus_pipeline as P
 
@@ -463,7 +500,7 @@ def test_first_words(spark):
 
 
 def test_empty_tables(spark, tmp_path):
-    for t, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("pages", "page_id long, url string, html string"), ("embeddings", "vec_id long, embedding array<float>, label int")):
+    for t, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("pages", "page_id long, url string, html string"), ("embeddings", "vec_id long, embedding array<float>, label int"), ("labels", "doc_id long, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{t}.parquet")
     for name, f in queries.QUERIES.items():
         assert f(spark, str(tmp_path)).count() == 0, name
