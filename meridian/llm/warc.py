@@ -13,7 +13,7 @@ other tags, decoding numeric references and the named ones of HTML 4, and closin
 space. Attributes count in double or single quotes or without any, and a tag ends at
 the next ">" or with the page; titles and links are decoded too. Each pattern goes over a
 page once: titles are cut out by their first marks, and attributes are looked for in one
-tag at a time, so that a page of marks that nothing closes takes no longer than another.
+tag at a time (the language in the first html tag), so that a page of marks that nothing closes takes no longer than another.
 
 Cases: a null payload counts as empty and gives both records with empty text; a null URI
 leaves out that header; a null id gives records made from the empty id; repeated rows
@@ -71,11 +71,16 @@ def attributes(html: Column, tag: str, name: str) -> Column:
     return F.filter(F.transform(tags, lambda x: F.regexp_extract(x, ATTRIBUTE % (tag, name), 1)), lambda x: x != "")
 
 
-def title_of(html: Column) -> Column:
-    """What stands between the first title tag and the next end of one; empty without both."""
-    behind = F.get(F.split(html, TITLE[0], 2), 1)
-    own = F.split(F.substring(behind, F.instr(behind, ">") + 1, F.length(behind)), TITLE[1], 2)
-    return F.when(F.contains(behind, F.lit(">")) & (F.size(own) > 1), F.get(own, 0)).otherwise("")
+def with_title(rows: DataFrame, html: str, name: str = "title") -> DataFrame:
+    """rows with what stands between the first title tag of a page and the next end of one; empty without both.
+
+    Each step is a column, so that none is computed again where the next one uses it twice.
+    """
+    at = F.regexp_instr(F.col(html), F.lit(TITLE[0]))
+    rows = rows.withColumn("__from", F.when(at > 0, F.substring(F.col(html), at, F.length(html))).otherwise(""))
+    rows = rows.withColumn("__behind", F.when(F.instr("__from", ">") > 0, F.substring("__from", F.instr("__from", ">") + 1, F.length("__from"))).otherwise(""))
+    rows = rows.withColumn("__end", F.regexp_instr("__behind", F.lit(TITLE[1])))
+    return rows.withColumn(name, F.when(F.col("__end") > 1, F.substring("__behind", F.lit(1), F.col("__end") - 1)).otherwise("")).drop("__from", "__behind", "__end")
 
 
 def text_of(html: Column) -> Column:
@@ -121,11 +126,13 @@ def derive(found: DataFrame) -> DataFrame:
     rest = [F.col(f"`{c}`") for c in found.columns if c not in own and c not in ADDED]
     html = F.make_valid_utf8(F.coalesce(F.col("payload"), F.lit(b"")).cast("string"))
     rows = found.select(*rest, F.col("record_id").alias("refers_to"), "target_uri", "date", F.coalesce("http_header", F.lit("")).alias("__head"), html.alias("__html"), _digest(F.coalesce(F.col("payload"), F.lit(b""))).alias("source_digest"))
-    rows = rows.withColumn("__clean", F.regexp_replace("__html", GONE, " "))
+    rows = with_title(rows.withColumn("__clean", F.regexp_replace("__html", GONE, " ")), "__html", "__title")
+    rows = rows.withColumns({"__tag": F.regexp_extract(F.concat("__html", F.lit(">")), TAG % "html", 0), "__hrefs": attributes(F.col("__clean"), "a", "href")})
+    rows = rows.withColumn("__lang", F.regexp_extract("__tag", ATTRIBUTE % ("html", "lang"), 1))
     bare = lambda x: _line(_decoded(F.regexp_replace(x, QUOTES, "")))
-    links = F.transform(attributes(F.col("__clean"), "a", "href"), lambda x: F.concat(F.lit("outlink: "), bare(x), F.lit(CRLF)))
-    title = F.trim(_line(_decoded(title_of(F.col("__html")))))
-    lang = bare(F.coalesce(F.get(attributes(F.col("__html"), "html", "lang"), 0), F.lit("")))
+    links = F.transform("__hrefs", lambda x: F.concat(F.lit("outlink: "), bare(x), F.lit(CRLF)))
+    title = F.trim(_line(_decoded(F.col("__title"))))
+    lang = bare(F.col("__lang"))
     fields = F.concat(
         F.lit("source-status: "), F.regexp_extract("__head", r"^HTTP/[0-9.]+ ([0-9]{3})", 1), F.lit(CRLF),
         F.regexp_replace(F.regexp_replace("__head", r"^HTTP/[^\r]*\r\n", ""), r"([^\r\n]+)\r\n", "source-header: $1\r\n"),
@@ -178,7 +185,7 @@ WITH names AS (SELECT {names} AS m), p AS (SELECT page_id, url, coalesce(html, '
 t AS (SELECT *, {text} AS body, md5('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')) AS h, 'sha256:' || sha256(html) AS source_digest,
   list_transform({values(f"regexp_replace(html, {q(GONE)}, ' ', 'g')", "a", "href")}, lambda y: 'outlink: ' || {bare("y")} || chr(13) || chr(10)) AS links,
   trim({line(decoded("regexp_extract(html, '(?is)<title" + chr(92) + "b[^>]*>(.*?)</title', 1)"))}, ' ') AS title,
-  {bare(f"coalesce({values('html', 'html', 'lang')}[1], '')")} AS lang FROM p),
+  {bare(f"regexp_extract(regexp_extract(html || '>', {q(TAG % 'html')}), {q(ATTRIBUTE % ('html', 'lang'))}, 1)")} AS lang FROM p),
 m AS (SELECT page_id, url, {uuid("h")} AS refers_to, source_digest, e,
     unnest(['metadata', 'conversion']) AS warc_type, unnest(['application/warc-fields', 'text/plain; charset=UTF-8']) AS content_type,
     unnest(['source-status: 200' || e || 'source-header: Content-Type: text/html; charset=UTF-8' || e || 'source-header: Content-Length: ' || strlen(html) || e

@@ -261,7 +261,8 @@ def test_hostile_pages_take_no_longer(spark):
 
 def test_titles_and_attributes(spark):
     rows = ["<TITLE x='y'>One</Title><title>two</title>", "<title>open", "<title no end </title", "<titled>a</title>", "<title></title>", "<a href='1'><a x=y><A HREF=2 href=3><a data-href=4 href=\"5\"", "<html><html lang=de><html lang=fr>"]
-    got = spark.createDataFrame(enumerate(rows), "i int, h string").select(warc.title_of(F.col("h")).alias("t"), warc.attributes(F.col("h"), "a", "href").alias("a"), warc.attributes(F.col("h"), "html", "lang").alias("l"))
+    got = spark.createDataFrame(enumerate(rows), "i int, h string")
+    got = warc.with_title(got, "h", "t").orderBy("i").select("t", warc.attributes(F.col("h"), "a", "href").alias("a"), warc.attributes(F.col("h"), "html", "lang").alias("l"))
     got = [tuple(r) for r in got.collect()]
     assert [r[0] for r in got] == ["One", "", "", "", "", "", ""] and got[5][1] == ["'1'", "2", '"5"'] and got[6][2] == ["de", "fr"] and not any(r[1] for r in got[:5])
 
