@@ -16,6 +16,11 @@ def analysis(rolls: DataFrame, change: Column | None = None) -> DataFrame:
     """
     change = F.lit(1) if change is None else change
     n = rolls.groupBy("session").agg(F.sum(change).alias("n"), *(F.sum(F.when(F.col("face") == f, change).otherwise(0)).alias(f"f{f}") for f in range(1, 7)))
+    return verdict(n)
+
+
+def verdict(n: DataFrame, *others: str) -> DataFrame:
+    """The verdict over the counts (session, n, f1 to f6) of each session; others: columns to keep."""
     some = F.nullif("n", F.lit(0))
     z = [(F.col(f"f{f}") / some - 1 / 6) / F.sqrt(F.lit(1 / 6) * (5 / 6) / some) for f in range(1, 7)]
     out = n.withColumn("z", F.array(*(F.round(F.abs(x), 6) for x in z)))
@@ -23,7 +28,7 @@ def analysis(rolls: DataFrame, change: Column | None = None) -> DataFrame:
     enough, top = F.col("n") >= 30, F.array_max("z")
     out = out.withColumns({"confidence": F.when(F.col("n") < 30, "low").when(F.col("n") < 60, "medium").otherwise("high"), "max_z": F.when(enough, F.round(top, 2)).otherwise(0.0), "chi": F.when(enough, F.round(chi, 6)).otherwise(0.0)})
     out = out.withColumn("face", F.when(enough, F.array_position("z", top)).otherwise(0).cast("long"))
-    return out.withColumn("loaded", enough & ((top >= LOADED_Z) | (F.col("chi") > LOADED_CHI))).select("session", "n", "confidence", "max_z", "face", "chi", "loaded")
+    return out.withColumn("loaded", enough & ((top >= LOADED_Z) | (F.col("chi") > LOADED_CHI))).select("session", "n", "confidence", "max_z", "face", "chi", "loaded", *others)
 
 
 def running(rolls: DataFrame) -> DataFrame:

@@ -34,9 +34,9 @@ def delete_or_hide(rows: DataFrame, chosen: Column, keep: Column, hidden: str, a
 
 
 def orphans(checks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
-    """Rows without a parent, counted by check (name, child, child key, parent, parent key)."""
-    found = [c.filter(F.col(ck).isNotNull()).join(p, F.col(ck) == F.col(pk), "left_anti").select(F.lit(name).alias("check")) for name, c, ck, p, pk in checks]
-    return reduce(DataFrame.unionByName, found).groupBy("check").agg(F.count("*").alias("violations"))
+    """Rows without a parent, counted by check (name, child, child key, parent, parent key); a check without any has a count of 0."""
+    found = [c.filter(F.col(ck).isNotNull()).join(p, F.col(ck) == F.col(pk), "left_anti").agg(F.lit(name).alias("check"), F.count("*").alias("violations")) for name, c, ck, p, pk in checks]
+    return reduce(DataFrame.unionByName, found)
 
 
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,11 +44,15 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def patched(base: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:
-    """base with the patch's columns where it gives a value; one patch row a key, unknown keys change nothing."""
-    given = [c for c in patch.columns if c not in keys]
-    new = patch.select(*keys, *(F.col(c).alias(f"__{c}") for c in given))
-    return base.join(new, keys, "left").select(*(F.coalesce(f"__{c}", c).alias(c) if c in given else F.col(c) for c in base.columns))
+def patched(base: DataFrame, patch: DataFrame, keys: list[str], given: str | None = None) -> DataFrame:
+    """base with the patch's columns where it gives a value; one patch row a key, unknown keys change nothing.
+
+    given: a column of the patch with the names of the columns that a row sets, also to null; without it a null is no value.
+    """
+    some = [c for c in patch.columns if c not in keys and c != given]
+    new = patch.select(*keys, F.lit(True).alias("__patched"), *(F.col(c).alias(f"__{c}") for c in some), *([F.col(given).alias("__given")] if given else []))
+    sets = lambda c: F.coalesce(F.col("__patched") & F.array_contains("__given", c), F.lit(False)) if given else F.col(f"__{c}").isNotNull()
+    return base.join(new, keys, "left").select(*(F.when(sets(c), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in some else F.col(c) for c in base.columns))
 
 
 def cascade_delete(rows: DataFrame, chosen: Column, key: str, children: list[tuple[DataFrame, str, str | None]]) -> list[DataFrame]:

@@ -62,3 +62,46 @@ def without_orphans(rows: DataFrame, key: list[str], order: str, parents: list[t
     one = lambda read, kept: (F.lit(read).cast("long").alias("read"), F.lit(kept).cast("long").alias("kept"))
     counts = rows.select(*one(1, 0)).union(kept.select(*one(0, 1))).agg(F.sum("read").alias("read"), F.sum("kept").alias("kept"))
     return kept, counts.withColumn("dropped", F.col("read") - F.col("kept"))
+
+
+def versions(log: DataFrame, state: DataFrame, after: int = 0) -> DataFrame:
+    """The ratings after each import of a log that it changes: version, import, player, rating, deviation, volatility, games.
+
+    log: import, event_date and the players of an import (seq, player, faction, placement, wins, losses, draws). Imports are versions 1, 2, ... by
+    event date, then id; state (player, rating, deviation, volatility, games) is that of version after, and only later imports are
+    replayed. In an import every result of a player is rated from the state before it and the last one counts, as in rated(); so an import
+    is one step of a player's fold, a player is one group with a row for each import, and players run in parallel.
+
+    A log that is replayed in the order in which it happens to be stored, from ratings that already hold it, counts twice what it counts and
+    depends on that order; here a replay starts from a version, so it gives the same ratings as the first time.
+    """
+    order = log.select("import", "event_date").groupBy("import").agg(F.min("event_date").alias("event_date"))
+    order = order.withColumn("version", F.row_number().over(Window.orderBy(F.col("event_date").asc_nulls_first(), "import")))  # a row for each import
+    counts = {c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in ("wins", "losses", "draws")}
+    rows = with_names(log).withColumns({"key": F.lower("name"), **counts}).filter("wins + losses + draws > 0")
+    step = rows.groupBy("import", "key").agg(F.max(F.struct("seq", "name", *counts)).alias("s")).select("import", "key", "s.name", *(f"s.{c}" for c in counts))
+    step = step.join(order.filter(F.col("version") > after), "import")
+    known = state.select(F.lower("player").alias("key"), F.col("player").alias("known"), F.col("rating").alias("r"), F.col("deviation").alias("rd"), F.col("volatility").alias("v"), F.col("games").cast("long").alias("had"))
+    step = step.join(known, "key", "left")
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        out, rating, games, name = [], None, 0, None
+        for r in rows.sort_values("version").itertuples(index=False):
+            if rating is None:
+                rating, games, name = (NEW_PLAYER, 0, r.name) if pd.isna(r.r) else ((r.r, r.rd, r.v), int(r.had), r.known)
+            rating = glicko_period(rating, [(*UNKNOWN, s, n) for s, n in ((1.0, r.wins), (0.0, r.losses), (0.5, r.draws)) if n])
+            games += r.wins + r.losses + r.draws
+            out.append((r.version, r.imported, name, *rating, games))
+        return pd.DataFrame(out, columns=["version", "imported", "player", "rating", "deviation", "volatility", "games"])
+
+    kind = log.schema["import"].dataType.simpleString()
+    folded = step.withColumnRenamed("import", "imported").groupBy("key").applyInPandas(fold, f"version int, imported {kind}, player string, rating double, deviation double, volatility double, games long")
+    return folded.withColumnRenamed("imported", "import")
+
+
+def as_of(state: DataFrame, changes: DataFrame, version: int) -> DataFrame:
+    """The state (player, rating, deviation, volatility, games) after a version of the log whose changes versions() gives."""
+    facts = ("rating", "deviation", "volatility", "games")
+    last = changes.filter(F.col("version") <= version).groupBy(F.lower("player").alias("key")).agg(F.max_by(F.struct("player", *facts), "version").alias("s"))
+    both = state.withColumn("key", F.lower("player")).join(last, "key", "full")
+    return both.select(F.coalesce("player", "s.player").alias("player"), *(F.coalesce(f"s.{c}", c).alias(c) for c in facts))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,8 +24,11 @@ def visible(rows: DataFrame, role: str, who: str, allowed: list[str]) -> DataFra
 
 
 def truthy(*values: Column) -> Column:
-    """The first value that is neither null nor 0 nor empty; the last one where there is none."""
-    kept = [F.when((v.cast("string") != "") & ~F.coalesce(v.try_cast("double") == 0, F.lit(False)), v) for v in values[:-1]]
+    """The first value that is neither null nor empty, and no number 0 or NaN; the last one where there is none. The text "0" is a value."""
+    text = lambda v: F.typeof(v) == "string"
+    number = lambda v: F.when(~text(v), v.try_cast("double"))
+    empty = lambda v: F.coalesce(F.when(text(v), v.cast("string") == "").otherwise((number(v) == 0) | F.isnan(number(v))), F.lit(False))
+    kept = [F.when(~empty(v), v) for v in values[:-1]]
     return F.coalesce(*kept, values[-1])
 
 
@@ -50,8 +53,18 @@ def mapped(names: DataFrame, name: str, known: DataFrame, by_hand: dict[str, str
 
 
 def preferred(first: DataFrame, second: DataFrame) -> DataFrame:
-    """All of the first source where it has a row, else the second; one row is read to tell."""
-    return second if first.isEmpty() else first
+    """All of the first source where it has a row, else the second: one plan, in which a subquery of one row lets the second source through."""
+    return first.unionByName(second.where(~first.exists()))
+
+
+def present(rows: DataFrame, name: str = "present") -> DataFrame:
+    """One row that tells whether there are rows; one of them is read."""
+    return rows.select(F.lit(1).alias("__one")).limit(1).agg((F.count("*") > 0).alias(name))
+
+
+def nothing(spark: SparkSession, schema: str) -> DataFrame:
+    """A source without rows, of a schema."""
+    return spark.createDataFrame([], schema)
 
 
 def cached(asked: DataFrame, results: DataFrame, config: list[str]) -> DataFrame:

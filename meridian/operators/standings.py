@@ -14,13 +14,18 @@ def sides(pairings: DataFrame) -> DataFrame:
     return rows.withColumns({"won": F.when(bye, 1).otherwise(F.col("won")).cast("long"), "drew": drew, "vp": F.when(bye, 0).otherwise(F.col("vp")), "vp_against": F.when(bye, 0).otherwise(F.col("vp_against"))}).withColumn("lost", 1 - F.col("won") - F.col("drew"))
 
 
-def standings(pairings: DataFrame) -> DataFrame:
-    """Places by wins, margin, strength of schedule and points; the schedule's strength is the opponents' mean share of wins."""
+def standings(pairings: DataFrame, players: DataFrame | None = None) -> DataFrame:
+    """Places by wins, margin, strength of schedule and points; the schedule's strength is the opponents' mean share of wins.
+
+    players: (event, player) of all who take part, also without a pairing; without it those of the pairings.
+    """
     rows = sides(pairings)
     record = rows.groupBy("event", "player").agg(F.sum("won").alias("wins"), F.sum("lost").alias("losses"), F.sum("drew").alias("draws"), F.sum("vp").alias("vp"), F.sum(F.col("vp") - F.col("vp_against")).alias("margin"), F.count("*").alias("games"))
     met = rows.filter("opponent is not null").select("event", "player", "opponent")
     other = record.select("event", F.col("player").alias("opponent"), (F.col("wins") / F.col("games")).alias("share"))
     strength = met.join(other, ["event", "opponent"]).groupBy("event", "player").agg(F.avg("share").alias("sos"))
+    if players is not None:
+        record = players.select("event", "player").distinct().join(record, ["event", "player"], "left").na.fill(0)
     out = record.join(strength, ["event", "player"], "left").withColumn("sos", F.round(F.coalesce("sos", F.lit(0.0)), 6))
     place = Window.partitionBy("event").orderBy(F.desc("wins"), F.desc("margin"), F.desc("sos"), F.desc("vp"), "player")
     return out.withColumn("place", F.row_number().over(place))

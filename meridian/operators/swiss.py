@@ -54,3 +54,35 @@ def pair(standings: DataFrame, played: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["board", "p1", "p2"]).astype({"p1": "Int64", "p2": "Int64"}).assign(event=group["event"].iloc[0])[["event", "board", "p1", "p2"]]
 
     return rows.groupBy("event").applyInPandas(draw, f"event {rows.schema['event'].dataType.simpleString()}, board int, p1 long, p2 long")
+
+
+#: The missions of a round, and the one of a bye.
+MISSIONS = ("Sweeping Engagement", "Priority Targets", "Scorched Earth", "Search and Destroy", "Take and Hold", "Vital Ground")
+BYE = "BYE"
+
+
+def of_active(pairings: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The pairings that count for players who have not dropped out (dropped: event, player). A result whose first player has is gone; a second one who has is no opponent, but the result stands."""
+    first = pairings.join(dropped.select("event", F.col("player").alias("p1")).distinct(), ["event", "p1"], "left_anti")
+    gone = dropped.select("event", F.col("player").alias("p2"), F.lit(True).alias("__gone")).distinct()
+    return first.join(gone, ["event", "p2"], "left").withColumn("p2", F.when(F.col("__gone").isNull(), F.col("p2"))).select(*pairings.columns)
+
+
+def mission(seed: str, *of: str):
+    """The mission of a round: drawn by a digest of a seed and the round, so that it can be drawn again."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), *of).cast("binary"))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % len(MISSIONS)
+    return F.element_at(F.array(*map(F.lit, MISSIONS)), (place + 1).cast("int"))
+
+
+def next_round(standings: DataFrame, played: DataFrame, rounds: DataFrame, seed: str) -> DataFrame:
+    """The next round of each event: event, round, board, p1, p2, mission, vp1, vp2, result, confirmed.
+
+    standings: of the active players. played: all pairings so far (event, p1, p2). rounds: event and the number of its last round. One mission
+    is drawn for a round's games; the bye's row is at board 0, with no points, its result and confirmed. Games are open.
+    """
+    drawn = pair(standings, played).join(rounds.select("event", (F.col("round") + 1).alias("round")), "event")
+    bye = F.col("p2").isNull()
+    none = lambda kind: F.lit(None).cast(kind)
+    points = F.when(bye, 0).otherwise(none("long"))
+    return drawn.select("event", "round", "board", "p1", "p2", F.when(bye, BYE).otherwise(mission(seed, "event", "round")).alias("mission"), points.alias("vp1"), points.alias("vp2"), F.when(bye, BYE).otherwise(none("string")).alias("result"), bye.alias("confirmed"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -91,8 +92,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """What a stream gives for the input there is, as a table in the shared folder; of each key (if any) the latest batch's row.
+def in_batches(rows: DataFrame, batches: list) -> DataFrame:
+    """A table's rows as a stream, a batch for each of the conditions in turn; the files are written to the shared folder, one set after the other."""
+    spark = rows.sparkSession
+    at = shared_folder(spark, "batches")
+    for k, where in enumerate(batches):
+        # A file for each batch, as a batch is a file of the stream; sources of that kind order files by their time.
+        rows.filter(where).repartition(1).write.parquet(f"{at}/{k:06d}")
+        time.sleep(0.01)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/*")
+
+
+def drained(stream: DataFrame, mode: str, keys: list[str] | None = None, keep_batch: bool = False) -> DataFrame:
+    """What a stream gives for the input there is, as a table in the shared folder; of each key (if any) the latest batch's row. keep_batch: with the number of each row's batch.
 
     Batches are files by batch id, so one that runs again after a failure replaces its own.
     """
@@ -103,6 +115,8 @@ def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> Data
     write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/rows/batch={n}")
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     rows = spark.read.option("basePath", f"{at}/rows").parquet(f"{at}/rows")
+    if keep_batch:
+        return rows
     if not keys:
         return rows.drop("batch")
     latest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
