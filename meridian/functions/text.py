@@ -28,8 +28,31 @@ FACTION_WRAPS = [(r"^Imperium\s+", ""), (r"^Chaos\s+", ""), (r"^Aeldari\s+", "")
 
 
 def replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
-    """One replacement after the other; {1} stands for the first group, {2} for the second."""
-    return reduce(lambda x, s: F.regexp_replace(x, s[0], re.sub(r"\{(\d)\}", r"$\1", s[1])), steps, text)
+    """One replacement after the other; {1} stands for the first group, {2} for the second.
+
+    A pattern of a tag is looked for before the last mark that can end it: there every opening one finds an end, so that no text is
+    read again from each opening mark without one. The end of a pair has to be in the line, and so lines are gone through one by one.
+    """
+
+    def step(x: Column, s: tuple[str, str]) -> Column:
+        to = re.sub(r"\{(\d)\}", r"$\1", s[1])
+        pair = PAIR.search(s[0])
+        if not pair and "[^>]" not in s[0]:
+            return F.regexp_replace(x, s[0], to)
+        some = lambda v: _up_to_last(v, pair[1] if pair else ">", s[0], to)
+        if pair and "[^>]" not in s[0]:
+            return F.array_join(F.transform(F.split(x, "\n", -1), some), "\n")
+        return F.get(F.transform(F.array(x), some), 0)  # names x, which is used several times
+
+    return reduce(step, steps, text)
+
+
+PAIR = re.compile(r"\(\[\^\\n\]\*\?\)(.+)$")
+
+
+def _up_to_last(text: Column, closing: str, pattern: str, to: str) -> Column:
+    head = F.regexp_extract(text, f"(?is)^.*{closing}", 0)
+    return F.when(~text.rlike(f"(?i){closing}"), text).otherwise(F.concat(F.regexp_replace(head, pattern, to), F.substring(text, F.length(head) + 1, F.length(text))))
 
 
 def replaced_sql(text: str, steps: list[tuple[str, str]]) -> str:

@@ -36,20 +36,28 @@ def rated(players: DataFrame, state: DataFrame, period: str) -> tuple[DataFrame,
     start = dict(zip(("before", "rd_before", "v_before", "games_before"), (*NEW_PLAYER, 0), strict=True))
     rows = rows.withColumns({c: F.coalesce(c, F.lit(x)) for c, x in start.items()} | {c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in ("wins", "losses", "draws")})
     rows = rows.filter("wins + losses + draws > 0").select("seq", "key", "name", *start, "wins", "losses", "draws")
+    history = _rated(rows).withColumn("period", F.lit(period)).withColumn("delta", F.col("rating") - F.col("before"))
+    # Only a player's last result makes the state, so the others aren't rated for it.
+    facts = ("seq", "name", *start, "wins", "losses", "draws")
+    last = rows.groupBy("key").agg(F.max(F.struct(*facts)).alias("s")).select("key", *(f"s.{c}" for c in facts))
+    new = _rated(last).select("key", "name", *(F.col(c).alias(f"__{c}") for c in ("rating", "deviation", "volatility")), (F.col("games_before") + F.col("wins") + F.col("losses") + F.col("draws")).alias("__games"))
+    both = state.withColumn("key", F.lower("player")).join(new, "key", "full")
+    pick = lambda c: F.coalesce(f"__{c}", c).alias(c)
+    kept = both.select(F.coalesce("player", "name").alias("player"), *(pick(c) for c in ("rating", "deviation", "volatility", "games")), F.when(F.col("__rating").isNotNull(), F.lit(period)).otherwise(F.col("period")).alias("period"))
+    return kept, history.drop("key")
+
+
+def _rated(rows: DataFrame) -> DataFrame:
+    """rows with rating, deviation and volatility after their games; alike states and counts are rated once."""
+    facts = ["before", "rd_before", "v_before", "wins", "losses", "draws"]
 
     def rate(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in it:
             after = [glicko_period((r.before, r.rd_before, r.v_before), [(*UNKNOWN, s, n) for s, n in ((1.0, r.wins), (0.0, r.losses), (0.5, r.draws)) if n]) for r in part.itertuples()]
-            yield part.assign(rating=[x[0] for x in after], deviation=[x[1] for x in after], volatility=[x[2] for x in after])[["seq", "key", "name", "before", "rd_before", "rating", "deviation", "volatility", "games_before", "wins", "losses", "draws"]]
+            yield part.assign(rating=[x[0] for x in after], deviation=[x[1] for x in after], volatility=[x[2] for x in after])
 
-    schema = "seq long, key string, name string, before double, rd_before double, rating double, deviation double, volatility double, games_before long, wins int, losses int, draws int"
-    history = rows.mapInPandas(rate, schema).withColumn("period", F.lit(period)).withColumn("delta", F.col("rating") - F.col("before"))
-    last = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq")))
-    new = history.withColumn("n", last).filter("n = 1").select("key", "name", *(F.col(c).alias(f"__{c}") for c in ("rating", "deviation", "volatility")), (F.col("games_before") + F.col("wins") + F.col("losses") + F.col("draws")).alias("__games"))
-    both = state.withColumn("key", F.lower("player")).join(new, "key", "full")
-    pick = lambda c: F.coalesce(f"__{c}", c).alias(c)
-    kept = both.select(F.coalesce("player", "name").alias("player"), *(pick(c) for c in ("rating", "deviation", "volatility", "games")), F.when(F.col("__rating").isNotNull(), F.lit(period)).otherwise(F.col("period")).alias("period"))
-    return kept, history.drop("key")
+    schema = "before double, rd_before double, v_before double, wins int, losses int, draws int, rating double, deviation double, volatility double"
+    return rows.join(rows.select(*facts).distinct().mapInPandas(rate, schema), facts)
 
 
 def without_orphans(rows: DataFrame, key: list[str], order: str, parents: list[tuple[str, DataFrame, str]]) -> tuple[DataFrame, DataFrame]:

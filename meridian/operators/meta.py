@@ -18,8 +18,10 @@ def rates(entries: DataFrame, keys: list[str], not_blank: str) -> DataFrame:
 
     Keys are names of factions or detachments. The window is over one row for each of them; a total by itself would read all entries again.
     """
-    rows = entries.withColumns({k: trimmed(k) for k in keys}).filter(F.length(trimmed(not_blank)) > 0)
-    out = rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("wins", "losses", "draws")), F.count("*").alias("players"))
+    # Names are trimmed once for each spelling, not for each row.
+    spelled = entries.groupBy(*dict.fromkeys([*keys, not_blank])).agg(*(F.sum(c).alias(c) for c in ("wins", "losses", "draws")), F.count("*").alias("players"))
+    rows = spelled.filter(F.length(trimmed(not_blank)) > 0).withColumns({k: trimmed(k) for k in keys})
+    out = rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("wins", "losses", "draws", "players")))
     out = out.withColumn("games", F.col("wins") + F.col("losses") + F.col("draws")).withColumn("win_rate", F.round(win_rate(), 6))
     return out.withColumn("representation", F.round(F.col("players") / F.sum("players").over(Window.partitionBy(F.lit(0))), 6))
 
@@ -31,7 +33,8 @@ def week(day: Column) -> Column:
 
 def timeline(entries: DataFrame) -> DataFrame:
     """Weekly win rates; weeks begin on Monday. A text that is no date is its own week."""
-    rows = entries.filter(F.length(trimmed("faction")) > 0).withColumn("week", week(F.col("event_date")))
+    spelled = entries.groupBy("event_date", "faction").agg(*(F.sum(c).alias(c) for c in ("wins", "losses", "draws")))
+    rows = spelled.filter(F.length(trimmed("faction")) > 0).withColumn("week", week(F.col("event_date")))
     out = rows.groupBy("week", trimmed("faction").alias("faction")).agg(*(F.sum(c).alias(c) for c in ("wins", "losses", "draws")))
     return out.withColumn("games", F.col("wins") + F.col("losses") + F.col("draws")).withColumn("win_rate", F.round(win_rate(), 6))
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.operators import dice, dml, meta, ratings, resolve, standings
+from meridian.operators import dice, dml, meta, ratings, resolve, rosters, standings
 from meridian.plans import folds
 from meridian.plans.registry import query
 from meridian.sources.views import ENTRIES_SQL, PAIRINGS_SQL, ROLLS_SQL, entries, pairings, rolls, table
@@ -270,17 +269,10 @@ def haversine_sort(spark: SparkSession, d: str) -> DataFrame:
 @query("suggestions_better_cheaper", """SELECT unit, better, CAST(rank AS INT) AS rank FROM (SELECT a.p_partkey AS unit, b.p_partkey AS better, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_size DESC, b.p_partkey) AS rank
 FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND b.p_size > a.p_size AND b.p_retailprice <= a.p_retailprice) WHERE rank <= 3""")
 def suggestions_better_cheaper(spark: SparkSession, d: str) -> DataFrame:
-    """Up to three larger units of the same kind that cost no more: in order of price, each group keeps the three largest so far."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        best, out = [], []
-        for _, level in rows.groupby("price", sort=True):
-            best = sorted([*best, *((-r.size_, r.unit) for r in level.itertuples())])[:3]
-            out += [(r.unit, u, k) for r in level.itertuples() for k, (size, u) in enumerate(best, 1) if -size > r.size_]
-        return pd.DataFrame(out, columns=["unit", "better", "rank"])
-
-    rows = table(spark, d, "part").select("p_type", "p_brand", F.col("p_partkey").alias("unit"), F.col("p_size").alias("size_"), F.col("p_retailprice").alias("price"))
-    return rows.groupBy("p_type", "p_brand").applyInPandas(fold, "unit long, better long, rank int")
+    """Up to three larger units of the same kind that cost no more."""
+    kind = F.lit(0).alias("tier"), F.lit(1).alias("under"), F.col("p_size").cast("double").alias("floor")
+    rows = table(spark, d, "part").select("p_type", "p_brand", F.col("p_partkey").alias("unit"), F.col("p_retailprice").alias("cost"), F.col("p_size").alias("merit"), *kind)
+    return rosters.better(rows, ["p_type", "p_brand"]).withColumnRenamed("place", "rank")
 
 
 @query("elo_fold", folds.ELO)

@@ -87,12 +87,12 @@ def stream_refusals(spark: SparkSession, d: str) -> DataFrame:
     return sessions.outputs(_actions(spark, d))[1]
 
 
-@query("stream_weeks", """WITH e AS (SELECT *, CAST(date_trunc('week', ts) AS DATE) AS week FROM events WHERE NOT (event_id % 40 = 7 AND ts < TIMESTAMP '2024-01-09'))
+@query("stream_weeks", """WITH e AS (SELECT *, CAST(date_trunc('week', ts) AS DATE) AS week FROM events WHERE NOT (event_id % 40 = 7 AND ts < TIMESTAMP '2024-01-08'))
 SELECT strftime(week, '%Y-%m-%d') AS week, event_type, count(*) AS n FROM e WHERE week + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2""")
 def stream_weeks(spark: SparkSession, d: str) -> DataFrame:
     """Weeks that are over. Some events of the third week come a batch later, in time; some of the first one at the end, too late."""
     day = lambda x: F.lit(x).cast("timestamp_ntz")
-    late = (F.col("event_id") % 40 == 7) & (F.col("ts") < day("2024-01-09"))
+    late = (F.col("event_id") % 40 == 7) & (F.col("ts") < day("2024-01-08"))
     waits = (F.col("event_id") % 40 == 11) & (F.col("ts") >= day("2024-01-15"))
     batch = F.when(late, 3).when(F.col("ts") < day("2024-01-09"), 0).when((F.col("ts") < day("2024-01-16")) & ~waits, 1).when(F.col("ts") < day("2024-01-24"), 2).otherwise(3)
     stream = in_batches(table(spark, d, "events"), [batch == k for k in range(4)])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from meridian.operators import dml
 
 BUCKET = "bucket"
-DATA, CHANGES = "data", "changes"
+DATA, CHANGES, SCHEMA = "data", "changes", "schema"
 
 
 class Table:
@@ -40,12 +40,18 @@ class Table:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
     def create(self, rows: DataFrame) -> Table:
+        rows.limit(0).write.parquet(f"{self.path}/{SCHEMA}")
         rows.withColumn(BUCKET, self.bucket()).repartition(self.buckets, BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/{DATA}")
         return self
 
+    def _rows(self, *at: str) -> DataFrame:
+        """The rows of a folder with their buckets; a table without rows still has its columns."""
+        schema = self.spark.read.parquet(f"{self.path}/{SCHEMA}").schema.add(BUCKET, "integer")
+        return self.spark.read.schema(schema).parquet("/".join((self.path, *at)))
+
     def read(self) -> DataFrame:
         """The rows after all changes that are done."""
-        return self.spark.read.parquet(f"{self.path}/{DATA}").drop(BUCKET)
+        return self._rows(DATA).drop(BUCKET)
 
     def change(self, name: str, touched: DataFrame, changed: Callable[[DataFrame], DataFrame]) -> bool:
         """Rewrites the buckets of the keys in touched, and no others, by changed. False if it was done before."""
@@ -54,7 +60,7 @@ class Table:
         if not self._marked(name, "prepared"):
             hit = touched.select(self.bucket().alias(BUCKET)).distinct().repartition(1)  # at most as many rows as there are buckets
             numbers = sorted(r[BUCKET] for r in hit.collect())
-            held = self.spark.read.parquet(f"{self.path}/{DATA}").filter(F.col(BUCKET).isin(numbers))
+            held = self._rows(DATA).filter(F.col(BUCKET).isin(numbers))
             rows = changed(held.drop(BUCKET)).withColumn(BUCKET, self.bucket())
             rows.repartition(max(1, len(numbers)), BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/{CHANGES}/{name}/rows")
             # A bucket that is left without rows has no partition among the new ones.
@@ -65,8 +71,7 @@ class Table:
         return True
 
     def _replace(self, name: str) -> None:
-        schema = self.spark.read.parquet(f"{self.path}/{DATA}").schema
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{CHANGES}/{name}/rows")
+        rows = self._rows(CHANGES, name, "rows")
         full = {r[BUCKET] for r in rows.select(BUCKET).distinct().collect()}
         rows.repartition(max(1, len(full)), BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(f"{self.path}/{DATA}")
         for r in self.spark.read.parquet(f"{self.path}/{CHANGES}/{name}/buckets").collect():

@@ -1,7 +1,11 @@
 """Lookups, rosters and imports on small awkward rows; their queries run against SQL in test_queries."""
 
+import random
+import time
+
 import pytest
 
+from meridian.functions import text
 from meridian.functions.white import trimmed
 from meridian.operators import imports, lookups, meta, rosters
 from meridian.operators.ratings import NEW_PLAYER, UNKNOWN, glicko_period
@@ -67,3 +71,39 @@ def test_week_and_white_space(spark):
     df = spark.createDataFrame([("2024-05-08",), ("May",), (None,), ("",)], "x string")
     assert [r["w"] for r in df.select(meta.week(F.col("x")).alias("w")).collect()] == ["2024-05-06", "May", None, ""]
     assert spark.range(1).select(trimmed(F.lit(" \t a b\xa0﻿\n")).alias("t")).first()["t"] == "a b"
+
+
+def test_suggestions_over_ranges_of_a_large_group(spark):
+    """A group that is cut into several ranges gives what pairs of all its units give."""
+    r = random.Random(2)
+    units = [(f"k{min(2, r.randrange(9))}", i, r.choice([*"SABCD", None]), r.randrange(-3, 40), r.choice([None, *map(float, range(5))])) for i in range(600)] + [("k0", 900, "S", None, 1.0), (None, 901, "S", 1, 9.0), (None, 902, "D", 5, 1.0)]
+    df = spark.createDataFrame(units, "kind string, unit long, grade string, points int, contribution double")
+    want = []
+    for kind, unit, grade, points, _ in units:
+        if points is not None:
+            own = "SABCD".index(grade) if grade else 5
+            found = [(-(c if c is not None else float("-inf")), u) for k, u, g, p, c in units if k == kind and u != unit and g and p is not None and 0 < p <= points and "SABCD".index(g) < own]
+            want += [(unit, u, place) for place, (_, u) in enumerate(sorted(found)[:3], 1)]
+    assert sorted(map(tuple, rosters.suggestions(df, ["kind"]).collect())) == sorted(want)
+    assert rosters.suggestions(df.limit(0), ["kind"]).count() == 0
+
+
+def test_results_alike_are_rated_once_and_all_have_a_history(spark):
+    rows = spark.createDataFrame([(1, "Ann", "f", 1, 1, 0, 0), (2, "ann", "f", 1, 1, 0, 0), (3, "Bo", "f", 1, 1, 0, 0), (4, "Bo", "f", 1, 0, 2, 0), (5, "Cy", "f", 1, 0, 0, 0)], "seq long, player string, faction string, placement int, wins int, losses int, draws int")
+    state = spark.createDataFrame([("Ann", 1500.0, 350.0, 0.06, 2, "p")], "player string, rating double, deviation double, volatility double, games int, period string")
+    kept, history = imports.rated(rows, state, "q")
+    got = {r["player"]: r for r in kept.collect()}
+    assert set(got) == {"Ann", "Bo"} and got["Ann"]["games"] == 3 and got["Bo"]["games"] == 2 and got["Bo"]["rating"] < 1500 < got["Ann"]["rating"]
+    assert sorted(r["seq"] for r in history.collect()) == [1, 2, 3, 4] and len({r["rating"] for r in history.collect()}) == 2
+
+
+def test_markup_without_ends_takes_no_longer(spark):
+    """A megabyte of opening tags: seconds, not hours; pairs within a line are as before."""
+    unit = ["<b>", "<span ", "<", "<li", "<i>x", "</b>"]
+    pages = spark.createDataFrame([((u * (1 << 20))[: 1 << 20],) for u in unit], "h string").repartition(4)
+    began = time.time()
+    assert pages.select(F.sum(F.length(text.html_to_markdown(F.col("h"))) + F.length(text.html_to_text(F.col("h"))))).first()[0] > 0
+    assert time.time() - began < 60
+    cases = [("<b>a</b> <b>b\n</b>c <B>d</B> <b>e", "**a** b\nc **d** e"), ('<span class="kwb">K</span><span x>y</span> <span', "**K**y <span"), ("a<br/>b<i>c</i><em>d</em>", "a\nb*c**d*")]
+    got = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, h string").orderBy("i").select(text.html_to_markdown(F.col("h"))).collect()
+    assert [r[0] for r in got] == [b for _, b in cases]
