@@ -23,6 +23,13 @@ def visible(rows: DataFrame, role: str, who: str, allowed: list[str]) -> DataFra
     return rows.filter(F.lit(who.strip().lower() in {x.strip().lower() for x in allowed}) | (F.col(role) == "public"))
 
 
+def owned(asked: DataFrame, rows: DataFrame, on: dict[str, str]) -> DataFrame:
+    """asked with found and the rest of the row whose id and owner are those asked for (asked's column: rows' column); rows has an id once."""
+    own = rows.select(*(F.col(b).alias(f"__{b}") for b in on.values()), *(c for c in rows.columns if c not in on.values()), F.lit(True).alias("__found"))
+    same = reduce(lambda x, y: x & y, (asked[a] == own[f"__{b}"] for a, b in on.items()))
+    return asked.join(own, same, "left").withColumn("found", F.col("__found").isNotNull()).drop("__found", *(f"__{b}" for b in on.values()))
+
+
 def truthy(*values: Column) -> Column:
     """The first value that is neither null nor empty, and no number 0 or NaN; the last one where there is none. The text "0" is a value."""
     text = lambda v: F.typeof(v) == "string"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridian.operators import dml, ratings, resolve
-from meridian.plans import catalog, combat, files, flows, registry, relational, rosters, stateful, summaries, texts  # noqa: F401  (the others fill the registry)
+from meridian.plans import cases, catalog, combat, files, flows, registry, relational, rosters, stateful, summaries, texts  # noqa: F401  (the others fill the registry)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -2,10 +2,12 @@
 
 import random
 import time
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 
 from meridian.functions import text
+from meridian.functions.numbers import to_fixed
 from meridian.functions.white import trimmed
 from meridian.operators import imports, lookups, meta, rosters
 from meridian.operators.ratings import NEW_PLAYER, UNKNOWN, glicko_period
@@ -107,3 +109,16 @@ def test_markup_without_ends_takes_no_longer(spark):
     cases = [("<b>a</b> <b>b\n</b>c <B>d</B> <b>e", "**a** b\nc **d** e"), ('<span class="kwb">K</span><span x>y</span> <span', "**K**y <span"), ("a<br/>b<i>c</i><em>d</em>", "a\nb*c**d*")]
     got = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, h string").orderBy("i").select(text.html_to_markdown(F.col("h"))).collect()
     assert [r[0] for r in got] == [b for _, b in cases]
+
+
+def test_fixed_digits_go_by_the_exact_value(spark):
+    r = random.Random(1)
+    values = [1.00005, 1.00015, 0.00005, 2.5, 0.03125, -1.00005, -0.03125, 0.0, 123456.78905, 1e-9] + [r.uniform(-1e6, 1e6) for _ in range(300)] + [round(r.uniform(0, 100), 5) for _ in range(300)]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(to_fixed(F.col("v"))).collect()
+    assert [r[0] for r in got] == [float(Decimal(v).quantize(Decimal("0.0001"), ROUND_HALF_UP)) for v in values]
+
+
+def test_owned(spark):
+    rows = spark.createDataFrame([(1, 10, "a"), (2, 20, "b")], "id int, owner int, v string")
+    asked = spark.createDataFrame([(1, 10), (1, 20), (3, 10), (None, 10)], "id int, me int")
+    assert {(r["id"], r["me"], r["found"], r["v"]) for r in lookups.owned(asked, rows, {"id": "id", "me": "owner"}).collect()} == {(1, 10, True, "a"), (1, 20, False, None), (3, 10, False, None), (None, 10, False, None)}
