@@ -278,14 +278,3 @@ def search(index: Index, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
     each = looked_up(asked.select("id", mark).distinct(), facts.select("mark", "hits"), "mark", hot)
     rows = each.select(F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("hits", lambda h: h.id != F.col("id")), 1, k)))
     return rows.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.id").alias("vec_id"), (-F.col("col.far")).alias("score"))
-
-
-def exact(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The same rows by brute force over small inputs, to measure recall against."""
-    a, b = _usable(queries, id_col, vector_col), _usable(vectors, id_col, vector_col)
-    dot = F.aggregate(F.zip_with("a.vector", "b.vector", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    pairs = a.alias("a").join(F.broadcast(b.alias("b")), F.expr("a.dim = b.dim and a.id <> b.id"))
-    scored = pairs.select(F.col("a.id").alias("query_id"), F.col("b.id").alias("vec_id"), (dot / (length("a.vector") * length("b.vector"))).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
