@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridian.functions import parse, text
-from meridian.functions.white import trimmed
+from meridian.functions.white import WHITE, trimmed
 from meridian.operators import imports, lookups, meta, rosters
 from meridian.plans import folds
 from meridian.plans.registry import query
@@ -238,20 +238,30 @@ def distinct_modifiers(spark: SparkSession, d: str) -> DataFrame:
 _TEXT_DATES = "CASE o_orderkey % 4 WHEN 0 THEN 'soon' WHEN 1 THEN '2024-13-45' WHEN 2 THEN '' ELSE {day} END"
 
 
-@query("faction_prefix", "SELECT n_nationkey, n_name AS faction FROM nation")
+_ALLIED = "CASE n_nationkey % 6 WHEN 0 THEN concat('Imperium - ', n_name) WHEN 1 THEN concat('Chaos-', n_name) WHEN 2 THEN concat('Imperium', n_name) WHEN 3 THEN concat('chaos - ', n_name) WHEN 4 THEN concat(n_name, ' Chaos - x') ELSE n_name END"
+
+
+@query("faction_prefix", rf"SELECT n_nationkey, regexp_replace({_ALLIED}, '^(Imperium|Chaos)\s*-\s*', '') AS faction FROM nation")
 def faction_prefix(spark: SparkSession, d: str) -> DataFrame:
-    made = F.element_at(F.array(F.lit("Imperium - "), F.lit("Chaos-"), F.lit("")), (F.col("n_nationkey") % 3 + 1).cast("int"))
-    return table(spark, d, "nation").select("n_nationkey", text.faction_prefix(F.concat(made, "n_name")).alias("faction"))
+    """An alliance and a dash before the name go; without the dash, in small letters or further on they stay."""
+    return table(spark, d, "nation").select("n_nationkey", text.faction_prefix(F.expr(_ALLIED)).alias("faction"))
 
 
-@query("white_space", "SELECT c_custkey, c_name AS name FROM customer")
+@query("white_space", f"SELECT c_custkey, trim(CASE c_custkey % 4 WHEN 0 THEN chr(9) || chr(13) || chr(10) || ' ' || chr(160) || c_name WHEN 1 THEN c_name || chr(12288) || chr(65279) || ' ' || chr(8203) WHEN 2 THEN chr(8239) || chr(9) ELSE c_name || chr(9) || chr(160) || c_mktsegment END, concat({', '.join(f'chr({ord(c)})' for c in WHITE)})) AS name FROM customer")
 def white_space(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey", trimmed(F.concat(F.lit("\t\r\n \xa0"), "c_name", F.lit("\u3000\ufeff "))).alias("name"))
+    """White space of every kind at the ends goes, within a text it stays; a zero-width space is none."""
+    k, name = F.col("c_custkey") % 4, F.col("c_name")
+    made = F.when(k == 0, F.concat(F.lit("\t\r\n \xa0"), name)).when(k == 1, F.concat(name, F.lit("\u3000\ufeff \u200b"))).when(k == 2, F.lit("\u202f\t")).otherwise(F.concat(name, F.lit("\t\xa0"), "c_mktsegment"))
+    return table(spark, d, "customer").select("c_custkey", trimmed(made).alias("name"))
+
 
+_ARMY = "CASE p_partkey % 6 WHEN 0 THEN concat('Army{n}Detachment:{n}  ', p_type, '{n}Units') WHEN 1 THEN concat('+ DETACHMENT: ', p_type, '  ') WHEN 2 THEN concat('Army{n}-- ', p_type, ' Detachment --{n}') WHEN 3 THEN concat('no detachment: ', p_type) WHEN 4 THEN concat('-- First Detachment --{n}detachment: ', p_type) ELSE 'Detachment:' END"
 
-@query("detachment_on_next_line", "SELECT p_partkey, p_type AS detachment FROM part")
+
+@query("detachment_on_next_line", "WITH t AS (SELECT p_partkey, {} AS x FROM part) SELECT p_partkey, coalesce({}) AS detachment FROM t".format(_ARMY.replace("{n}", "' || chr(10) || '"), ", ".join(f"nullif(trim(regexp_extract(x, '{p}', 1)), '')" for p in text.DETACHMENT)))
 def detachment_on_next_line(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", text.detachment(F.concat(F.lit("Army\nDetachment:\n  "), "p_type", F.lit("\nUnits"))).alias("detachment"))
+    """Names of detachments in the lines' several forms, also on the line below; the first form goes before the second."""
+    return table(spark, d, "part").select("p_partkey", text.detachment(F.expr(_ARMY.replace("{n}", r"\n"))).alias("detachment"))
 
 
 @query("points_of_text", "SELECT p_partkey, CASE p_partkey % 3 WHEN 2 THEN 0 ELSE p_size END AS points FROM part")
@@ -283,13 +293,14 @@ def joined_keys(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("key", F.substring("key", F.lit(1), at - 1).alias("a"), F.substring("key", at + 2, F.length("key")).alias("b"), "n")
 
 
-@query("data_urls", "SELECT p_partkey, p_name AS name FROM part")
+_PACKED = "CASE p_partkey % 4 WHEN 0 THEN concat('data:image/png;base64,', {b}) WHEN 1 THEN concat('data:text/plain;charset=utf-8;base64,', {b}) WHEN 2 THEN {b} END"
+
+
+@query("data_urls", "SELECT p_partkey, decode(from_base64(regexp_replace({}, '^data:[^,]*;base64,', ''))) AS name FROM part".format(_PACKED.format(b="base64(encode(p_name))")))
 def data_urls(spark: SparkSession, d: str) -> DataFrame:
-    """Contents of data URLs, with or without their prefix."""
-    packed = F.base64(F.encode("p_name", "UTF-8"))
-    url = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("data:image/png;base64,"), packed)).otherwise(packed)
-    rows = table(spark, d, "part").select("p_partkey", url.alias("url"))
-    return rows.select("p_partkey", F.decode(F.unbase64(F.regexp_replace("url", r"^data:[^,]*;base64,", "")), "UTF-8").alias("name"))
+    """Contents of data URLs of any kind, and of texts without a prefix; null stays."""
+    url = F.expr(_PACKED.format(b="base64(encode(p_name, 'UTF-8'))"))
+    return table(spark, d, "part").select("p_partkey", F.decode(F.unbase64(F.regexp_replace(url, r"^data:[^,]*;base64,", "")), "UTF-8").alias("name"))
 
 
 @query("range_checks", "SELECT 'quantity' AS check, count(*) FILTER (NOT l_quantity BETWEEN 1 AND 40) AS violations FROM lineitem UNION ALL SELECT 'flag', count(*) FILTER (l_returnflag NOT IN ('A', 'N')) FROM lineitem")
