@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from meridian.llm import _text as T
 from meridian.llm._cache import IdCache
-from meridian.llm._io import hot_keys, looked_up, partitions
+from meridian.llm._io import hot_keys, looked_up, partitions, written
 from meridian.llm.byte_bpe import slices
 
 SPAN, MEAN, SHORTEST, LONGEST = 16, 512, 32, 4096
@@ -353,11 +353,12 @@ def verify_store(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files. Chunks stay where they are; sizes and checksums go to the recipes."""
     chunks, recipes = _read(spark, folder)
     width, pieces = _checked_head(spark, folder, recipes)
-    facts = lambda x: x.mapInArrow(lambda it: _checked(it, width), "digest binary, size int, crc long")
+    # Every chunk is read and hashed once; what is known of it then is a few bytes.
+    facts = written(chunks.mapInArrow(lambda it: _checked(it, width), "digest binary, size int, crc long"), "chunk-facts")
     steps = recipes.select("start", F.posexplode("chunks").alias("seq", "digest"))
     # A chunk that is in very many documents is not gathered.
     hot = hot_keys(steps.groupBy("digest").agg(F.count("*").alias("rows")), "digest", pieces)
-    found = looked_up(steps, facts(chunks), "digest", hot, facts(chunks.join(F.broadcast(hot), "digest").select("digest", "data")))
+    found = looked_up(steps, facts, "digest", hot)
     known = found.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "size", "crc"))).alias("found"))
     whole = recipes.select("doc_id", "start", "n_tokens", "root").join(known, "start", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<seq:int,digest:binary,size:int,crc:bigint>>")))
     return whole.select("doc_id", "start", "n_tokens", "root", "found").mapInArrow(_verified, "doc_id long, start long, n_tokens long, ids_crc32 long")

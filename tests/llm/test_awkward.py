@@ -126,6 +126,14 @@ def test_language_id(spark):
     assert set(language_id.fit(many, fit_rows=20).langs) == {"de", "en", "fr"}
 
 
+def test_ties_between_languages_go_to_the_first_in_order(spark):
+    rows = [(i, f"same words in both {chr(97 + i % 5)}", lang) for i, lang in enumerate(["xx", "aa", "mm"] * 30)]
+    df = spark.createDataFrame([(i % 30, t, lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+    twice = df.select("doc_id", F.lit("just the same text").alias("text"), "lang")
+    got = language_id.predict(twice, language_id.fit(twice)).collect()
+    assert {(r["lang_pred"], round(r["score"], 4)) for r in got} == {("aa", 1.0)}
+
+
 def test_nearest_centroids_by_brute_force(spark, sf_dir):
     """Cosines with the centroids from n-grams counted one by one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
