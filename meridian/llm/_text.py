@@ -23,6 +23,9 @@ _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+NO_LETTER = np.zeros(256, bool)  # ASCII without letters; all bytes of other characters belong to words
+NO_LETTER[:0x80] = True
+NO_LETTER[0x41:0x5B] = NO_LETTER[0x61:0x7B] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -224,3 +227,32 @@ def to_strings(buf: np.ndarray, off: np.ndarray) -> pa.Array:
 
 def to_binary(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
+
+
+def pieces(buf: np.ndarray, off: np.ndarray, block: int, apart: np.ndarray = NO_LETTER):
+    """Blocks of whole tokens: (first document, offsets of the pieces). They are whole documents, or a part of one that is longer than a block."""
+    doc, at, n = 0, 0, len(off) - 1
+    while doc < n:
+        cuts, first, part = [at], doc, at > off[doc]
+        while doc < n and off[doc + 1] - cuts[0] <= block and not (part and len(cuts) == 2):
+            cuts.append(int(off[doc + 1]))
+            doc += 1
+        if len(cuts) == 1:  # longer than a block: cut between two tokens
+            end, size = int(off[doc + 1]), block
+            while True:
+                gaps = np.flatnonzero(apart[buf[at + size // 2 : min(end, at + size)]])
+                if len(gaps) or at + size >= end:
+                    break
+                size *= 2
+            cut = at + size // 2 + int(gaps[-1]) + 1 if at + size < end else end
+            cuts.append(cut)
+            doc += cut == end
+        at = cuts[-1]
+        yield first, np.array(cuts, np.int64)
+
+
+def spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """buf[start:end] of each span as strings, without Python objects."""
+    size = end - start
+    off = np.r_[0, np.cumsum(size)]
+    return to_strings(buf[np.repeat(start - off[:-1], size) + np.arange(off[-1])], off)

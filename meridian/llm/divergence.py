@@ -34,10 +34,7 @@ from pyspark.sql import functions as F
 from meridian.llm import _text as T
 from meridian.llm._io import hot_keys, looked_up, partitions, written
 
-BLOCK, CHUNK, SPAN, MIN_DOCS, TOP, SLICE = 32, 4096, 64, 3, 200, 8 << 20
-APART = np.zeros(256, bool)
-APART[:0x80] = True
-APART[0x41:0x5B] = APART[0x61:0x7B] = False
+BLOCK, CHUNK, SPAN, MIN_DOCS, TOP, SLICE = 32, 4096, 64, 3, 200, 4 << 20
 GROUP = ["lang", "source"]
 
 
@@ -46,28 +43,34 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
 
     def counted(it):
+        """Occurrences and documents by group and term of one block of texts at a time; documents of a text that goes on in the next block come with its end."""
         for batch in it:
             buf, off = T.string_buffers(batch.column(2))
             names: dict = {}
             group = np.array([names.setdefault(x, len(names)) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
-            keys = list(names)
-            i = 0
-            while i < len(off) - 1:  # whole documents of about SLICE bytes
-                j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE, "right")) - 1)
-                own = T.LOWER[buf[off[i] : off[j]]]
-                w = T.words_of(own, off[i : j + 1] - off[i], APART)
-                one, back = T.distinct(own, w.start, w.end)
-                doc = np.repeat(np.arange(j - i), np.diff(w.first))
-                each = np.unique(doc * len(one) + back, return_counts=True) if len(one) else (np.zeros(0, np.int64),) * 2
-                g, t = (group[i + each[0] // max(1, len(one))], each[0] % max(1, len(one)))
-                slot, at = np.unique(g * len(one) + t, return_inverse=True)
-                n = np.bincount(at, each[1], len(slot)).astype(np.int64)
-                in_docs = np.bincount(at, minlength=len(slot)).astype(np.int64)
-                terms = [x.decode() for x in T.cut_out(own, w.start[one], w.end[one])]
-                of = (slot // max(1, len(one))).tolist()
-                name = [terms[k] for k in (slot % max(1, len(one))).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[k][0] for k in of], pa.string()), pa.array([keys[k][1] for k in of], pa.string()), pa.array(name, pa.string()), pa.array(n), pa.array(in_docs)], ["lang", "source", "term", "n", "docs"])
-                i = j
+            lang, source = (pa.array([x[k] for x in names], pa.string()) for k in (0, 1))
+            long: dict[bytes, None] = {}
+            for first, cuts in T.pieces(buf, off, SLICE):
+                own = T.LOWER[buf[cuts[0] : cuts[-1]]]
+                w = T.words_of(own, cuts - cuts[0], T.NO_LETTER)
+                last = first + len(cuts) - 2
+                if off[first] < cuts[0] or cuts[-1] < off[last + 1]:  # a part of one text
+                    one, back = T.distinct(own, w.start, w.end)
+                    n, in_docs = np.bincount(back, minlength=len(one)).astype(np.int64), np.zeros(len(one), np.int64)
+                    at, g = one, np.full(len(one), group[first])
+                    long |= dict.fromkeys(T.cut_out(own, w.start[one], w.end[one]))
+                else:
+                    one, back = T.distinct(own, w.start, w.end)
+                    v = max(1, len(one))
+                    each, count = np.unique(np.repeat(np.arange(len(cuts) - 1), np.diff(w.first)) * v + back, return_counts=True)
+                    slot, to = np.unique(group[first + each // v] * v + each % v, return_inverse=True)
+                    n, in_docs = (np.bincount(to, x, len(slot)).astype(np.int64) for x in (count, None))
+                    at, g = one[slot % v] if len(one) else one, slot // v
+                yield pa.RecordBatch.from_arrays([lang.take(pa.array(g)), source.take(pa.array(g)), T.spans(own, w.start[at], w.end[at]).cast(pa.string()), pa.array(n), pa.array(in_docs)], ["lang", "source", "term", "n", "docs"])
+                if long and cuts[-1] == off[last + 1]:
+                    g = pa.array(np.full(len(long), group[first]))
+                    yield pa.RecordBatch.from_arrays([lang.take(g), source.take(g), pa.array([x.decode() for x in long], pa.string()), pa.array(np.zeros(len(long), np.int64)), pa.array(np.ones(len(long), np.int64))], ["lang", "source", "term", "n", "docs"])
+                    long = {}
 
     return rows.mapInArrow(counted, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 

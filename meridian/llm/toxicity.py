@@ -43,9 +43,6 @@ from meridian.llm.language_id import held_out
 SLOT_BITS, BEGINNINGS, BIN = 22, range(3, 9), 0.02
 BLOCK = 2 << 20  # bytes in work at once
 PRIOR, Z, DRIFT, ALPHA, TOGETHER, FIT_ROWS = 0.005, 2.0, 0.1, 0.01, 8, 100_000
-APART = np.zeros(256, bool)
-APART[:0x80] = True
-APART[0x41:0x5B] = APART[0x61:0x7B] = False
 ADDED = ("score", "n_passages", "best", "passages")
 PASSAGES = "array<struct<start:bigint,length:bigint,score:double,e_value:double>>"
 
@@ -59,32 +56,10 @@ class Model(NamedTuple):
     curve: tuple[float, float]  # of the score over -log p; empty without labels of both kinds
 
 
-def pieces(buf: np.ndarray, off: np.ndarray, block: int = BLOCK):
-    """Blocks of whole tokens: (first document, offsets of each document's piece, from the block's start). A long document goes on in the next block."""
-    doc, at, n = 0, 0, len(off) - 1
-    while doc < n:
-        cuts, first = [at], doc
-        while doc < n and off[doc + 1] - cuts[0] <= block:
-            cuts.append(int(off[doc + 1]))
-            doc += 1
-        if len(cuts) == 1:  # longer than a block: cut between two tokens
-            end, size = int(off[doc + 1]), block
-            while True:
-                apart = np.flatnonzero(APART[buf[at + size // 2 : min(end, at + size)]])
-                if len(apart) or at + size >= end:
-                    break
-                size *= 2
-            cut = at + size // 2 + int(apart[-1]) + 1 if at + size < end else end
-            cuts.append(cut)
-            doc += cut == end
-        at = cuts[-1]
-        yield first, np.array(cuts, np.int64)
-
-
 def slots(buf: np.ndarray, cuts: np.ndarray) -> tuple[T.Words, list[tuple[np.ndarray, np.ndarray]]]:
     """The tokens of a block, by place in it; then (tokens, their slots) for beginnings of each length, shortest first, and for whole tokens."""
     own = T.LOWER[buf[cuts[0] : cuts[-1]]]
-    w = T.words_of(own, cuts - cuts[0], APART)
+    w = T.words_of(own, cuts - cuts[0], T.NO_LETTER)
     lead = np.r_[np.flatnonzero((own & 0xC0) != 0x80), len(own)]
     first = np.searchsorted(lead, w.start)
     size = np.searchsorted(lead, w.end) - first  # in characters
@@ -135,7 +110,7 @@ class Scan:
 def scan(buf: np.ndarray, off: np.ndarray, table: np.ndarray, drift: float, block: int = BLOCK, seen=None):
     """For each document: its Scan, segments by byte of the document. Yields (document, scan) when a document ends. seen: gets each document's scores, piece by piece."""
     open_doc, state = -1, Scan()
-    for first, cuts in pieces(buf, off, block):
+    for first, cuts in T.pieces(buf, off, block):
         w, levels = slots(buf, cuts)
         s = scored(levels, table, drift)
         total = np.r_[0.0, np.cumsum(s)]
@@ -238,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in it:
             buf, off = T.string_buffers(batch.column(1))
             toxic = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            for first, cuts in pieces(buf, off):
+            for first, cuts in T.pieces(buf, off, BLOCK):
                 w, levels = slots(buf, cuts)
                 doc = np.repeat(np.arange(len(cuts) - 1), np.diff(w.first))
                 once = [np.unique(doc[at] << SLOT_BITS | slot) for at, slot in levels]  # each once in a document

@@ -37,6 +37,7 @@ def rows_of(df):
 def test_audit_by_brute_force(spark, sf_dir, sizes, monkeypatch):
     if sizes:
         monkeypatch.setattr(divergence, "SPAN", 2)
+        monkeypatch.setattr(divergence, "SLICE", 64)  # most texts are longer, and so come in parts
         monkeypatch.setattr("meridian.llm._io.HOT_ROWS", 2)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["text"], r["lang"], r["source"]) for r in docs.collect()]
