@@ -60,8 +60,12 @@ def mapped(names: DataFrame, name: str, known: DataFrame, by_hand: dict[str, str
 
 
 def preferred(first: DataFrame, second: DataFrame) -> DataFrame:
-    """All of the first source where it has a row, else the second: one plan, in which a subquery of one row lets the second source through."""
-    return first.unionByName(second.where(~first.exists()))
+    """All of the first source where it has a row, else the second: one plan, in which the second is joined to a row that is there if the first has none.
+
+    That row is broadcast, and where it isn't there the plan is cut at run time before the second source is read.
+    """
+    none = first.select(F.lit(1).alias("__one")).limit(1).agg(F.count("*").alias("__n")).filter("__n = 0").select(F.lit(1).alias("__one"))
+    return first.unionByName(second.withColumn("__one", F.lit(1)).join(F.broadcast(none), "__one", "left_semi").drop("__one"))
 
 
 def present(rows: DataFrame, name: str = "present") -> DataFrame:

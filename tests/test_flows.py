@@ -141,6 +141,15 @@ def test_a_preferred_source_needs_no_job_before_the_action(spark):
     context.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_a_second_source_is_not_read_where_the_first_has_rows(spark):
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    for where, scans in (("p_size < 10", 1), ("p_size < 0", 2)):
+        found = lookups.preferred(part.filter(where), part.filter("p_size > 40"))
+        found.collect()
+        final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert final.count("FileScan") == scans
+
+
 def test_next_round_without_those_who_dropped_out(spark):
     games = spark.createDataFrame([("e", 1, 1, 10, 2, 5, "P1"), ("e", 2, 3, 10, 4, 5, "P1"), ("e", 3, 5, 0, None, 0, "BYE")], "event string, game int, p1 long, vp1 long, p2 long, vp2 long, result string")
     dropped = spark.createDataFrame([("e", 1), ("e", 4)], "event string, player long")
