@@ -7,7 +7,7 @@ from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.operators.lookups import truthy
@@ -54,6 +54,11 @@ def resolved(units: DataFrame, models: DataFrame, stats: list[str]) -> DataFrame
     return rows.select("unit", *(truthy(F.col(f"__{c}"), F.col(c)).alias(c) for c in stats), F.coalesce("__inv", "invulnerable").alias("invulnerable"))
 
 
+def toggled(units: DataFrame, flag: str, groups: Column, chosen: Column) -> DataFrame:
+    """In the groups that are touched only the chosen row has the flag, and not if it had it before."""
+    return units.withColumn(flag, F.when(groups, chosen & ~F.coalesce(F.col(flag), F.lit(False))).otherwise(F.col(flag)))
+
+
 def suggestions(units: DataFrame, group: list[str], n: int = 3) -> DataFrame:
     """(unit, better, place): for each unit up to n others of its group with a better grade that cost something, but no more.
 

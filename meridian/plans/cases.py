@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridian.functions.numbers import to_fixed
-from meridian.operators import dml, lookups, ratings, standings
+from meridian.operators import dml, lookups, meta, quantiles, ratings, rosters, standings
 from meridian.plans import folds
 from meridian.plans.catalog import STANDINGS_SQL
 from meridian.plans.registry import query
 from meridian.sources import ordered
-from meridian.sources.views import PAIRINGS_SQL, pairings, table
+from meridian.sources.views import ENTRIES_SQL, PAIRINGS_SQL, ROLLS_SQL, entries, pairings, rolls, table
 from meridian.streaming.dice import shared_folder
 
 _PLAYED = PAIRINGS_SQL.replace("pairings AS (SELECT a.event", "played AS (SELECT a.event")
@@ -129,3 +129,50 @@ def first_by_source_order(spark: SparkSession, d: str) -> DataFrame:
     table(spark, d, "lineitem").withColumn("part", F.col("l_orderkey") % 8).repartition("part").sortWithinPartitions("part", "l_orderkey", "l_linenumber", "l_suppkey").write.partitionBy("part").parquet(at)
     place = F.row_number().over(Window.partitionBy("l_partkey").orderBy(ordered.ORDINAL))
     return ordered.stamped(spark.read.parquet(at)).withColumn("place", place).filter(F.col("place") <= 2).select("l_partkey", "l_orderkey")
+
+
+@query("face_distribution", f"""WITH {ROLLS_SQL}, c AS (SELECT s.session, f.face, count(r.face) AS n FROM (SELECT DISTINCT session FROM rolls) s CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5, 6]) AS face) f LEFT JOIN rolls r ON r.session = s.session AND r.face = f.face GROUP BY 1, 2),
+p AS (SELECT *, sum(n) OVER (PARTITION BY session) AS total, 100.0 * n / sum(n) OVER (PARTITION BY session) AS pct FROM c)
+SELECT session, face, n, round(pct, 6) AS share, CASE WHEN total < 6 THEN 'few' WHEN pct > 100.0 / 6 + 5 THEN 'over' WHEN pct < 100.0 / 6 - 5 THEN 'under' ELSE 'fair' END AS verdict FROM p""")
+def face_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """All six faces of each session with their share of its rolls, also those that never came up; one pass, with a row for each session before the faces are laid out."""
+    counts = rolls(spark, d).groupBy("session").agg(F.count("*").alias("total"), *(F.count_if(F.col("face") == f).alias(f"f{f}") for f in range(1, 7)))
+    faces = F.explode(F.array(*(F.struct(F.lit(f).alias("face"), F.col(f"f{f}").alias("n")) for f in range(1, 7))))
+    rows = counts.select("session", "total", faces.alias("x")).select("session", "total", "x.*").withColumn("pct", 100.0 * F.col("n") / F.col("total"))
+    verdict = F.when(F.col("total") < 6, "few").when(F.col("pct") > 100 / 6 + 5, "over").when(F.col("pct") < 100 / 6 - 5, "under").otherwise("fair")
+    return rows.select("session", "face", "n", F.round("pct", 6).alias("share"), verdict.alias("verdict"))
+
+
+@query("histogram_bars", """WITH c AS (SELECT l_returnflag AS flag, l_quantity AS value, count(*) AS n FROM lineitem GROUP BY 1, 2), m AS (SELECT l_returnflag AS flag, list_sort(list(l_quantity))[CAST(floor(count(*) * 0.5) AS BIGINT) + 1] AS median FROM lineitem GROUP BY 1)
+SELECT flag, value, n, round(100.0 * n / sum(n) OVER (PARTITION BY flag), 6) AS share, round(100.0 * n / max(n) OVER (PARTITION BY flag), 6) AS width, value = median AS is_median FROM c JOIN m USING (flag)""")
+def histogram_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of a histogram: share of all rows, width against the longest bar, and which one holds the median."""
+    counts = quantiles.histogram(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("value")), ["flag"], "value")
+    median = quantiles.percentiles(counts, ["flag"], "value", {"median": 0.5})
+    every = Window.partitionBy("flag")
+    bars = counts.withColumns({"share": F.round(100.0 * F.col("n") / F.sum("n").over(every), 6), "width": F.round(100.0 * F.col("n") / F.max("n").over(every), 6)})
+    return bars.join(median, "flag").withColumn("is_median", F.col("value") == F.col("median")).drop("median")
+
+
+_BANDS = ((0.6, ">", "strong"), (0.55, ">", "good"), (0.4, "<", "weak"), (0.45, "<", "poor"))
+
+
+@query("rate_bands", f"""WITH {ENTRIES_SQL}, n AS (SELECT event, placement, faction, count(*) OVER (PARTITION BY event) AS n FROM entries),
+p AS (SELECT least(a.faction, b.faction) AS a, greatest(a.faction, b.faction) AS b, a.faction < b.faction AS won FROM n a JOIN n b ON a.event = b.event AND b.placement = a.n + 1 - a.placement WHERE 2 * a.placement <= a.n AND a.faction <> b.faction),
+m AS (SELECT a, b, round(count(*) FILTER (won) / count(*), 6) AS rate FROM p GROUP BY 1, 2)
+SELECT a, b, CASE {' '.join(f"WHEN rate {op} {x} THEN '{name}'" for x, op, name in _BANDS)} ELSE 'even' END AS band FROM m""")
+def rate_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Matchups by how one-sided they are."""
+    rate, band = F.col("a_win_rate"), F.lit("even")
+    for x, op, name in reversed(_BANDS):
+        band = F.when(rate > x if op == ">" else rate < x, name).otherwise(band)
+    return meta.matchups(entries(spark, d)).select("a", "b", band.alias("band"))
+
+
+@query("warlord_toggled", """WITH u AS (SELECT l_orderkey AS list, l_linenumber AS unit, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place, l_returnflag = 'R' AS warlord FROM lineitem)
+SELECT list, place, CASE WHEN list % 3 = 0 THEN place = 1 AND NOT warlord ELSE warlord END AS warlord FROM u""")
+def warlord_toggled(spark: SparkSession, d: str) -> DataFrame:
+    """In some lists the first unit is chosen: it leads alone, unless it did before; then none does."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    units = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("list"), place.cast("long").alias("place"), (F.col("l_returnflag") == "R").alias("warlord"))
+    return rosters.toggled(units, "warlord", F.col("list") % 3 == 0, F.col("place") == 1)
