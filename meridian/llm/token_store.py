@@ -207,7 +207,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     p = partitions(spark)
     made = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda it: _encoded(it, tokenizer_path, end_id, 1 << 20), OBJECTS)
     made = made.repartition(p, "key").sortWithinPartitions("kind", "digest").mapInArrow(_once, OBJECTS)
-    made.drop("key").write.option("compression", "snappy").partitionBy("kind").parquet(f"{folder}/objects")
+    made.drop("key").write.option("compression", "snappy").option("parquet.enable.dictionary", "false").partitionBy("kind").parquet(f"{folder}/objects")
 
     objects = spark.read.schema("tie int, digest binary, data binary, doc_id long, n_tokens long, chunks array<binary>, sizes array<int>, root binary, kind string").parquet(f"{folder}/objects")
     found = objects.filter("kind = 'recipe'").select("doc_id", "n_tokens", "chunks", "sizes", "root", "tie")
