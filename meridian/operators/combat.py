@@ -84,70 +84,156 @@ def expected(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"best_removed": F.floor(F.col("best") / F.col("wounds")), "worst_removed": F.floor(F.col("worst") / F.col("wounds")), "best": tidy(F.col("best")), "worst": tidy(F.col("worst"))})
 
 
-#: Tasks among which the weapons of a key and slice are dealt.
-_SPREAD = 4
 _NUMBERS = ("hit", "hit_six", "wound", "wound_six", "through", "unhurt", "sustained_hits", "melta", "attacks_mod", "models", "wounds", "blast", "torrent", "lethal_hits", "devastating_wounds")
+_DICE = [f"{d}_{i}" for d in "ad" for i in ("count", "sides", "plus")]
+#: Chances below this are rounding errors of a Fourier transform; values of a law that are worked on at once.
+_ROUNDING, _AT_ONCE = 1e-16, 2**20
 
 
-def _throws(rng: np.random.Generator, dice: tuple[int, int, int], shape) -> np.ndarray:
-    """Sums of (count, sides, plus); at least 1 where dice are thrown."""
-    count, sides, plus = dice
+def _throws(count: int, sides: int, plus: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of dice and their chances; at least 1 where dice are thrown."""
     if not count or not sides:
-        return np.full(shape, plus)
-    return np.maximum(1, rng.integers(1, sides + 1, size=(*shape, count)).sum(-1) + plus)
-
-
-def _damage(r, rng: np.random.Generator, size: int) -> np.ndarray:
-    """Damage of one weapon in size rounds; the dice of a round are independent, so their counts are multinomial."""
-    n = _throws(rng, (r.a_count, r.a_sides, r.a_plus), (size,))
-    n = np.maximum(n, 3) if r.blast and r.models >= 6 else n
-    n = np.maximum(1, n + int(r.attacks_mod)) if r.attacks_mod else np.maximum(n, 0)
-
-    def split(k, p, six, apart):
-        if not apart:
-            return np.zeros_like(k), rng.binomial(k, min(1.0, p))
-        found = rng.multinomial(k, [min(six, p), max(0.0, p - six), max(0.0, 1 - max(p, six))])
-        return found[:, 0], found[:, 1]
-
-    sixes, others = (np.zeros_like(n), n) if r.torrent else split(n, r.hit, r.hit_six, r.lethal_hits or r.sustained_hits)
-    lethal = sixes if r.lethal_hits else np.zeros_like(n)
-    hits = others + sixes - lethal + sixes * int(r.sustained_hits)
-    sixes, others = split(hits, r.wound, r.wound_six, r.devastating_wounds)
-    mortal = sixes if r.devastating_wounds else np.zeros_like(n)
-    unsaved = rng.binomial(others + sixes - mortal + lethal, r.through)
-    width = int(unsaved.max(initial=0))
-    each = _throws(rng, (r.d_count, r.d_sides, r.d_plus), (size, width)) + int(r.melta)
-    total = np.where(np.arange(width) < unsaved[:, None], each, 0).sum(1) + mortal
-    return np.minimum(rng.binomial(total, 1 - r.unhurt), int(r.models * r.wounds))
+        return np.array([plus]), np.ones(1)
+    chances = np.ones(1)
+    for _ in range(count):
+        chances = np.convolve(chances, np.full(sides, 1 / sides))
+    return np.maximum(1, count + plus + np.arange(len(chances))), chances
+
+
+def _attacks(count: int, sides: int, plus: int, three: int, mod: int) -> np.ndarray:
+    """Chance of each number of attacks; three: blast against six models."""
+    n, chances = _throws(count, sides, plus)
+    n = np.maximum(n, 3) if three else n
+    return np.bincount(np.maximum(1, n + mod) if mod else np.maximum(n, 0), chances)
+
+
+def _hurts(count: int, sides: int, plus: int, melta: int) -> np.ndarray:
+    """Chance of each damage of one wound."""
+    n, chances = _throws(count, sides, plus)
+    return np.bincount(np.maximum(0, n + melta), chances)
+
+
+def _kinds(law, *columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The laws of the different rows of the columns, and which of them each row has."""
+    groups = pd.DataFrame(np.stack(columns, 1).astype(np.int64)).groupby(list(range(len(columns))))
+    return [law(*map(int, k)) for k in groups.size().index], groups.ngroup().to_numpy()
+
+
+def _substituted(laws: list[np.ndarray], which: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Each row's generating function at the row's values z."""
+    out = np.empty_like(z)
+    for k, law in enumerate(laws):
+        rows = np.flatnonzero(which == k)
+        total = np.zeros_like(z[rows])
+        for c in law[::-1]:
+            total = total * z[rows] + c
+        out[rows] = total
+    return out
+
+
+def _laws(c: dict[str, np.ndarray], attacks: tuple, hurts: tuple, size: int) -> np.ndarray:
+    """Chance of each damage of a weapon in one round, a row each, from its generating function at size roots of unity; size is above any damage.
+
+    Attacks of a round are independent, so the function of their sum is that of one attack put into that of their number.
+    """
+    col = lambda name: c[name].astype(float)[:, None]
+    z = np.exp(-2j * np.pi * np.arange(size // 2 + 1) / size)[None, :]
+    point = col("unhurt") + (1 - col("unhurt")) * z  # a point of damage that may be ignored
+    saved = 1 - col("through") + col("through") * _substituted(*hurts, np.broadcast_to(point, (len(c["hit"]), z.shape[1])))
+    wound, six = np.minimum(1, col("wound")), np.minimum(col("wound_six"), col("wound"))
+    mortal = six * (point - saved) * col("devastating_wounds")
+    hit = 1 - wound + wound * saved + mortal
+    p = np.minimum(1, col("hit"))
+    six = np.where(col("lethal_hits") + col("sustained_hits") > 0, np.minimum(col("hit_six"), p), 0)
+    more = np.ones_like(hit)
+    for i in range(int(c["sustained_hits"].max(initial=0))):
+        more = np.where(col("sustained_hits") > i, more * hit, more)
+    attack = 1 - p + (p - six) * hit + six * np.where(col("lethal_hits") > 0, saved, hit) * more
+    found = np.fft.irfft(_substituted(*attacks, np.where(col("torrent") > 0, hit, attack)), size)
+    found = np.where(found < _ROUNDING, 0, found)
+    most = np.minimum(c["models"] * c["wounds"], size - 1).astype(np.int64)
+    over = np.arange(size) > most[:, None]
+    found[np.arange(len(most)), most] += (found * over).sum(1)
+    found[over] = 0
+    return found[:, : most.max(initial=0) + 1]
+
+
+def _added(group: np.ndarray, low: np.ndarray, laws: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Laws of the sums of neighbours in a group, pair by pair until each group has one; a row's law begins at its low. Equal groups stand together."""
+    while len(group) > 1 and (group[1:] == group[:-1]).any():
+        place = np.arange(len(group)) - np.searchsorted(group, group)
+        first = np.flatnonzero(place % 2 == 0)
+        paired = np.append(group[1:] == group[:-1], False)[first]
+        left, width = first[paired], 2 * laws.shape[1] - 1
+        size = 1 << (width - 1).bit_length()
+        out = np.zeros((len(first), width))
+        out[paired] = np.fft.irfft(np.fft.rfft(laws[left], size) * np.fft.rfft(laws[left + 1], size), size)[:, :width]
+        out[~paired, : laws.shape[1]] = laws[first[~paired]]
+        out[out < _ROUNDING] = 0
+        skip = (out > 0).argmax(1)
+        kept = width - (out[:, ::-1] > 0).argmax(1) - skip
+        at = skip[:, None] + np.arange(kept.max())
+        laws = np.where(at < width, np.take_along_axis(out, np.minimum(at, width - 1), 1), 0)
+        laws /= laws.sum(1, keepdims=True)
+        total = low[first]
+        total[paired] += low[left + 1]
+        group, low = group[first], total + skip
+    return group, low, laws
 
 
 def simulate(rows: DataFrame, keys: list[str], weapon: str, iterations: int = 5000, seed: int = 0, slice_size: int = 1000) -> DataFrame:
     """keys, damage, n: how often the weapons of a key (told apart by weapon) deal a total of damage.
 
-    Slices of the rounds are spread over tasks, _SPREAD for each key and slice; a task sums its weapons of a slice round by round, and
-    these sums are added after a shuffle by key and slice. Every weapon's slice has a seed of its own, so that a task run again gives
-    the same throws. Mortal wounds deal one damage each.
+    The rounds of a key are alike and independent, so each is drawn from the law of their total, slice_size at once: a weapon's law is exact,
+    and the laws of a key's weapons are added up to rounding errors. So the rounds cost no throws of single dice. A key's weapons meet in
+    one task, which holds a batch of them and their sum so far. Every slice has a seed of its own, so that a task run again gives the same
+    totals. Mortal wounds deal one damage each.
     """
     p = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dice = [F.col(f"{d}_dice")[i].alias(f"{d[0]}_{i}") for d in ("attack", "damage") for i in ("count", "sides", "plus")]
-    starts = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(slice_size))).alias("__start")
-    seeds = odds(rows).select(*keys, *_NUMBERS, *dice, F.xxhash64(*keys, weapon).alias("__weapon"), starts).withColumn("__seed", F.pmod(F.xxhash64("__weapon", "__start", F.lit(seed)), F.lit(2**31)))
-    seeds = seeds.repartition(p, *keys, "__start", F.pmod("__weapon", F.lit(_SPREAD))).drop("__weapon").sortWithinPartitions(*keys, "__start")
+    chances = odds(rows).select(*keys, *_NUMBERS, *dice, F.col(weapon).alias("__weapon"))
+    chances = chances.withColumns({"__key": F.xxhash64(*keys, *(F.col(k).isNull() for k in keys), F.lit(seed)), "__weapon": F.xxhash64("__weapon", *_NUMBERS, *_DICE)})
+    chances = chances.repartition(p, *keys).sortWithinPartitions(*keys, "__weapon")
+
+    def drawn(key: tuple, number: int, low: int, law: np.ndarray) -> pd.DataFrame:
+        up_to = law.cumsum()
+        n = np.zeros(len(law), np.int64)
+        for start in range(0, iterations, slice_size):
+            at = np.random.default_rng([number % 2**64, start]).random(min(slice_size, iterations - start)) * up_to[-1]
+            n += np.bincount(np.searchsorted(up_to, at, side="right"), minlength=len(law))
+        found = np.flatnonzero(n)
+        return pd.DataFrame({k: pd.Series([v] * len(found), dtype=object if v is None else None) for k, v in zip(keys, key, strict=True)} | {"damage": low + found, "n": n[found]})
 
     def rounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the key that may go on in the next rows: its values, its number, and the law of its total so far
         for batch in batches:
-            slices = batch.groupby([*keys, "__start"], sort=False, dropna=False).ngroup().to_numpy()
-            first = np.unique(slices, return_index=True)[1]
-            size = [min(slice_size, iterations - s) for s in batch["__start"].iloc[first]]
-            dealt = [np.zeros(k, np.int64) for k in size]
-            for r, s, k in zip(batch.drop(columns=["__start", "__seed"]).itertuples(index=False), batch["__seed"], slices):
-                dealt[k] += _damage(r, np.random.default_rng(int(s)), size[k])
-            yield batch[[*keys, "__start"]].iloc[first].assign(dealt=dealt)
+            c = {name: batch[name].to_numpy() for name in (*_NUMBERS, *_DICE)}
+            attacks = _kinds(_attacks, c["a_count"], c["a_sides"], c["a_plus"], c["blast"] & (c["models"] >= 6), c["attacks_mod"])
+            hurts = _kinds(_hurts, c["d_count"], c["d_sides"], c["d_plus"], c["melta"])
+            most = lambda kind: np.array([len(law) - 1 for law in kind[0]], np.int64)[kind[1]]
+            size = 1 << int((most(attacks) * (1 + c["sustained_hits"].astype(np.int64)) * np.maximum(1, most(hurts))).max(initial=1)).bit_length()
+            number, step = batch["__key"].to_numpy(), max(16, _AT_ONCE // size)
+            for i in range(0, len(batch), step):
+                here = slice(i, i + step)
+                laws = _laws({name: v[here] for name, v in c.items()}, (attacks[0], attacks[1][here]), (hurts[0], hurts[1][here]), size)
+                numbers, low = number[here], np.zeros(len(laws), np.int64)
+                names = list(batch[keys].iloc[here].astype(object).where(batch[keys].iloc[here].notna(), None).itertuples(index=False, name=None))
+                if held:
+                    width = max(laws.shape[1], len(held[3]))
+                    laws = np.vstack([np.pad(held[3], (0, width - len(held[3])))[None, :], np.pad(laws, ((0, 0), (0, width - laws.shape[1])))])
+                    names, numbers, low = [held[0], *names], np.append(held[1], numbers), np.append(held[2], low)
+                group = np.append(0, (numbers[1:] != numbers[:-1]).cumsum())
+                first = np.searchsorted(group, np.arange(group[-1] + 1))
+                _, low, laws = _added(group, low, laws)
+                done = [(names[f], int(numbers[f]), int(low[k]), np.trim_zeros(laws[k], "b")) for k, f in enumerate(first)]
+                held = done.pop()
+                if done:
+                    yield pd.concat([drawn(*x) for x in done])
+        if held:
+            yield drawn(*held)
 
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    dealt = seeds.mapInPandas(rounds, f"{schema}, __start int, dealt array<long>").repartition(p, *keys, "__start").select(*keys, "__start", F.posexplode("dealt").alias("round", "damage"))
-    per_round = dealt.groupBy(*keys, "__start", "round").agg(F.sum("damage").alias("damage"))
-    return per_round.groupBy(*keys, "damage").agg(F.count("*").alias("n"))
+    return chances.mapInPandas(rounds, f"{schema}, damage long, n long")
 
 
 def summary(histogram: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,5 +1,8 @@
 """Ratings, pairings, simulation and streams over worked examples."""
 
+import time
+
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +76,34 @@ def test_settled_counts(spark, tmp_path):
         pd.DataFrame({"session": "s", "seq": range(part * 4, part * 4 + len(rows)), "found": rows}).to_parquet(tmp_path / f"{part}.parquet")
     frames = spark.readStream.schema("session string, seq long, found long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
     assert [tuple(r) for r in streams.drained(streams.settled(frames, last=2, empty=2), "append").orderBy("seq").collect()] == [("s", 3, 3), ("s", 10, 2)]
+
+
+def test_rounds_follow_the_exact_law_of_their_total(spark):
+    """Two dice of attacks, lethal and sustained hits, mortal wounds, damage that may be ignored and a cap: each against all of its outcomes."""
+    number = {"hit": 0.5, "hit_six": 1 / 6, "wound": 0.5, "wound_six": 1 / 6, "through": 2 / 3, "unhurt": 1 / 3, "sustained_hits": 1, "melta": 1, "attacks_mod": 0, "models": 2, "wounds": 2, "blast": 0, "torrent": 0, "lethal_hits": 1, "devastating_wounds": 1}
+    c = {k: np.array([v]) for k, v in number.items()}
+    attacks, hurts = ([combat._attacks(1, 2, 0, 0, 0)], np.zeros(1, int)), ([combat._hurts(1, 2, 0, 1)], np.zeros(1, int))
+    one = {0: 1.0}
+    both = lambda a, b: {s: sum(p * q for x, p in a.items() for y, q in b.items() if x + y == s) for s in {x + y for x in a for y in b}}
+    mixed = lambda *parts: {s: sum(w * law.get(s, 0) for w, law in parts) for s in {s for _, law in parts for s in law}}
+    point = {0: 1 / 3, 1: 2 / 3}
+    hurt = mixed((1 / 3, one), (1 / 3, both(point, point)), (1 / 3, both(point, both(point, point))))
+    hit = mixed((0.5, one), (1 / 3, hurt), (1 / 6, point))
+    attack = mixed((0.5, one), (1 / 3, hit), (1 / 6, both(hurt, hit)))
+    law = mixed((0.5, attack), (0.5, both(attack, attack)))
+    want = [sum(p for s, p in law.items() if min(s, 4) == k) for k in range(5)]
+    assert combat._laws(c, attacks, hurts, 16)[0] == pytest.approx(want, abs=1e-12)
+    group, low, laws = combat._added(np.zeros(5, int), np.zeros(5, int), np.tile(want, (5, 1)))
+    five = np.array([1.0])
+    for _ in range(5):
+        five = np.convolve(five, want)
+    assert list(group) == [0] and low[0] == 0 and laws[0] == pytest.approx(five, abs=1e-12)
+
+
+def test_many_weapons_cost_no_throws(spark):
+    """40,000 weapons on one target, whose sum goes on through several batches, in rounds whose dice would take minutes to throw."""
+    rows = attacks(spark, SF).filter("weapon = 1").limit(1).drop("weapon", "target").withColumn("models", F.lit(1000)).crossJoin(spark.range(40_000).select(F.col("id").alias("weapon"), F.lit(1).alias("target")))
+    want = combat.expected(rows).agg(F.sum("expected_wounds")).first()[0]
+    start = time.monotonic()
+    (got,) = combat.summary(combat.simulate(rows, ["target"], "weapon", seed=5), ["target"]).collect()
+    assert got["iterations"] == 5000 and abs(got["mean"] - want) < 0.001 * want and time.monotonic() - start < 60
