@@ -15,10 +15,20 @@ def normal(name: Column) -> Column:
     return trimmed(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
 
 
-def best_match(left: DataFrame, right: DataFrame, prefer: Column, order: Column) -> DataFrame:
-    """left (id, key, ...) with the matched id of right (other, key, ...): preferred candidates first, then by order; null without one."""
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.coalesce(prefer, F.lit(False))), order.asc_nulls_last()))
-    return left.alias("l").join(right.alias("r"), F.col("l.key") == F.col("r.key"), "left").withColumn("__rank", rank).filter("__rank = 1").select("l.*", "r.other")
+def best_match(left: DataFrame, right: DataFrame, prefer: tuple[str, str], order: str) -> DataFrame:
+    """left (id, key, ...) with the matched id of right (other, key, ...): candidates alike in the preferred columns (left's, right's) first, then by order; null without one.
+
+    Each key's first candidate, and each key and preferred value's, are found before the joins, so that a key with many rows on both
+    sides costs its rows and not their pairs.
+    """
+    own, theirs = prefer
+    first = F.min(F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("order"), F.col("other").alias("other"))).alias("first")
+    alike = right.groupBy("key", F.col(theirs).alias("__theirs")).agg(first)
+    of_key = alike.groupBy("key").agg(F.min("first").alias("first"))
+    rows = left.alias("l").join(of_key.alias("k"), F.col("l.key") == F.col("k.key"), "left").join(alike.alias("a"), (F.col("l.key") == F.col("a.key")) & (F.col(f"l.{own}") == F.col("a.__theirs")), "left")
+    found = rows.select("l.*", F.col("a.first").isNull().alias("__other_kind"), F.coalesce("a.first", "k.first").alias("__first"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("__other_kind", F.col("__first").asc_nulls_last()))
+    return found.withColumn("__rank", rank).filter("__rank = 1").select(*left.columns, F.col("__first.other").alias("other"))
 
 
 def account(names: DataFrame, users: DataFrame) -> DataFrame:

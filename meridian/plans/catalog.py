@@ -127,7 +127,7 @@ def id_mapping_ranked(spark: SparkSession, d: str) -> DataFrame:
     key = resolve.normal(F.col("p_name")).alias("key")
     a = table(spark, d, "part").filter("p_size <= 25").select(F.col("p_partkey").alias("id"), key, F.col("p_brand").alias("own_brand"))
     b = table(spark, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("other"), key, F.col("p_brand").alias("brand"))
-    return resolve.best_match(a, b, F.col("own_brand") == F.col("brand"), F.col("other")).select("id", "other")
+    return resolve.best_match(a, b, ("own_brand", "brand"), "other").select("id", "other")
 
 
 @query("unit_ratings", """WITH u AS (SELECT l_partkey AS unit, count(*) AS games, count(*) FILTER (o_orderstatus = 'F') AS wins, avg(p_size) AS avg_points FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1 HAVING count(*) >= 3)

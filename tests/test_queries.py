@@ -56,3 +56,18 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).filter(F.col("faction") == "").count() == 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_best_match_of_awkward_rows(spark):
+    left = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "a", None), (4, None, "x"), (5, "c", "x"), (6, "b", "x"), (6, "a", "x")], "id int, key string, own string")
+    right = spark.createDataFrame([(9, "a", "x"), (7, "a", "z"), (8, "a", "x"), (None, "b", "x"), (3, "b", "z"), (1, None, "x")], "other int, key string, brand string")
+    got = resolve.best_match(left, right, ("own", "brand"), "other")
+    assert got.columns == ["id", "key", "own", "other"]
+    assert {r["id"]: r["other"] for r in got.collect()} == {1: 8, 2: 7, 3: 7, 4: None, 5: None, 6: 8}
+
+
+def test_best_match_costs_rows_not_pairs(spark):
+    """200,000 rows of one key on both sides: 40 billion pairs."""
+    rows = spark.range(200_000).withColumns({"key": F.lit("a"), "own": F.col("id") % 10})
+    right = rows.select(F.col("id").alias("other"), "key", F.col("own").alias("brand"))
+    assert resolve.best_match(rows, right, ("own", "brand"), "other").filter("other = own").count() == 200_000
