@@ -13,10 +13,10 @@ from meridian.streaming.dice import shared_folder
 
 
 def _csv(rows: DataFrame) -> DataFrame:
-    """rows written as CSV with a header in each file, and the files whole."""
+    """rows written as CSV with a header in each file, and the lines of the files."""
     at = shared_folder(rows.sparkSession, "csv")
     rows.write.option("header", True).option("escape", '"').csv(at)
-    return tournaments.whole_files(rows.sparkSession, at, "*.csv")
+    return tournaments.file_lines(rows.sparkSession, at, "*.csv")
 
 
 def _text(*parts: str | Column) -> Column:

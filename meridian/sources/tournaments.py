@@ -34,12 +34,21 @@ def cells(line: Column) -> Column:
 
 
 def lines(files: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
-    """files (file, value: a whole file): a row for each line after the header, its fields under the names of aliases; absent ones are null."""
-    body = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: trimmed(x)), lambda x: F.length(x) > 0)
-    rows = files.select("file", body.alias("body")).filter(F.size("body") > 1)
-    # The header before the lines are dealt out, so that no line carries the file along.
-    rows = rows.select("file", F.transform(cells(F.get("body", F.lit(0))), lambda h: F.lower(trimmed(h))).alias("header"), F.slice("body", 2, F.size("body")).alias("body"))
-    rows = rows.select("file", "header", F.posexplode("body").alias("line", "text"))
+    """A row for each line after the header of files (whole_files or file_lines gives them), its fields under the names of aliases; absent ones are null.
+
+    Lines are in the order of column line within a file: a number from whole files, a place from lines.
+    """
+    named = lambda line: F.transform(cells(line), lambda h: F.lower(trimmed(h)))
+    if "value" in files.columns:
+        body = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: trimmed(x)), lambda x: F.length(x) > 0)
+        rows = files.select("file", body.alias("body")).filter(F.size("body") > 1)
+        # The header before the lines are dealt out, so that no line carries the file along.
+        rows = rows.select("file", named(F.get("body", F.lit(0))).alias("header"), F.slice("body", 2, F.size("body")).alias("body"))
+        rows = rows.select("file", "header", F.posexplode("body").alias("line", "text"))
+    else:
+        body = files.select("file", "line", trimmed("text").alias("text")).filter(F.length("text") > 0)
+        headers = body.groupBy("file").agg(F.min(F.struct("line", "text")).alias("h")).select("file", F.col("h.line").alias("__first"), named(F.col("h.text")).alias("header"))
+        rows = body.join(F.broadcast(headers), "file").filter(F.col("line") > F.col("__first"))
     rows = rows.withColumn("cells", cells(F.col("text")))
     first = lambda names: F.coalesce(*(F.nullif(F.array_position("header", n), F.lit(0)) for n in names))
     return rows.select("file", "line", *(F.get("cells", (first(names) - 1).cast("int")).alias(c) for c, names in aliases.items()))
@@ -55,6 +64,13 @@ def whole_files(spark: SparkSession, path: str, pattern: str | None = None) -> D
     return spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
+def file_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """Lines of files (file, line, text), so that a large file is dealt over tasks. A line's place is where its split of the file starts, and a number that grows within the split."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("number"))
+    # Only line feeds end lines, as in whole files; a carriage return before one is trimmed.
+    return spark.read.text(path, lineSep="\n", pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("file"), place.alias("line"), F.col("value").alias("text"))
+
+
 def site_results(files: DataFrame, aliases: dict[str, list[str]], event: str, event_date: str, format: str = "GT") -> DataFrame:
     """Players of one event's files; rows without a whole number for the place are left out, unreadable counts are 0."""
     return _players(lines(files, aliases), [F.lit(event).alias("event"), F.lit(event_date).alias("event_date"), F.lit(format).alias("format")])

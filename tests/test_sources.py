@@ -87,3 +87,19 @@ def test_an_entry_that_is_no_xml_leaves_the_others(spark, tmp_path):
     path = files(tmp_path, a_cat=text, b_cat="", c_cat="no entries")
     assert {(r["id"], r["points"]) for r in catalogues.units(spark, path).collect()} == {("a", 0), ("d", 0), ("e", 7)}
     assert sorted(r["entry"].strip()[:22] for r in catalogues.unread_entries(spark, path).collect()) == ['<selectionEntry id="b"', '<selectionEntry id="c"']
+
+
+def test_lines_of_a_file_in_many_splits(spark, tmp_path):
+    """No line holds another's file, and results are those of whole files, however they are split."""
+    text = "\r\n  \nevent,date,format,place,faction,player,unit,avg_points\r\n" + "".join(f'E{i % 7},d,{i},{i % 3 + 1},Orks,"P ""{i}"", x",u{i},{i}\n\n' for i in range(400))
+    path = files(tmp_path, a_csv=text, b_csv="Rank\n", c_csv="", d_csv="event,date,place,player\nE9,d,1,Ann")
+    found = lambda read: [tuple(r[c] for c in r.asDict() if c != "line") for r in tournaments.generic_results(read(spark, path)).orderBy("event", "placement").collect()]
+    want = found(tournaments.whole_files)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        lines = tournaments.file_lines(spark, path)
+        assert lines.rdd.getNumPartitions() > 5 and max(len(r["text"]) for r in lines.collect()) < 80
+        assert found(tournaments.file_lines) == want and len(want) == 22
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
