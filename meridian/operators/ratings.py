@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,23 +88,38 @@ def glicko_period(state: tuple[float, float, float], games: list[tuple[float, fl
     return CENTRE + UNIT * (mu + phi * phi * gain), UNIT * phi, volatility
 
 
+@lru_cache(2**16)
+def _after(state: tuple[float, float, float], times: tuple[int, int, int]) -> tuple[float, float, float]:
+    """A rating after as many wins, losses and draws against unknown opponents."""
+    return glicko_period(state, [(*UNKNOWN, s, n) for s, n in zip((1.0, 0.0, 0.5), times, strict=True) if n])
+
+
 def glicko(results: DataFrame) -> DataFrame:
     """results (player, period, wins, losses, draws): each player's rating before and after every period, against opponents of unknown strength.
 
-    Counts are summed by player and period before the shuffle, so a player's group holds one row a period. Null counts are 0; a
-    period without games makes the deviation grow; rows without a player or a period are left out.
+    Counts are summed by player and period before the shuffle, so a player has one row a period; they are folded as a task's sorted rows
+    go by, without a group for each player. Null counts are 0; a period without games makes the deviation grow; rows without a player or
+    a period are left out.
     """
     counts = ("wins", "losses", "draws")
     per = results.filter("player is not null and period is not null").groupBy("player", "period").agg(*(F.sum(F.coalesce(F.col(c), F.lit(0))).cast("int").alias(c) for c in counts))
-    scores = (1.0, 0.0, 0.5)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = NEW_PLAYER, []
-        for r in rows.sort_values("period").itertuples(index=False):
-            after = glicko_period(state, [(*UNKNOWN, s, n) for s, n in zip(scores, (r.wins, r.losses, r.draws)) if n])
-            out.append((r.player, r.period, state[0], *after, after[0] - state[0]))
-            state = after
-        return pd.DataFrame(out, columns=["player", "period", "before", "rating", "deviation", "volatility", "delta"])
+    names = ["player", "period", "before", "rating", "deviation", "volatility", "delta"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A player's periods follow each other and may go on in the next batch; many players have the same counts from the same state.
+        last, state = None, NEW_PLAYER
+        for batch in batches:
+            before, after = [], []
+            for player, *times in zip(*(batch[c].tolist() for c in ("player", *counts)), strict=True):
+                if player != last:
+                    last, state = player, NEW_PLAYER
+                before.append(state[0])
+                state = _after(state, tuple(times))
+                after.append(state)
+            out = batch[["player", "period"]].assign(before=before)
+            out[["rating", "deviation", "volatility"]] = np.array(after, float).reshape(-1, 3)
+            yield out.assign(delta=out["rating"] - out["before"])[names]
 
     kinds = {c: per.schema[c].dataType.simpleString() for c in ("player", "period")}
-    return per.groupBy("player").applyInPandas(fold, f"player {kinds['player']}, period {kinds['period']}, before double, rating double, deviation double, volatility double, delta double")
+    dealt = per.repartition("player").sortWithinPartitions("player", "period")
+    return dealt.mapInPandas(fold, f"player {kinds['player']}, period {kinds['period']}, before double, rating double, deviation double, volatility double, delta double")

@@ -107,3 +107,25 @@ def test_many_weapons_cost_no_throws(spark):
     start = time.monotonic()
     (got,) = combat.summary(combat.simulate(rows, ["target"], "weapon", seed=5), ["target"]).collect()
     assert got["iterations"] == 5000 and abs(got["mean"] - want) < 0.001 * want and time.monotonic() - start < 60
+
+
+def test_glicko_costs_rows_not_groups(spark):
+    """300,000 players, some with periods in two batches; each as if rated by itself."""
+    rows = spark.range(300_000).select((F.col("id") - F.col("id") % 3).alias("player"), (F.col("id") % 3).alias("period"), (F.col("id") % 4).alias("wins"), (F.col("id") % 5).alias("losses"), F.lit(None).cast("int").alias("draws"))
+    rows = rows.unionByName(rows.withColumn("player", -1 - F.col("player")))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    try:
+        start = time.monotonic()
+        found = ratings.glicko(rows).persist()
+        assert found.count() == 600_000 and time.monotonic() - start < 40
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for player in (0, 999, 150_000, -150_001):
+        first, state = player if player >= 0 else -1 - player, ratings.NEW_PLAYER
+        for r in found.filter(F.col("player") == player).orderBy("period").collect():
+            i = first + r["period"]
+            assert r["before"] == state[0]
+            state = ratings.glicko_period(state, [(*ratings.UNKNOWN, s, n) for s, n in ((1.0, i % 4), (0.0, i % 5)) if n])
+            assert (r["rating"], r["deviation"], r["volatility"], r["delta"]) == (*state, state[0] - r["before"])
+    found.unpersist()
