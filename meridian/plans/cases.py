@@ -126,9 +126,10 @@ def linked_accounts(spark: SparkSession, d: str) -> DataFrame:
 def first_by_source_order(spark: SparkSession, d: str) -> DataFrame:
     """The first two rows of each key in the order of the files they came from."""
     at = shared_folder(spark, "lines")
-    table(spark, d, "lineitem").withColumn("part", F.col("l_orderkey") % 8).repartition("part").sortWithinPartitions("part", "l_orderkey", "l_linenumber", "l_suppkey").write.partitionBy("part").parquet(at)
+    lines = table(spark, d, "lineitem").withColumn("part", F.col("l_orderkey") % 8)
+    rows = ordered.arranged(lines, at, lines.count(), "part", "l_orderkey", "l_linenumber", "l_suppkey")
     place = F.row_number().over(Window.partitionBy("l_partkey").orderBy(ordered.ORDINAL))
-    return ordered.stamped(spark.read.parquet(at)).withColumn("place", place).filter(F.col("place") <= 2).select("l_partkey", "l_orderkey")
+    return rows.withColumn("place", place).filter(F.col("place") <= 2).select("l_partkey", "l_orderkey")
 
 
 @query("face_distribution", f"""WITH {ROLLS_SQL}, c AS (SELECT s.session, f.face, count(r.face) AS n FROM (SELECT DISTINCT session FROM rolls) s CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5, 6]) AS face) f LEFT JOIN rolls r ON r.session = s.session AND r.face = f.face GROUP BY 1, 2),

@@ -6,12 +6,23 @@ is split, and it stays with its row through shuffles; comparing ordinals compare
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDINAL = "ordinal"
 
 
+def arranged(rows: DataFrame, at: str, n: int, part: str, *order: Column | str, size: int = 500_000) -> DataFrame:
+    """n rows written to Parquet files in at, a folder for each part, and read with their ordinals: within a part, files and their rows follow the order.
+
+    Ranges of part and order are dealt over tasks, about size rows each, so that a part may be larger than a task; files bear the numbers
+    of their ranges.
+    """
+    ranges = rows.repartitionByRange(max(1, -(-n // size)), part, *order)
+    ranges.sortWithinPartitions(part, *order).write.partitionBy(part).parquet(at)
+    return stamped(rows.sparkSession.read.parquet(at))
+
+
 def stamped(scan: DataFrame) -> DataFrame:
     """The rows of Parquet files with their ordinals; scan has to be as read, before any other operation."""
     at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.lit(0).cast("long").alias("item"))

@@ -32,6 +32,16 @@ def test_ordinals_are_the_same_however_files_are_split(spark, tmp_path):
             spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_a_part_in_many_tasks_keeps_its_order(spark, tmp_path):
+    """No file holds more than about size rows, also of one part, and files of a part follow each other."""
+    rows = spark.range(20_000).withColumns({"part": F.lit(0), "key": F.col("id") % 7}).repartition(6)
+    got = ordered.arranged(rows, str(tmp_path / "t"), 20_000, "part", F.desc("id"), size=1000)
+    sizes = [r["count"] for r in got.groupBy("ordinal.file").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 3000
+    assert [r["id"] for r in got.orderBy("ordinal").collect()] == list(range(19_999, -1, -1))
+    assert {r["key"]: r["id"] for r in ordered.earliest(got, "key").collect()} == {i % 7: i for i in range(19_993, 20_000)}
+
+
 ACTIONS = "session string, seq long, action string, face int, batch int"
 
 
