@@ -21,8 +21,7 @@ def _by_day(spark: SparkSession, d: str) -> DataFrame:
     """Events from a file for each day, in a file by falling value."""
     at = shared_folder(spark, "days")
     rows = table(spark, d, "events").withColumn("day", F.to_date("ts"))
-    rows.repartition("day").sortWithinPartitions("day", F.desc("value"), "event_id").write.partitionBy("day").parquet(at)
-    return ordered.stamped(spark.read.parquet(at))
+    return ordered.arranged(rows, at, rows.count(), "day", F.desc("value"), "event_id")
 
 
 _DAYS = "src AS (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY value DESC, event_id) AS r FROM events)"
@@ -50,9 +49,9 @@ def items_in_source_order(spark: SparkSession, d: str) -> DataFrame:
     """The first item of each supplier in files of orders with their lines as arrays; the order of files, rows and items is kept through the shuffle."""
     at = shared_folder(spark, "lists")
     lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
-    lists = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("order")).agg(lines.alias("lines")).withColumn("part", F.col("order") % 8)
-    lists.repartition("part").sortWithinPartitions("part", F.desc("order")).write.partitionBy("part").parquet(at)
-    rows = ordered.items(ordered.stamped(spark.read.parquet(at)), "lines", "line").withColumn("supplier", F.col("line.l_suppkey"))
+    items = table(spark, d, "lineitem")
+    lists = items.groupBy(F.col("l_orderkey").alias("order")).agg(lines.alias("lines")).withColumn("part", F.col("order") % 8)
+    rows = ordered.items(ordered.arranged(lists, at, items.count(), "part", F.desc("order")), "lines", "line").withColumn("supplier", F.col("line.l_suppkey"))
     return ordered.earliest(rows, "supplier").select("supplier", "order", F.col("ordinal.item").alias("item"))
 
 
