@@ -19,6 +19,11 @@ def _csv(rows: DataFrame) -> DataFrame:
     return tournaments.file_lines(rows.sparkSession, at, "*.csv")
 
 
+def _dealt(rows: DataFrame, size: int = 20_000) -> DataFrame:
+    """rows in as many parts as give files of about size rows: an XML file is read by one task, so files stay small as the table grows."""
+    return rows.repartition(max(1, -(-rows.count() // size)), rows.columns[0])
+
+
 def _text(*parts: str | Column) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
@@ -95,7 +100,7 @@ def xml_units(spark: SparkSession, d: str) -> DataFrame:
     cost = F.struct(F.lit("pts").alias("_name"), F.col("p_retailprice").cast("double").alias("_value"))
     rows = table(spark, d, "part").select(_text("u", k.cast("string")).alias("_id"), F.col("p_name").alias("_name"), F.when(k % 11 == 0, "upgrade").otherwise("unit").alias("_type"), F.struct(F.concat(first, arms).alias("profile")).alias("profiles"), F.struct(F.array(cost).alias("cost")).alias("costs"))
     at = shared_folder(spark, "xml")
-    rows.write.format("xml").option("rootTag", "catalogue").option("rowTag", "selectionEntry").save(at)
+    _dealt(rows).write.format("xml").option("rootTag", "catalogue").option("rowTag", "selectionEntry").save(at)
     return catalogues.units(spark, at, "part-*").select("id", "name", "toughness", "save", "points", F.size("weapons").alias("n_weapons"), "invuln", "fnp", F.get("weapons", F.lit(0))["name"].alias("weapon"), F.array_join("warnings", ",").alias("warnings"))
 
 
@@ -105,7 +110,7 @@ def xml_unread(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     rest = F.when(k % 7 == 0, _text('" name=', F.col("p_size").cast("string"), ' type="unit"/>')).when(k % 7 == 1, '" type="unit"><costs></selectionEntry>').otherwise('" type="unit"></selectionEntry>')
     at = shared_folder(spark, "xml")
-    table(spark, d, "part").select(_text('<selectionEntry id="u', k.cast("string"), rest)).write.text(at)
+    _dealt(table(spark, d, "part").select(_text('<selectionEntry id="u', k.cast("string"), rest))).write.text(at)
     return catalogues.unread_entries(spark, at, "part-*").select("entry")
 
 

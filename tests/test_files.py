@@ -5,6 +5,7 @@ import sqlite3
 
 from meridian.functions import markdown, rules
 from meridian.operators import dice
+from meridian.plans.files import _dealt
 from meridian.sources import missions, tournaments
 from meridian.sources.sqlite import Sqlite
 from meridian.streaming import dice as streams
@@ -98,3 +99,9 @@ def test_take_backs(spark, tmp_path):
     counts = streams.drained(streams.changes(stream), "append").groupBy("session", "face").agg(F.sum("change").alias("n")).filter("n <> 0")
     plain = spark.createDataFrame(sorted(want), schema).groupBy("session", "face").agg(F.count("*").alias("n"))
     assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in plain.collect()}
+
+
+def test_catalogues_are_dealt_over_files(spark):
+    sizes = [r["count"] for r in _dealt(spark.range(50_000).coalesce(1), 5_000).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 7_500 and sum(sizes) == 50_000
+    assert _dealt(spark.range(0)).count() == 0
