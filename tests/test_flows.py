@@ -2,6 +2,7 @@
 
 import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,18 @@ def test_defaults_by_type(spark):
     rows = spark.createDataFrame([("0", 0, 0.0), ("", 5, float("nan")), (None, None, 2.0)], "t string, n int, d double")
     got = rows.select(lookups.truthy(F.col("t"), F.lit("x")), lookups.truthy(F.col("n"), F.lit(9)), lookups.truthy(F.col("d"), F.lit(1.5))).collect()
     assert [tuple(r) for r in got] == [("0", 9, 1.5), ("x", 5, 1.5), ("x", 9, 2.0)]
+
+
+def test_a_session_costs_one_read_and_one_write_of_state():
+    calls = []
+
+    class Held:
+        def __getattr__(self, name):
+            return lambda *_: calls.append(name)
+
+    processor = sessions._Session()
+    processor.init(type("Handle", (), {"getValueState": lambda *_: Held()})())
+    big = 2**53 + 1
+    (out,) = processor.handleInputRows(("s",), iter([pd.DataFrame({"seq": [big + 1, big, 5], "action": ["undo", "close", "roll"], "face": [None, None, 3]})]), None)
+    assert sorted(calls) == ["get", "update"]
+    assert out[["seq", "kind", "reason", "f3"]].values.tolist() == [[big + 1, "refused", "closed", None], [None, "counts", "closed", 1]]
