@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meridian.functions.white import trimmed
+from meridian.functions.white import WHITE, trimmed
 from meridian.functions import parse
 
 #: What each site calls its columns, in order of precedence.
@@ -28,36 +28,54 @@ COUNTS = ("wins", "losses", "draws", "points")
 
 
 def cells(line: Column) -> Column:
-    """A line's fields; a quoted one may hold commas and doubled quotes, but no line break."""
-    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',((?:"(?:[^"]|"")*"|[^,"])*)'), 1)
-    return F.transform(raw, lambda c: F.when(c.rlike(r'^\s*".*"\s*$'), F.replace(F.regexp_replace(c, r'^\s*"|"\s*$', ""), F.lit('""'), F.lit('"'))).otherwise(F.replace(c, F.lit('"'), F.lit(""))))
+    """The fields of a line, which holds no line feed: without their quotes (of doubled ones in quotes one is left) and without white space around them.
+
+    Each quote opens or closes; commas between two part nothing, and quotes that nothing closes reach to the line's end. A null line is an empty one, and fields
+    are never null: a filter of nulls would move below the column that has them, and cut each line again.
+    """
+    # Cut at quotes, each second piece was in them, and an empty piece between two of those was a doubled quote. Line feeds then stand for the commas that part.
+    between = lambda p, i, pieces: F.when((p == "") & (i > 0) & (i < F.size(pieces) - 1), F.lit('"')).otherwise(F.replace(p, F.lit(","), F.lit("\n")))
+    parted = lambda pieces: F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, p).otherwise(between(p, i, pieces))), "")
+    # An array of one array, so that the pieces are cut once and not for each use of them.
+    line = F.coalesce(F.get(F.transform(F.array(F.split(line, '"')), parted), F.lit(0)), F.lit(""))
+    # A look at its ends tells of most fields that there is nothing to trim; the trim takes longer.
+    plain = lambda c: (c >= "!") & (c < "\x7f")
+    return F.transform(F.split(line, "\n"), lambda c: F.when(plain(c) & plain(F.right(c, F.lit(1))), c).otherwise(trimmed(c)))
+
+
+def _names(header: Column) -> Column:
+    return F.transform(cells(header), F.lower)
+
+
+def _places(names: str, aliases: dict[str, list[str]]) -> Column:
+    """Where the fields of aliases, in their order, stand in a line: each the place of its first name among names, null where it has none."""
+    known = F.array(*(F.array(*map(F.lit, of)) for of in aliases.values()))
+    return F.transform(known, lambda of: (F.array_position(names, F.get(F.filter(of, lambda n: F.array_contains(names, n)), F.lit(0))) - 1).cast("int"))
 
 
 def lines(files: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
-    """A row for each line after the header of files (whole_files or file_lines gives them), its fields under the names of aliases; absent ones are null.
+    """A row for each line after the header of files (whole_files or file_lines gives them), its trimmed fields under the names of aliases; absent ones are null.
 
     Lines are in the order of column line within a file: a number from whole files, a place from lines.
     """
-    named = lambda line: F.transform(cells(line), lambda h: F.lower(trimmed(h)))
     if "value" in files.columns:
-        body = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: trimmed(x)), lambda x: F.length(x) > 0)
+        body = F.filter(F.split("value", r"\r?\n"), lambda x: F.length(trimmed(x)) > 0)
         rows = files.select("file", body.alias("body")).filter(F.size("body") > 1)
         # The header before the lines are dealt out, so that no line carries the file along.
-        rows = rows.select("file", named(F.get("body", F.lit(0))).alias("header"), F.slice("body", 2, F.size("body")).alias("body"))
-        rows = rows.select("file", "header", F.posexplode("body").alias("line", "text"))
+        rows = rows.select("file", _names(F.get("body", F.lit(0))).alias("names"), F.slice("body", 2, F.size("body")).alias("body"))
+        rows = rows.select("file", _places("names", aliases).alias("at"), F.posexplode("body").alias("line", "text")).select("file", "at", "line", cells(F.col("text")).alias("cells"))
     else:
-        body = files.select("file", "line", trimmed("text").alias("text")).filter(F.length("text") > 0)
-        headers = body.groupBy("file").agg(F.min(F.struct("line", "text")).alias("h")).select("file", F.col("h.line").alias("__first"), named(F.col("h.text")).alias("header"))
-        rows = body.join(F.broadcast(headers), "file").filter(F.col("line") > F.col("__first"))
-    rows = rows.withColumn("cells", cells(F.col("text")))
-    first = lambda names: F.coalesce(*(F.nullif(F.array_position("header", n), F.lit(0)) for n in names))
-    return rows.select("file", "line", *(F.get("cells", (first(names) - 1).cast("int")).alias(c) for c, names in aliases.items()))
+        body = files.filter(F.col("text").rlike(f"[^{WHITE}]"))
+        headers = body.groupBy("file").agg(F.min(F.struct("line", "text")).alias("h")).select("file", F.col("h.line").alias("__first"), _names(F.col("h.text")).alias("names"))
+        headers = headers.select("file", "__first", _places("names", aliases).alias("at"))
+        # Fields are cut before the join: filters of them move into it, and would cut each line again.
+        rows = body.select("file", "line", cells(F.col("text")).alias("cells")).join(F.broadcast(headers), "file").filter(F.col("line") > F.col("__first"))
+    return rows.select("file", "line", *(F.get("cells", F.get("at", F.lit(i))).alias(c) for i, c in enumerate(aliases)))
 
 
 def _players(rows: DataFrame, extra: list[Column]) -> DataFrame:
-    blank = lambda c: F.nullif(trimmed(c), F.lit(""))
-    rows = rows.withColumn("placement", parse.leading_int(F.col("placement"))).filter("placement is not null")
-    return rows.select(*extra, "file", "line", "placement", blank(F.col("player")).alias("player"), F.coalesce(trimmed("faction"), F.lit("")).alias("faction"), blank(F.col("detachment")).alias("detachment"), *(F.coalesce(parse.leading_int(F.col(c)), F.lit(0)).alias(c) for c in COUNTS), blank(F.col("list")).alias("list"))
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    return rows.select(*extra, "file", "line", parse.leading_int(F.col("placement")).alias("placement"), blank("player").alias("player"), F.coalesce("faction", F.lit("")).alias("faction"), blank("detachment").alias("detachment"), *(F.coalesce(parse.leading_int(F.col(c)), F.lit(0)).alias(c) for c in COUNTS), blank("list").alias("list"))
 
 
 def whole_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -73,7 +91,7 @@ def file_lines(spark: SparkSession, path: str, pattern: str | None = None) -> Da
 
 def site_results(files: DataFrame, aliases: dict[str, list[str]], event: str, event_date: str, format: str = "GT") -> DataFrame:
     """Players of one event's files; rows without a whole number for the place are left out, unreadable counts are 0."""
-    return _players(lines(files, aliases), [F.lit(event).alias("event"), F.lit(event_date).alias("event_date"), F.lit(format).alias("format")])
+    return _players(lines(files, aliases), [F.lit(event).alias("event"), F.lit(event_date).alias("event_date"), F.lit(format).alias("format")]).filter("placement is not null")
 
 
 def generic_results(files: DataFrame) -> DataFrame:
@@ -81,15 +99,16 @@ def generic_results(files: DataFrame) -> DataFrame:
 
     Rows without event or date are left out; an event has the format of its first row, GT where there is no such column.
     """
-    rows = lines(files, GENERIC).withColumns({c: trimmed(c) for c in ("event", "event_date", "format", "faction", "unit")}).filter("event <> '' and event_date <> ''")
-    of_event = Window.partitionBy("file", "event", "event_date").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("format", F.first(F.coalesce("format", F.lit("GT"))).over(of_event))
-    unit = F.when(F.length("unit") > 0, F.struct("line", "unit", F.nullif(trimmed("content"), F.lit("")).alias("content"), F.coalesce(parse.leading_int(F.col("unit_games")), F.lit(0)).alias("games"), F.coalesce(F.col("unit_points").try_cast("double"), F.lit(0.0)).alias("points")))
-    players = _players(rows.withColumn("__unit", unit), [F.col("event"), F.col("event_date"), F.col("format"), F.col("__unit")])
-    rest = ["player", "detachment", *COUNTS, "list"]
-    out = players.groupBy("file", "event", "event_date", "format", "placement", "faction").agg(F.min_by(F.struct(*rest), "line").alias("p"), F.sort_array(F.collect_list("__unit")).alias("u"))
-    units = F.transform("u", lambda x: x.dropFields("line"))
-    return out.select("file", "event", "event_date", "format", "placement", "faction", "p.*", F.when(F.size("u") > 0, units).alias("units"))
+    rows = lines(files, GENERIC).filter("event <> '' and event_date <> ''")
+    unit = F.when(F.length("unit") > 0, F.struct("unit", F.nullif("content", F.lit("")).alias("content"), F.coalesce(parse.leading_int(F.col("unit_games")), F.lit(0)).alias("games"), F.coalesce(F.col("unit_points").try_cast("double"), F.lit(0.0)).alias("points")))
+    rows = _players(rows, [F.col("event"), F.col("event_date"), F.coalesce("format", F.lit("GT")).alias("format"), unit.alias("__unit")])
+    # Both windows go over rows dealt and sorted once, by event first, as its names differ early; rows without a place may still give an event's format.
+    event = ["event", "event_date", "file"]
+    rows = rows.repartition(*event)
+    of_player = Window.partitionBy(*event, "placement", "faction").orderBy("line")
+    rows = rows.withColumns({"__n": F.row_number().over(of_player), "__units": F.collect_list("__unit").over(of_player.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}).filter("__n = 1")
+    rows = rows.withColumn("format", F.min(F.struct("line", "format")).over(Window.partitionBy(*event))["format"]).filter("placement is not null")
+    return rows.select("file", "event", "event_date", "format", "placement", "faction", "player", "detachment", *COUNTS, "list", F.when(F.size("__units") > 0, F.col("__units")).alias("units"))
 
 
 #: How raw results of each format are read; the two sites' files don't name their event.

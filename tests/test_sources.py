@@ -1,5 +1,10 @@
 """Readers over small awkward files."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from meridian.functions.white import WHITE
 from meridian.sources import catalogues, tournaments
 
 
@@ -103,3 +108,50 @@ def test_lines_of_a_file_in_many_splits(spark, tmp_path):
         assert found(tournaments.file_lines) == want and len(want) == 22
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def reference_cells(line: str) -> list[str]:
+    """A line's fields, read character by character."""
+    out, now, quoted, i = [], "", False, 0
+    while i < len(line):
+        if line[i] == '"' and quoted and line[i + 1 : i + 2] == '"':
+            now, i = now + '"', i + 1
+        elif line[i] == '"':
+            quoted = not quoted
+        elif line[i] == "," and not quoted:
+            out, now = [*out, now], ""
+        else:
+            now += line[i]
+        i += 1
+    return [x.strip(WHITE) for x in [*out, now]]
+
+
+def test_fields_of_a_line(spark):
+    """Awkward quotes, white space of all kinds, and fields so long that a pattern that goes back runs out of stack."""
+    dice = random.Random(4)
+    texts = ["", ",", '"', '""', '"""', '""""', '"a,b",c', 'a"b,c"d,e', '"a""b","",""""', '"abc""', 'x,"y,z', ' "a" ,　b\xa0,"\t c "', "é,\x7f a,ü ", '"' + "long, " * 40_000 + '",1', "y" * 200_000 + ',""', '"' + '""' * 50_000, " ,﻿1\r"]
+    texts += ["".join(dice.choices('",a \xa0é\r', [4, 3, 3, 2, 1, 1, 1], k=dice.randrange(1, 14))) for _ in range(600)]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", tournaments.cells(F.col("text")).alias("cells")).collect()
+    assert [r["cells"] for r in got] == [reference_cells(r["text"]) for r in got]
+
+
+def test_a_line_is_cut_once(spark, tmp_path, monkeypatch):
+    """Filters of fields go through the join with the headers, and took the cutting of each line along three times."""
+    cells = tournaments.cells
+    monkeypatch.setattr(tournaments, "cells", lambda line: cells(F.concat(line, F.lit("#cut#"))))
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        path = files(tmp_path, a_csv="event,date,place,player\nE,d,1,Ann\n")
+        for rows in (tournaments.generic_results(tournaments.file_lines(spark, path)), tournaments.FORMATS["site_a"](tournaments.file_lines(spark, path))):
+            # Once for headers, once for the other lines.
+            assert rows._jdf.queryExecution().executedPlan().toString().count("#cut#") == 2
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+
+
+def test_a_row_without_place_gives_the_format(spark, tmp_path):
+    path = files(tmp_path, a_csv='event,date,format,place,army,player,unit\n A ,d,RTT,none,Orks,No,x\nA,d,GT,2,Orks,Ann,"Big ""Boyz"""\nA,d,GT,2,Orks,Bo, \nA,d,GT,2, Orks ,Cy,Nobz\nA,e,GT,1,Orks,,', b_csv="event,date,place\nA,d,1\n")
+    for read in (tournaments.whole_files, tournaments.file_lines):
+        got = tournaments.generic_results(read(spark, path)).orderBy("event_date", "placement").collect()
+        assert [(r["file"][-5:], r["event_date"], r["format"], r["placement"], r["player"], r["units"] and [u["unit"] for u in r["units"]]) for r in got] == [("b.csv", "d", "GT", 1, None, None), ("a.csv", "d", "RTT", 2, "Ann", ['Big "Boyz"', "Nobz"]), ("a.csv", "e", "GT", 1, None, None)]
